@@ -4,12 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe
-from atlasforge.llm.common import documents
+from atlasforge.llm import bpe, langid
+from atlasforge.llm.common import documents, fold
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document's whole text."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN, with_ids=False)
+
+
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from four of five rows with a language and predicts every whole text's language."""
+    docs = documents(spark, sf_dir)
+    model = langid.learn(docs, fold() != 0)
+    texts = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
+    return langid.identify(texts, model).drop("text")
