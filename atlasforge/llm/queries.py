@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, langid
+from atlasforge.llm import bpe, langid, quality
 from atlasforge.llm.common import documents, fold
 
 
@@ -22,3 +22,12 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.learn(docs, fold() != 0)
     texts = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
     return langid.identify(texts, model).drop("text")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns labels.quality from four of five labelled rows and scores every whole text."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where((fold() != 0) & F.col("label").isNotNull())
+    weights = quality.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = quality.score(docs, weights)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

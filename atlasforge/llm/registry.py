@@ -4,5 +4,5 @@ from __future__ import annotations
 
 from atlasforge.llm import queries as q
 
-QUERIES = {f.__name__: f for f in (q.op3_bpe, q.op5_langid)}
+QUERIES = {f.__name__: f for f in (q.op3_bpe, q.op4_quality, q.op5_langid)}
 ORACLES: dict[str, str] = {}
