@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, langid, quality
+from atlasforge.llm import bpe, fingerprint, langid, quality, urlfilter
 from atlasforge.llm.common import documents, fold
 
 
@@ -31,3 +31,19 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = quality.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
     scored = quality.score(docs, weights)
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text and of its edited text, and their likeness."""
+    return fingerprint.edited_fingerprints(documents(spark, sf_dir))
+
+
+RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+JUNK_HOSTS = r"(^|\.)(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)\."
+
+
+def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judges every page's url. The list holds the urls of pages on junk hosts."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    listed = pages.where(urlfilter.host_of(F.col("url")).rlike(JUNK_HOSTS)).select("url")
+    return urlfilter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
