@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, fingerprint, langid, quality, urlfilter
+from atlasforge.llm import bpe, fingerprint, langid, quality, suffixtree, urlfilter
 from atlasforge.llm.common import documents, fold
 
 
@@ -47,3 +47,10 @@ def op8_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     listed = pages.where(urlfilter.host_of(F.col("url")).rlike(JUNK_HOSTS)).select("url")
     return urlfilter.judge(pages, RULES, listed).select("page_id", "host", "path", "rule", "verdict", "listed")
+
+
+def op2_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every whole text; learns from four of five documents."""
+    docs = documents(spark, sf_dir)
+    scored = suffixtree.score(docs, fold() != 1)
+    return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
