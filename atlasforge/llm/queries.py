@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, fingerprint, langid, quality, suffixtree, urlfilter
+from atlasforge.llm import bpe, fingerprint, langid, quality, setjoin, suffixtree, urlfilter
 from atlasforge.llm.common import documents, fold
 
 
@@ -54,3 +54,8 @@ def op2_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     scored = suffixtree.score(docs, fold() != 1)
     return scored.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op7_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of five-word shingles link at a Jaccard similarity of 0.8."""
+    return setjoin.link_groups(documents(spark, sf_dir), size=5, percent=80)
