@@ -83,12 +83,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int
     return model.weights(slice(None))
 
 
-def learn(labelled: DataFrame, train_chars: int = 24_000_000, bits: int = 20, epochs: int = 3, alpha: float = 1.0, l1: float = 0.002, l2: float = 0.0, value_scale: float = 30.0) -> np.ndarray:
-    """Fits on rows (doc_id, text, label in 0 and 1)."""
-    rows = labelled.where("label in (0, 1)").select(F.col("doc_id").cast("string").alias("id"), "text", F.col("label").cast("int").alias("label"))
-    total = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
+def learn(docs: DataFrame, labels: DataFrame, train_chars: int = 24_000_000, bits: int = 20, epochs: int = 3, alpha: float = 1.0, l1: float = 0.002, l2: float = 0.0, value_scale: float = 30.0) -> np.ndarray:
+    """Fits on documents (doc_id, text) and labels (doc_id, label in 0 and 1). Both are sampled before
+    they meet; how large a part is follows from the number of labels and the mean length of a text."""
+    known = labels.where("label in (0, 1)").select(F.col("doc_id").cast("string").alias("id"), F.col("label").cast("int").alias("label"))
+    texts = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
+    total = known.count() * (texts.agg(F.avg(F.coalesce(F.length("text"), F.lit(0))).alias("n")).first()["n"] or 0)
     share = min(1.0, train_chars / max(total, 1))
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000).select("id", "text", "label")
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share * 1_000_000
+    sample = texts.where(chosen).join(known.where(chosen), "id").select("id", "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

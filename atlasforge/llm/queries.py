@@ -28,7 +28,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns labels.quality from four of five labelled rows and scores every whole text."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where((fold() != 0) & F.col("label").isNotNull())
-    weights = quality.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    weights = quality.learn(docs, labels)
     scored = quality.score(docs, weights)
     return scored.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
