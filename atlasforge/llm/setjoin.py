@@ -50,7 +50,9 @@ LOW = U(0xFFFFFFFF)
 
 def class_of(s: np.ndarray) -> np.int64:
     """The class of a set, by its hashes' order-free sum."""
-    return np.array([mix(np.array([mix(s).sum(dtype=U) + U(len(s)) * U(0x9E3779B97F4A7C15)], dtype=U))[0]], dtype=U).view(np.int64)[0]
+    total = np.array([len(s)], dtype=U)
+    total += mix(s).sum(dtype=U)
+    return mix(total).view(np.int64)[0]
 
 
 def least_overlap(n: int, percent: int) -> int:
