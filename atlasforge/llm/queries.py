@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, fingerprint, langid, quality, setjoin, suffixtree, urlfilter
+from atlasforge.llm import bpe, fingerprint, langid, linededup, quality, setjoin, suffixtree, urlfilter
 from atlasforge.llm.common import documents, fold
 
 
@@ -59,3 +59,9 @@ def op2_suffixtree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_setjoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of five-word shingles link at a Jaccard similarity of 0.8."""
     return setjoin.link_groups(documents(spark, sf_dir), size=5, percent=80)
+
+
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines that stay: their number, and a hash of the text that they make."""
+    left = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from atlasforge.llm.common import shuffle_parts, staged
 from atlasforge.llm.components import components, local_components
-from atlasforge.llm.textcore import U, mix, parted, shingle_sets, slices, words
+from atlasforge.llm.textcore import Sets, U, lines, parted, set_classes, shingle_sets, slices, words
 
 CHUNK = 2000  # sets of one candidate component in a bucket
 PIVOTS = 4
@@ -48,13 +48,6 @@ MAX_FILTER_BITS = 1 << 26
 LOW = U(0xFFFFFFFF)
 
 
-def class_of(s: np.ndarray) -> np.int64:
-    """The class of a set, by its hashes' order-free sum."""
-    total = np.array([len(s)], dtype=U)
-    total += mix(s).sum(dtype=U)
-    return mix(total).view(np.int64)[0]
-
-
 def least_overlap(n: int, percent: int) -> int:
     """What a set of n must share with any set that it links with."""
     return -(-n * percent // 100)
@@ -64,26 +57,32 @@ def links(n: int, m: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def _sets(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for lo, _, raw, offsets in slices(batch.column(column)):
-        yield lo, shingle_sets(words(raw, offsets), size)
+def _sets(batch: pa.RecordBatch, column: int, size: int, by_line: bool) -> Iterator[tuple[np.ndarray, np.ndarray, Sets, np.ndarray]]:
+    """For slices of a batch: the row and the line number of every set, the sets and their classes."""
+    for lo, hi, raw, offsets in slices(batch.column(column)):
+        row, number = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
+        if by_line:
+            offsets, row, number = lines(raw, offsets)
+        s = shingle_sets(words(raw, offsets), size)
+        yield row + lo, number, s, set_classes(s)
 
 
-def _survivors(texts: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
+def _survivors(texts: DataFrame, size: int, percent: int, parts: int, by_line: bool) -> DataFrame:
     """Classes of which another class sends at least as many hashes as a link needs."""
+    limit = max(FLUSH, 32 * parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        held: list[tuple[np.ndarray, np.int64, int]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         total = 0
 
-        def flush() -> pa.RecordBatch:
-            tok = np.concatenate([h for h, _, _ in held])
-            own = np.repeat(np.array([c for _, c, _ in held], np.int64), [len(h) for h, _, _ in held])
-            order = np.argsort(tok, kind="stable")
+        def flush() -> pa.RecordBatch | None:
+            tok, own, cls, need = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((own, tok))
             tok, own = tok[order], own[order]
-            new = np.concatenate(([True], tok[1:] != tok[:-1]))
-            start = np.flatnonzero(new)
+            once = np.ones(len(tok), dtype=bool)
+            once[1:] = (tok[1:] != tok[:-1]) | (own[1:] != own[:-1])
+            tok, own = tok[once], own[once]
+            start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
             length = np.diff(np.append(start, len(tok)))
             place = np.arange(len(tok)) - np.repeat(start, length)
             shared = np.repeat(length > 1, length)
@@ -91,30 +90,24 @@ def _survivors(texts: DataFrame, size: int, percent: int, parts: int) -> DataFra
             keep = place < 2
             tok, own, met = tok[keep], own[keep], shared[keep]
             at = [(p, (tok[s] & LOW).astype(np.uint32).tobytes(), own[s].tobytes(), np.packbits(met[s]).tobytes()) for p, s in parted(tok, parts)]
-            need = np.array([c for _, c, _ in held], np.int64), np.array([k for _, _, k in held], np.int64)
-            n = len(at)
-            return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in at), -1, -2], pa.int32()), pa.array([*(x[1] for x in at), counts.astype(np.int64).tobytes(), need[1].tobytes()], pa.binary()), pa.array([*(x[2] for x in at), classes.tobytes(), need[0].tobytes()], pa.binary()), pa.array([*(x[3] for x in at), None, None], pa.binary())], names=["part", "tok", "own", "met"]) if n else None
+            cls, first = np.unique(cls, return_index=True)
+            return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in at), -1, -2], pa.int32()), pa.array([*(x[1] for x in at), counts.astype(np.int64).tobytes(), need[first].tobytes()], pa.binary()), pa.array([*(x[2] for x in at), classes.tobytes(), cls.tobytes()], pa.binary()), pa.array([*(x[3] for x in at), None, None], pa.binary())], names=["part", "tok", "own", "met"])
 
         for batch in batches:
-            for _, sets in _sets(batch, 0, size):
-                for s in sets:
-                    if not len(s):
-                        continue
-                    c = class_of(s)
-                    if int(c) in seen:
-                        continue
-                    if len(seen) > 500_000:
-                        seen.clear()  # only saves sending a class again
-                    seen.add(int(c))
-                    need = max(1, len(s) // 20)
-                    sent = s[: len(s) - least_overlap(len(s), percent) + need]
-                    held.append((sent, c, min(need, len(sent))))
-                    total += len(sent)
-                if total > FLUSH:
+            for _, _, s, cls in _sets(batch, 0, size, by_line):
+                n = s.sizes()
+                need = np.maximum(1, n // 20)
+                sent = np.minimum(n, n - -(-n * percent // 100) + need)
+                place = np.arange(len(s.values)) - np.repeat(s.first[:-1], n)
+                use = place < np.repeat(sent, n)
+                some = n > 0
+                held.append((s.values[use], np.repeat(cls, sent), cls[some], np.minimum(need, sent)[some]))
+                total += int(use.sum())
+                if total > limit:
                     yield flush()
                     held.clear()
                     total = 0
-        if held:
+        if total:
             yield flush()
 
     sent = texts.select("text").mapInArrow(send, "part int, tok binary, own binary, met binary")
@@ -155,11 +148,13 @@ def _filter_words(classes: DataFrame) -> np.ndarray:
     return words_
 
 
-def _maybe(words_: np.ndarray, c: int) -> bool:
-    bits = len(words_) * 64
-    a, b = int(c) % bits, (int(c) & 0xFFFFFFFFFFFFFFFF) >> 32
-    b %= bits
-    return bool((int(words_[a >> 6]) >> (a & 63)) & 1 and (int(words_[b >> 6]) >> (b & 63)) & 1)
+def _maybe(words_: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Which classes the filter may hold."""
+    bits, out = U(len(words_) * 64), np.ones(len(cls), dtype=bool)
+    signed = cls % np.int64(bits)
+    for at in (signed, ((cls.view(U) >> U(32)) % bits).astype(np.int64)):
+        out &= (words_.view(U)[at >> 6] >> (at & 63).astype(U) & U(1)).astype(bool)
+    return out
 
 
 def _sketch(sets: DataFrame) -> np.ndarray:
@@ -257,15 +252,14 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, side: np.ndarray | None = None, groups: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect whatever links connect at all among these sets. side: only sets of
-    different sides are compared. groups: sets of one group need no link."""
+def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, groups: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect whatever links connect at all among these sets; sets that are of one group
+    already need no link."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
     known, out = Groups(len(sets)), []
-    if groups is not None:
-        first: dict[int, int] = {}
-        for k, g in enumerate(groups.tolist()):
-            known.join(k, first.setdefault(g, k))
+    first: dict[int, int] = {}
+    for k, g in enumerate(groups.tolist()):
+        known.join(k, first.setdefault(g, k))
     index: dict[int, list[tuple[int, int]]] = {}  # hash: (set, place of the hash in its order), by size
     answers: dict[int, dict[int, int]] = {}  # set: overlaps it was found to have
     for x in order:
@@ -291,7 +285,7 @@ def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, side:
             entries.append((x, place))
         near, near_gap, mine = -1, 0, {}
         for y in sorted((y for y, may in met.items() if may), key=lambda y: -len(sets[y])):
-            if known.root(x) == known.root(y) or side is not None and side[x] == side[y]:
+            if known.root(x) == known.root(y):
                 continue
             m = len(sets[y])
             if near >= 0 and y in answers.get(near, ()):
@@ -310,79 +304,161 @@ def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, side:
     return out
 
 
-def _links_in_buckets(rows: DataFrame, sketch, percent: int, sided: bool) -> DataFrame:
-    """Links (u, v) among the sets (bucket, h, data, side, grp) of each bucket."""
+def match_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, open_: np.ndarray) -> list[int]:
+    """Of sets in their order of appearance, those with open_ that link with an earlier one; the same
+    filters, and a set's comparisons end at its first match."""
+    index: dict[int, list[tuple[int, int]]] = {}
+    found = []
+    for x, s in enumerate(sets):
+        n = len(s)
+        prefix = rare_prefix(s, sketch, percent)
+        if prefix is None:
+            continue
+        met: set[int] = set()
+        for place, tok in enumerate(prefix.tolist()):
+            entries = index.setdefault(tok, [])
+            if open_[x]:
+                for y, y_place in entries:
+                    m = len(sets[y])
+                    if links(n, m, min(n - place, m - y_place), percent):
+                        met.add(y)
+            entries.append((x, place))
+        if any(links(n, len(sets[y]), len(np.intersect1d(s, sets[y], assume_unique=True)), percent) for y in sorted(met)):
+            found.append(x)
+    return found
+
+
+def _in_buckets(rows: DataFrame, sketch, percent: int, matching: bool) -> DataFrame:
+    """Of the sets (bucket, h, data, grp, seen_id, seen_no) of each bucket: links (u, v) that make the groups, or with
+    matching (u, u) for each class that an earlier one matches."""
 
     def run(table: pa.Table) -> pa.Table:
         h, at = np.unique(table.column("h").to_numpy(), return_index=True)
         table = table.take(pa.array(at))
+        if matching:
+            order = np.lexsort((h, table.column("seen_no").to_numpy(), table.column("seen_id").to_numpy()))
+            table, h = table.take(pa.array(order)), h[order]
+            sets = [np.frombuffer(x.as_py(), U) for x in table.column("data")]
+            own = h[match_bucket(sets, sketch.value, percent, table.column("grp").to_numpy() == 0)].astype(np.int64)
+            return pa.table({"u": own, "v": own})
         sets = [np.frombuffer(x.as_py(), U) for x in table.column("data")]
-        side = table.column("side").to_numpy() if sided else None
-        groups = table.column("grp").to_numpy() if sided else None
-        found = np.array(join_bucket(sets, sketch.value, percent, side, groups), np.int64).reshape(-1, 2)
+        found = np.array(join_bucket(sets, sketch.value, percent, table.column("grp").to_numpy()), np.int64).reshape(-1, 2)
         return pa.table({"u": h[found[:, 0]], "v": h[found[:, 1]]})
 
-    return rows.select("bucket", "h", "data", "side", "grp").groupBy("bucket").applyInArrow(run, "u bigint, v bigint")
+    return rows.select("bucket", "h", "data", "grp", "seen_id", "seen_no").groupBy("bucket").applyInArrow(run, "u bigint, v bigint")
+
+
+def _placed(candidates: DataFrame) -> DataFrame:
+    """Where the sets of each candidate component go: (h, component, pieces, piece). A component of
+    more than CHUNK sets has several pieces, each with the same pivots."""
+    sized = candidates.groupBy("component").agg(F.count("*").alias("k"), *(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node"))["node"].alias(f"p{r}") for r in range(PIVOTS)))
+    pieces = F.ceil(F.col("k") / CHUNK).cast("long").alias("pieces")
+    own = candidates.join(sized.select("component", "k"), "component").select(F.col("node").alias("h"), "component", pieces).withColumn("piece", F.pmod(F.xxhash64("h"), F.col("pieces")))
+    pivots = sized.where(F.col("k") > CHUNK).select(F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("h"), "component", pieces)
+    return own.unionByName(pivots.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))))
+
+
+def _rest(marked: DataFrame, buckets: int) -> DataFrame:
+    """Places (bucket, h, grp) in which every set with `out` meets all others of its component
+    (h, component, pieces, grp, out)."""
+    lone = marked.where("out").groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("outer"))
+    pairs = marked.join(lone, "component")
+    last = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    a = pairs.where("out").withColumn("i", F.pmod(F.xxhash64("h", F.lit("out")), F.col("outer"))).withColumn("j", last("pieces"))
+    b = pairs.withColumn("j", F.pmod(F.xxhash64("h"), F.col("pieces"))).withColumn("i", last("outer"))
+    return a.select("h", "component", "grp", "i", "j").unionByName(b.select("h", "component", "grp", "i", "j")).select(F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets)).cast("int").alias("bucket"), "h", "grp")
 
 
 def _groups(sets: DataFrame, candidates: DataFrame, sketch, percent: int, buckets: int) -> DataFrame:
     """(node, component) over the classes that link with another one."""
-    sized = candidates.groupBy("component").agg(F.count("*").alias("k"), *(F.min(F.struct(F.xxhash64("node", F.lit(r)), "node"))["node"].alias(f"p{r}") for r in range(PIVOTS)))
-    member = candidates.join(sized.select("component", "k"), "component").select(F.col("node").alias("h"), "component", F.ceil(F.col("k") / CHUNK).cast("long").alias("pieces"))
-    pivots = sized.where(F.col("k") > CHUNK).select("component", F.ceil(F.col("k") / CHUNK).cast("long").alias("pieces"), F.explode(F.array(*(f"p{r}" for r in range(PIVOTS)))).alias("h"))
-    own = member.withColumn("piece", F.pmod(F.xxhash64("h"), F.col("pieces")))
-    everywhere = pivots.select("h", "component", "pieces", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"))
-    placed = staged(own.select("h", "component", "pieces", "piece").unionByName(everywhere.select("h", "component", "pieces", "piece")), "set-places")
+    placed = staged(_placed(candidates), "set-places")
     bucket = F.pmod(F.xxhash64("component", "piece"), F.lit(buckets)).cast("int")
-    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", F.lit(0).alias("side"), F.lit(0).cast("long").alias("grp"))
-    found = staged(_links_in_buckets(plain, sketch, percent, False), "set-links")
+    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", F.col("h").alias("grp"), "seen_id", "seen_no")
+    found = staged(_in_buckets(plain, sketch, percent, False), "set-links")
     groups = staged(components(found, "set-groups"), "set-groups")
     spread = placed.where("pieces > 1").select("h", "component", "pieces").distinct()
     if spread.limit(1).count():
-        # Sets outside a component's largest group meet all others of that component, bucket against bucket.
-        labelled = staged(spread.join(groups.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").select("h", "component", "pieces", F.coalesce("g", "h").alias("g")), "set-spread")
-        main = labelled.groupBy("component", "g").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "g"))["g"].alias("main"))
-        marked = labelled.join(main, "component").withColumn("out", F.col("g") != F.col("main"))
-        lone = marked.where("out").groupBy("component").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("outer"))
-        pairs = marked.join(lone, "component")
-        a = pairs.where("out").withColumn("i", F.pmod(F.xxhash64("h", F.lit("out")), F.col("outer"))).select("h", "component", "g", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("j"), F.lit(1).alias("side"))
-        b = pairs.withColumn("j", F.pmod(F.xxhash64("h"), F.col("pieces"))).select("h", "component", "g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("outer") - 1)).alias("i"), "j", F.lit(0).alias("side"))
-        # a set outside that stands on both sides of a bucket is compared as one of side 1; sides only
-        # tell the main group's sets, which need no comparison among themselves: they are one group
-        met = a.unionByName(b).join(sets, "h").select(F.pmod(F.xxhash64("component", "i", "j"), F.lit(max(buckets, 1) * 4)).cast("int").alias("bucket"), "h", "data", F.col("h").alias("side"), F.col("g").alias("grp"))
-        more = staged(_links_in_buckets(met, sketch, percent, True), "set-links")
+        labelled = staged(spread.join(groups.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").select("h", "component", "pieces", F.coalesce("g", "h").alias("grp")), "set-spread")
+        main = labelled.groupBy("component", "grp").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "grp"))["grp"].alias("main"))
+        marked = labelled.join(main, "component").withColumn("out", F.col("grp") != F.col("main"))
+        more = staged(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), sketch, percent, False), "set-links")
         groups = staged(components(found.union(more), "set-groups"), "set-groups")
     return groups
 
 
+def _matched(sets: DataFrame, candidates: DataFrame, sketch, percent: int, buckets: int) -> DataFrame:
+    """Classes (h) that a class which appears earlier matches."""
+    placed = staged(_placed(candidates), "set-places")
+    bucket = F.pmod(F.xxhash64("component", "piece"), F.lit(buckets)).cast("int")
+    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", F.lit(0).cast("long").alias("grp"), "seen_id", "seen_no")
+    found = staged(_in_buckets(plain, sketch, percent, True).select(F.col("u").alias("h")).distinct(), "set-links")
+    spread = placed.where("pieces > 1").select("h", "component", "pieces").distinct()
+    if spread.limit(1).count():
+        done = found.withColumn("done", F.lit(True))
+        marked = staged(spread.join(done, "h", "left").select("h", "component", "pieces", F.col("done").isNull().alias("out"), F.when(F.col("done"), 1).otherwise(0).cast("long").alias("grp")), "set-spread")
+        found = staged(found.union(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), sketch, percent, True).select(F.col("u").alias("h"))).distinct(), "set-links")
+    return found
+
+
+class Gathered:
+    """What both joins start from: every row's class, the sets of classes that may link, their candidates."""
+
+    def __init__(self, rows: DataFrame, size: int, percent: int, by_line: bool):
+        if not 50 <= percent <= 100:
+            raise ValueError("percent must be from 50 to 100")
+        spark = rows.sparkSession
+        parts, kind = shuffle_parts(spark), dict(rows.dtypes)["doc_id"]
+        alive = staged(_survivors(rows, size, percent, parts, by_line), "set-survivors")
+        words_ = spark.sparkContext.broadcast(_filter_words(alive))
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent: set[int] = set()
+            for batch in batches:
+                for row, number, s, cls in _sets(batch, 1, size, by_line):
+                    data = [None] * len(cls)
+                    for k in np.flatnonzero(_maybe(words_.value, cls) & (cls != 0)).tolist():
+                        c = int(cls[k])
+                        if c not in sent:  # a class's set is needed once
+                            if len(sent) > 200_000:
+                                sent.clear()
+                            sent.add(c)
+                            data[k] = s.row(k).tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number), pa.array(s.sizes()), pa.array(cls), pa.array(data, pa.binary())], names=["doc_id", "number", "n_shingles", "h", "data"])
+
+        #: doc_id, number (of the line), n_shingles, h (0: an empty set)
+        self.every = staged(rows.mapInArrow(gather, f"doc_id {kind}, number bigint, n_shingles bigint, h bigint, data binary"), "set-classes")
+        first = self.every.where("data is not null").join(alive, "h", "left_semi").groupBy("h").agg(F.first("data").alias("data"))
+        seen_id, seen_no = F.lit(0).cast("long"), F.lit(0).cast("long")
+        if by_line:
+            self.seen = staged(self.every.where("h <> 0").groupBy("h").agg(F.min(F.struct("doc_id", "number")).alias("at")), "set-seen")
+            first = first.join(self.seen, "h")
+            seen_id, seen_no = F.coalesce(F.col("at.doc_id").cast("long"), F.lit(-(1 << 63))), F.col("at.number")
+        #: h, data, and for lines where the class appears first
+        self.sets = staged(first.select("h", "data", seen_id.alias("seen_id"), seen_no.alias("seen_no")), "set-data")
+        total = self.sets.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
+        self.sketch = spark.sparkContext.broadcast(_sketch(self.sets))
+        self.candidates = staged(components(_candidates(self.sets, self.sketch, percent, parts), "set-candidates"), "set-candidates")
+        self.buckets, self.percent = max(parts, -(-total // BUCKET_BYTES)), percent
+
+
 def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links reach, for every row."""
-    if not 50 <= percent <= 100:
-        raise ValueError("percent must be from 50 to 100")
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    kind = dict(rows.dtypes)["doc_id"]
-    alive = staged(_survivors(rows, size, percent, parts), "set-survivors")
-    words_ = spark.sparkContext.broadcast(_filter_words(alive))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, sets in _sets(batch, 1, size):
-                h = [int(class_of(s)) if len(s) else None for s in sets]
-                data = [s.tobytes() if c is not None and _maybe(words_.value, c) else None for c, s in zip(h, sets, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(h, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n_shingles", "h", "data"])
-
-    every = staged(rows.mapInArrow(gather, f"doc_id {kind}, n_shingles bigint, h bigint, data binary"), "set-classes")
-    sets = staged(every.where("data is not null").join(alive, "h", "left_semi").groupBy("h").agg(F.first("data").alias("data")), "set-data")
-    total = sets.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
-    sketch = spark.sparkContext.broadcast(_sketch(sets))
-    candidates = staged(components(_candidates(sets, sketch, percent, parts), "set-candidates"), "set-candidates")
-    buckets = max(parts, -(-total // BUCKET_BYTES))
-    groups = _groups(sets, candidates, sketch, percent, buckets)
-    least = every.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("least"))
+    got = Gathered(rows, size, percent, by_line=False)
+    groups = _groups(got.sets, got.candidates, got.sketch, percent, got.buckets)
+    least = got.every.where("h <> 0").groupBy("h").agg(F.min("doc_id").alias("least"))
     label = least.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     label = label.join(label.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("h", "component_id")
-    slim = every.select("doc_id", "n_shingles", "h")
-    linked = slim.where("h is not null").join(label, "h").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return linked.unionByName(slim.where("h is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    slim = got.every.select("doc_id", "n_shingles", "h")
+    linked = slim.where("h <> 0").join(label, "h").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return linked.unionByName(slim.where("h = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, number) of every line that an earlier line, by id and number, equals or links with."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    got = Gathered(rows, size, percent, by_line=True)
+    matched = _matched(got.sets, got.candidates, got.sketch, percent, got.buckets).withColumn("matched", F.lit(True))
+    first = got.seen.join(matched, "h", "left").select("h", F.when(F.col("matched"), None).otherwise(F.col("at")).alias("stays"))
+    own = got.every.where("h <> 0").select("doc_id", "number", "h")
+    return own.join(first, "h").where(~F.col("stays").eqNullSafe(F.struct("doc_id", "number"))).select("doc_id", "number")

@@ -122,29 +122,59 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
 _SHINGLE = [U(x) for x in (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-def shingle_sets(w: Words, size: int = 5) -> list[np.ndarray]:
-    """For each row its sorted distinct hashes of runs of `size` words; a row with fewer words has
-    its whole sequence as one, a row without words none."""
-    h, out = w.hash, []
-    n = len(h)
-    if n >= size:
-        g = np.zeros(n - size + 1, dtype=U)
-        for k in range(size):
-            g += mix(h[k : n - size + 1 + k] + U(k + 1)) * _SHINGLE[k % 5]
-        g = mix(g)
-    for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-        if b - a >= size:
-            s = np.sort(g[a : b - size + 1])
-            out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
-        elif b > a:
-            one = U(0x2545F4914F6CDD1D) + U(b - a)
-            with np.errstate(over="ignore"):
-                for k in range(a, b):
-                    one = one * U(_BASE) + h[k]
-            out.append(mix(np.array([one], dtype=U)))
-        else:
-            out.append(np.zeros(0, dtype=U))
-    return out
+@dataclass
+class Sets:
+    """Sorted distinct hashes of many rows one after another: row k has values[first[k] : first[k + 1]]."""
+
+    values: np.ndarray
+    first: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.first)
+
+    def row(self, k: int) -> np.ndarray:
+        return self.values[self.first[k] : self.first[k + 1]]
+
+
+def shingle_sets(w: Words, size: int = 5) -> Sets:
+    """For each row its distinct hashes of runs of `size` words; a row with fewer words has its whole
+    sequence as one, a row without words none."""
+    n, rows = np.diff(w.first), len(w.first) - 1
+    many = np.maximum(n - size + 1, (n > 0).astype(np.int64))
+    first = np.concatenate(([0], np.cumsum(many)))
+    start = np.arange(first[-1]) - np.repeat(first[:-1], many) + np.repeat(w.first[:-1], many)
+    width = np.minimum(np.repeat(n, many), size)
+    terms = np.concatenate((w.hash, np.zeros(size, dtype=U)))
+    g = width.astype(U) * U(0x2545F4914F6CDD1D)
+    for k in range(size):
+        term = mix(terms[start + k] + U(k + 1)) * _SHINGLE[k % 5]
+        g += term if n.min(initial=size) >= size else np.where(width > k, term, U(0))
+    g = mix(g)
+    row = np.repeat(np.arange(rows), many)
+    order = np.lexsort((g, row))
+    g = g[order]
+    new = np.ones(len(g), dtype=bool)
+    new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
+    kept = np.concatenate(([0], np.cumsum(new)))
+    return Sets(g[new], kept[first])
+
+
+def set_classes(s: Sets) -> np.ndarray:
+    """A hash of each row's set, as a long; 0 for an empty set."""
+    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum(mix(s.values), dtype=U)))
+    n = s.sizes()
+    h = mix(sums[s.first[1:]] - sums[s.first[:-1]] + n.astype(U))
+    return np.where(n > 0, h, U(0)).view(np.int64)
+
+
+def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the lines of all rows, which row each belongs to, and its number there from 0."""
+    cut = np.flatnonzero(raw == 10) + 1
+    starts = np.sort(np.concatenate((offsets[:-1], cut)), kind="stable")
+    many = 1 + np.searchsorted(cut, offsets[1:], side="right") - np.searchsorted(cut, offsets[:-1], side="right")
+    row = np.repeat(np.arange(len(many)), many)
+    number = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    return np.append(starts, offsets[-1]), row, number
 
 
 def distinct_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
