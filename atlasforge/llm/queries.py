@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, fingerprint, langid, linededup, quality, setjoin, suffixtree, urlfilter
+from atlasforge.llm import bpe, decontam, fingerprint, langid, linededup, quality, setjoin, suffixtree, urlfilter
 from atlasforge.llm.common import documents, fold
 
 
@@ -65,3 +65,8 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines that stay: their number, and a hash of the text that they make."""
     left = linededup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items, and which."""
+    return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
