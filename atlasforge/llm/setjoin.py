@@ -6,8 +6,9 @@ A document's set holds the distinct hashes of its runs of `size` words. Two docu
 1. Every class sends the first part of its hashes, in the order of the hashes, so long that two
    classes that link share at least `need` of those they send. A class of which too few hashes are
    sent by another class has no link. This leaves a small part of a corpus, exactly.
-2. The sets of the classes left are gathered once. A count-min sketch of fixed size over them orders
-   hashes by rarity; a hash that one class alone has is in no intersection.
+2. The sets of the classes left are gathered once, and how many of them have each hash is counted
+   exactly. A hash that one class alone has is in no intersection, so a class with too few others has
+   no link; the rest are ordered by rarity.
 3. Classes that share one of their rarest hashes (prefix filter) are candidates. Their connected
    components are dealt to buckets, so a set moves once; a component of more than `CHUNK` sets is
    dealt to several buckets, with the same few pivot sets in each.
@@ -30,20 +31,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasforge.llm.common import shuffle_parts, staged
+from atlasforge.llm.common import dropped, shuffle_parts, staged
 from atlasforge.llm.components import components, local_components
-from atlasforge.llm.textcore import Sets, U, lines, parted, set_classes, shingle_sets, slices, words
+from atlasforge.llm.textcore import Sets, U, lines, part_of, parted, set_classes, shingle_sets, slices, words
 
 CHUNK = 2000  # sets of one candidate component in a bucket
 PIVOTS = 4
 BUCKET_BYTES = 24_000_000
 FLUSH = 1_500_000  # hashes sent at once
-SKETCH_BITS = 20
 MAX_FILTER_BITS = 1 << 26
 LOW = U(0xFFFFFFFF)
 
@@ -96,7 +95,7 @@ def _survivors(texts: DataFrame, size: int, percent: int, parts: int, by_line: b
         for batch in batches:
             for _, _, s, cls in _sets(batch, 0, size, by_line):
                 n = s.sizes()
-                need = np.maximum(1, n // 20)
+                need = np.maximum(1, n // 10)
                 sent = np.minimum(n, n - -(-n * percent // 100) + need)
                 place = np.arange(len(s.values)) - np.repeat(s.first[:-1], n)
                 use = place < np.repeat(sent, n)
@@ -157,65 +156,114 @@ def _maybe(words_: np.ndarray, cls: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """A count-min sketch of one row over all hashes of all sets: an upper bound of how many have each."""
-    chunks = 16
+def _keys(tok: np.ndarray, parts: int) -> np.ndarray:
+    """What stands for a hash between tasks: its part and its lower half."""
+    return part_of(tok, parts).astype(U) << U(32) | tok & LOW
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+
+def _ranked(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """The sets with `prefix`: each one's rarest hashes, of which any set that links with it has one,
+    in the order of how many sets have them. Sets that share too few hashes for any link are left
+    out, as are hashes that one set alone has. Counts are exact: every hash meets its like in a part,
+    and what it counts is sent back to the sets."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush() -> pa.RecordBatch:
+            tok, own = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(tok, kind="stable")
+            tok, own = tok[order], own[order]
+            out = [(p, (tok[s] & LOW).astype(np.uint32).tobytes(), own[s].tobytes()) for p, s in parted(tok, parts)]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["part", "tok", "own"])
+
+        total = 0
         for batch in batches:
-            for x in batch.column(0):
-                np.add.at(total, (np.frombuffer(x.as_py(), U) >> U(64 - SKETCH_BITS)).astype(np.int64), 1)
-        for k, part in enumerate(np.split(total, chunks)):
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.astype(np.uint32).tobytes()], pa.binary())], names=["k", "data"])
-
-    def merge(table: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // chunks, np.int64)
-        for x in table["data"]:
-            total += np.frombuffer(x, np.uint32)
-        return pd.DataFrame({"k": [int(table["k"].iloc[0])], "data": [np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()]})
-
-    rows = sets.select("data").mapInArrow(count, "k int, data binary").groupBy("k").applyInPandas(merge, "k int, data binary").toPandas()
-    out = np.zeros((chunks, (1 << SKETCH_BITS) // chunks), np.uint32)
-    for k, x in zip(rows["k"], rows["data"], strict=True):
-        out[k] = np.frombuffer(x, np.uint32)
-    return out.reshape(-1)
-
-
-def rare_prefix(s: np.ndarray, sketch: np.ndarray, percent: int) -> np.ndarray | None:
-    """A set's rarest hashes, of which a set that links with it has one; without those that no other
-    set has. None if too few hashes are shared for any link."""
-    seen = sketch[(s >> U(64 - SKETCH_BITS)).astype(np.int64)]
-    least = least_overlap(len(s), percent)
-    if int((seen > 1).sum()) < least:
-        return None
-    order = np.lexsort((s, seen))[: len(s) - least + 1]
-    return s[order][seen[order] > 1]
-
-
-def _candidates(sets: DataFrame, sketch, percent: int, parts: int) -> DataFrame:
+            for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held.append((tok := np.frombuffer(x.as_py(), U), np.full(len(tok), c, np.int64)))
+                total += len(tok)
+                if total > max(FLUSH, 32 * parts):
+                    yield flush()
+                    held.clear()
+                    total = 0
+        if held:
+            yield flush()
+
+    def meet(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        tok = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("tok")])
+        own = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("own")])
+        order = np.argsort(tok, kind="stable")
+        tok, own = tok[order], own[order]
+        start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+        many = np.diff(np.append(start, len(tok)))
+        many = np.repeat(many, many)
+        tok, own, many = tok[many > 1], own[many > 1], many[many > 1]
+        home = part_of(own.view(U), parts)
+        order = np.lexsort((own, home))
+        tok, own, many, home = tok[order], own[order], many[order], home[order]
+        at = np.searchsorted(home, np.arange(parts + 1))
+        some = np.flatnonzero(np.diff(at))
+        cut = [slice(at[k], at[k + 1]) for k in some]
+        return pa.table({"home": pa.array(some.astype(np.int32)), "part": pa.array([part] * len(some), pa.int32()), "own": pa.array([own[s].tobytes() for s in cut], pa.binary()), "tok": pa.array([tok[s].tobytes() for s in cut], pa.binary()), "many": pa.array([np.minimum(many[s], 0xFFFFFFFF).astype(np.uint32).tobytes() for s in cut], pa.binary())})
+
+    def rank(left: pa.Table, right: pa.Table) -> pa.Table:
+        prefixes: list[bytes | None] = [None] * left.num_rows
+        if right.num_rows:
+            own = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in right.column("own")])
+            tok = np.concatenate([np.frombuffer(x.as_py(), np.uint32).astype(U) | U(p) << U(32) for x, p in zip(right.column("tok"), right.column("part").to_pylist(), strict=True)])
+            many = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in right.column("many")])
+            order = np.lexsort((tok, own))
+            own, tok, many = own[order], tok[order], many[order]
+            for k, (c, x) in enumerate(zip(left.column("h").to_pylist(), left.column("data"), strict=True)):
+                a, b = np.searchsorted(own, c), np.searchsorted(own, c, side="right")
+                s = np.frombuffer(x.as_py(), U)
+                least = least_overlap(len(s), percent)
+                if b - a < least:
+                    continue
+                key = _keys(s, parts)
+                at = np.minimum(np.searchsorted(tok[a:b], key), b - a - 1)
+                seen = np.where(tok[a:b][at] == key, many[a:b][at], 1)
+                if int((seen > 1).sum()) < least:
+                    continue
+                first = np.lexsort((s, seen))[: len(s) - least + 1]
+                place = np.flatnonzero(seen[first] > 1)
+                if len(place):
+                    prefixes[k] = place.astype(np.int32).tobytes() + s[first][place].tobytes()
+        keep = pa.array([x is not None for x in prefixes])
+        return left.drop_columns(["home"]).append_column("prefix", pa.array(prefixes, pa.binary())).filter(keep)
+
+    met = sets.select("h", "data").mapInArrow(send, "part int, tok binary, own binary").groupBy("part").applyInArrow(meet, "home int, part int, own binary, tok binary, many binary")
+    # the home of a class: equal ranges of the upper half of its bits, read as unsigned
+    home = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(parts), 32).cast("int")
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)
+    return sets.withColumn("home", home).groupBy("home").cogroup(met.groupBy("home")).applyInArrow(rank, f"{kind}, prefix binary")
+
+
+def read_prefix(x: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a set's order by rarity, and the hashes there."""
+    n = len(x) // 12
+    return np.frombuffer(x, np.int32, n), np.frombuffer(x, U, n, 4 * n)
+
+
+def _candidates(sets: DataFrame, parts: int) -> DataFrame:
     """Edges (u, v) that connect all classes which share one of their rarest hashes."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toks, own = [], []
-            for c, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                p = rare_prefix(np.frombuffer(x.as_py(), U), sketch.value, percent)
-                if p is not None and len(p):
-                    toks.append(p)
-                    own.append(np.full(len(p), c, np.int64))
-            if toks:
-                tok, cls = np.concatenate(toks), np.concatenate(own)
-                order = np.argsort(tok, kind="stable")
-                tok, cls = tok[order], cls[order]
-                # all classes of a hash here hang on the first of them, which alone is sent
-                start = np.concatenate(([True], tok[1:] != tok[:-1]))
-                lead = cls[np.maximum.accumulate(np.where(start, np.arange(len(tok)), 0))]
-                off = ~start & (lead != cls)
-                nodes, root = local_components(cls[off], lead[off])
-                out = [(p, tok[start][s].tobytes(), cls[start][s].tobytes()) for p, s in parted(tok[start], parts)]
-                yield pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in out), -1], pa.int32()), pa.array([*(x[1] for x in out), nodes.tobytes()], pa.binary()), pa.array([*(x[2] for x in out), root.tobytes()], pa.binary())], names=["part", "tok", "own"])
+            if not batch.num_rows:
+                continue
+            toks = [read_prefix(x.as_py())[1] for x in batch.column(1)]
+            tok, cls = np.concatenate(toks), np.repeat(batch.column(0).to_numpy(), list(map(len, toks)))
+            order = np.argsort(tok, kind="stable")
+            tok, cls = tok[order], cls[order]
+            # all classes of a hash here hang on the first of them, which alone is sent
+            start = np.concatenate(([True], tok[1:] != tok[:-1]))
+            lead = cls[np.maximum.accumulate(np.where(start, np.arange(len(tok)), 0))]
+            off = ~start & (lead != cls)
+            nodes, root = local_components(cls[off], lead[off])
+            out = [(p, tok[start][s].tobytes(), cls[start][s].tobytes()) for p, s in parted(tok[start], parts)]
+            yield pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in out), -1], pa.int32()), pa.array([*(x[1] for x in out), nodes.tobytes()], pa.binary()), pa.array([*(x[2] for x in out), root.tobytes()], pa.binary())], names=["part", "tok", "own"])
 
     def meet(table: pa.Table) -> pa.Table:
         tok = np.concatenate([np.frombuffer(x.as_py(), U) for x in table.column("tok")])
@@ -230,7 +278,7 @@ def _candidates(sets: DataFrame, sketch, percent: int, parts: int) -> DataFrame:
         nodes, root = local_components(own[off], lead[off])
         return pa.table({"u": nodes, "v": root})
 
-    sent = sets.select("h", "data").mapInArrow(send, "part int, tok binary, own binary")
+    sent = sets.select("h", "prefix").mapInArrow(send, "part int, tok binary, own binary")
     salted = sent.withColumn("salt", F.when(F.col("part") < 0, F.pmod(F.xxhash64("own"), F.lit(parts))).otherwise(F.lit(0)))
     return salted.groupBy("part", "salt").applyInArrow(meet, "u bigint, v bigint").where("u <> v")
 
@@ -252,7 +300,7 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
-def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, groups: np.ndarray) -> list[tuple[int, int]]:
+def join_bucket(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, np.ndarray]], percent: int, groups: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect whatever links connect at all among these sets; sets that are of one group
     already need no link."""
     order = sorted(range(len(sets)), key=lambda k: len(sets[k]))
@@ -265,11 +313,8 @@ def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, groups
     for x in order:
         s = sets[x]
         n = len(s)
-        prefix = rare_prefix(s, sketch, percent)
-        if prefix is None or not len(prefix):
-            continue
         met: dict[int, int] = {}
-        for place, tok in enumerate(prefix.tolist()):
+        for place, tok in zip(*(a.tolist() for a in prefixes[x]), strict=True):
             entries = index.setdefault(tok, [])
             lo, hi = 0, len(entries)  # skip the block of sets that are too small
             while lo < hi:
@@ -304,18 +349,15 @@ def join_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, groups
     return out
 
 
-def match_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, open_: np.ndarray) -> list[int]:
+def match_bucket(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, np.ndarray]], percent: int, open_: np.ndarray) -> list[int]:
     """Of sets in their order of appearance, those with open_ that link with an earlier one; the same
     filters, and a set's comparisons end at its first match."""
     index: dict[int, list[tuple[int, int]]] = {}
     found = []
     for x, s in enumerate(sets):
         n = len(s)
-        prefix = rare_prefix(s, sketch, percent)
-        if prefix is None:
-            continue
         met: set[int] = set()
-        for place, tok in enumerate(prefix.tolist()):
+        for place, tok in zip(*(a.tolist() for a in prefixes[x]), strict=True):
             entries = index.setdefault(tok, [])
             if open_[x]:
                 for y, y_place in entries:
@@ -328,7 +370,7 @@ def match_bucket(sets: list[np.ndarray], sketch: np.ndarray, percent: int, open_
     return found
 
 
-def _in_buckets(rows: DataFrame, sketch, percent: int, matching: bool) -> DataFrame:
+def _in_buckets(rows: DataFrame, percent: int, matching: bool) -> DataFrame:
     """Of the sets (bucket, h, data, grp, seen_id, seen_no) of each bucket: links (u, v) that make the groups, or with
     matching (u, u) for each class that an earlier one matches."""
 
@@ -338,14 +380,15 @@ def _in_buckets(rows: DataFrame, sketch, percent: int, matching: bool) -> DataFr
         if matching:
             order = np.lexsort((h, table.column("seen_no").to_numpy(), table.column("seen_id").to_numpy()))
             table, h = table.take(pa.array(order)), h[order]
-            sets = [np.frombuffer(x.as_py(), U) for x in table.column("data")]
-            own = h[match_bucket(sets, sketch.value, percent, table.column("grp").to_numpy() == 0)].astype(np.int64)
-            return pa.table({"u": own, "v": own})
         sets = [np.frombuffer(x.as_py(), U) for x in table.column("data")]
-        found = np.array(join_bucket(sets, sketch.value, percent, table.column("grp").to_numpy()), np.int64).reshape(-1, 2)
+        prefixes = [read_prefix(x.as_py()) for x in table.column("prefix")]
+        if matching:
+            own = h[match_bucket(sets, prefixes, percent, table.column("grp").to_numpy() == 0)].astype(np.int64)
+            return pa.table({"u": own, "v": own})
+        found = np.array(join_bucket(sets, prefixes, percent, table.column("grp").to_numpy()), np.int64).reshape(-1, 2)
         return pa.table({"u": h[found[:, 0]], "v": h[found[:, 1]]})
 
-    return rows.select("bucket", "h", "data", "grp", "seen_id", "seen_no").groupBy("bucket").applyInArrow(run, "u bigint, v bigint")
+    return rows.select("bucket", "h", "data", "prefix", "grp", "seen_id", "seen_no").groupBy("bucket").applyInArrow(run, "u bigint, v bigint")
 
 
 def _placed(candidates: DataFrame) -> DataFrame:
@@ -369,34 +412,34 @@ def _rest(marked: DataFrame, buckets: int) -> DataFrame:
     return a.select("h", "component", "grp", "i", "j").unionByName(b.select("h", "component", "grp", "i", "j")).select(F.pmod(F.xxhash64("component", "i", "j"), F.lit(buckets)).cast("int").alias("bucket"), "h", "grp")
 
 
-def _groups(sets: DataFrame, candidates: DataFrame, sketch, percent: int, buckets: int) -> DataFrame:
+def _groups(sets: DataFrame, candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
     """(node, component) over the classes that link with another one."""
     placed = staged(_placed(candidates), "set-places")
     bucket = F.pmod(F.xxhash64("component", "piece"), F.lit(buckets)).cast("int")
-    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", F.col("h").alias("grp"), "seen_id", "seen_no")
-    found = staged(_in_buckets(plain, sketch, percent, False), "set-links")
+    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", "prefix", F.col("h").alias("grp"), "seen_id", "seen_no")
+    found = staged(_in_buckets(plain, percent, False), "set-links")
     groups = staged(components(found, "set-groups"), "set-groups")
     spread = placed.where("pieces > 1").select("h", "component", "pieces").distinct()
     if spread.limit(1).count():
         labelled = staged(spread.join(groups.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").select("h", "component", "pieces", F.coalesce("g", "h").alias("grp")), "set-spread")
         main = labelled.groupBy("component", "grp").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "grp"))["grp"].alias("main"))
         marked = labelled.join(main, "component").withColumn("out", F.col("grp") != F.col("main"))
-        more = staged(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), sketch, percent, False), "set-links")
+        more = staged(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), percent, False), "set-links")
         groups = staged(components(found.union(more), "set-groups"), "set-groups")
     return groups
 
 
-def _matched(sets: DataFrame, candidates: DataFrame, sketch, percent: int, buckets: int) -> DataFrame:
+def _matched(sets: DataFrame, candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
     """Classes (h) that a class which appears earlier matches."""
     placed = staged(_placed(candidates), "set-places")
     bucket = F.pmod(F.xxhash64("component", "piece"), F.lit(buckets)).cast("int")
-    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", F.lit(0).cast("long").alias("grp"), "seen_id", "seen_no")
-    found = staged(_in_buckets(plain, sketch, percent, True).select(F.col("u").alias("h")).distinct(), "set-links")
+    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", "prefix", F.lit(0).cast("long").alias("grp"), "seen_id", "seen_no")
+    found = staged(_in_buckets(plain, percent, True).select(F.col("u").alias("h")).distinct(), "set-links")
     spread = placed.where("pieces > 1").select("h", "component", "pieces").distinct()
     if spread.limit(1).count():
         done = found.withColumn("done", F.lit(True))
         marked = staged(spread.join(done, "h", "left").select("h", "component", "pieces", F.col("done").isNull().alias("out"), F.when(F.col("done"), 1).otherwise(0).cast("long").alias("grp")), "set-spread")
-        found = staged(found.union(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), sketch, percent, True).select(F.col("u").alias("h"))).distinct(), "set-links")
+        found = staged(found.union(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), percent, True).select(F.col("u").alias("h"))).distinct(), "set-links")
     return found
 
 
@@ -433,11 +476,12 @@ class Gathered:
             self.seen = staged(self.every.where("h <> 0").groupBy("h").agg(F.min(F.struct("doc_id", "number")).alias("at")), "set-seen")
             first = first.join(self.seen, "h")
             seen_id, seen_no = F.coalesce(F.col("at.doc_id").cast("long"), F.lit(-(1 << 63))), F.col("at.number")
-        #: h, data, and for lines where the class appears first
-        self.sets = staged(first.select("h", "data", seen_id.alias("seen_id"), seen_no.alias("seen_no")), "set-data")
+        sets = staged(first.select("h", "data", seen_id.alias("seen_id"), seen_no.alias("seen_no")), "set-data")
+        #: h, data, prefix, and for lines where the class appears first
+        self.sets = staged(_ranked(sets, percent, parts), "set-ranked")
+        dropped(sets)
         total = self.sets.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
-        self.sketch = spark.sparkContext.broadcast(_sketch(self.sets))
-        self.candidates = staged(components(_candidates(self.sets, self.sketch, percent, parts), "set-candidates"), "set-candidates")
+        self.candidates = staged(components(_candidates(self.sets, parts), "set-candidates"), "set-candidates")
         self.buckets, self.percent = max(parts, -(-total // BUCKET_BYTES)), percent
 
 
@@ -445,7 +489,7 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     """doc_id, n_shingles and component_id, the smallest id that links reach, for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = Gathered(rows, size, percent, by_line=False)
-    groups = _groups(got.sets, got.candidates, got.sketch, percent, got.buckets)
+    groups = _groups(got.sets, got.candidates, got.percent, got.buckets)
     least = got.every.where("h <> 0").groupBy("h").agg(F.min("doc_id").alias("least"))
     label = least.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     label = label.join(label.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("h", "component_id")
@@ -458,7 +502,7 @@ def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, id_col: st
     """(doc_id, number) of every line that an earlier line, by id and number, equals or links with."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     got = Gathered(rows, size, percent, by_line=True)
-    matched = _matched(got.sets, got.candidates, got.sketch, percent, got.buckets).withColumn("matched", F.lit(True))
+    matched = _matched(got.sets, got.candidates, got.percent, got.buckets).withColumn("matched", F.lit(True))
     first = got.seen.join(matched, "h", "left").select("h", F.when(F.col("matched"), None).otherwise(F.col("at")).alias("stays"))
     own = got.every.where("h <> 0").select("doc_id", "number", "h")
     return own.join(first, "h").where(~F.col("stays").eqNullSafe(F.struct("doc_id", "number"))).select("doc_id", "number")
