@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atlasforge.llm import bpe, decontam, fingerprint, langid, linededup, quality, setjoin, suffixtree, urlfilter
+from atlasforge.llm import bpe, decontam, fingerprint, langid, linededup, pii, quality, setjoin, suffixtree, urlfilter
 from atlasforge.llm.common import documents, fold
 
 
@@ -70,3 +70,8 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that leak benchmark items, and which."""
     return decontam.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text."""
+    return pii.summary(documents(spark, sf_dir))
