@@ -1,0 +1 @@
+"""Operators of the spatial and raster engine."""

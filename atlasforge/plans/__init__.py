@@ -1,0 +1 @@
+"""Plans of the spatial and raster engine."""

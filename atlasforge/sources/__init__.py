@@ -1,0 +1 @@
+"""Sources of the spatial and raster engine."""
