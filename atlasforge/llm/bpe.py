@@ -24,7 +24,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-PIECES_KEPT = 250_000  # in each of two generations
+from atlasforge.llm.common import modest_batches
+
+PIECES_KEPT = 120_000  # in each of two generations
 PAIRS_KEPT = 1_000_000
 LONG_PIECE = 256  # characters; longer pieces are not kept in the cache
 
@@ -174,6 +176,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
     """For each row: id, n_tokens, ids (array of int, if with_ids), ids_sha256 (of the decimal ids,
     joined by commas) and decoded_sha256 (of the bytes that the ids decode to). The rank file is read
     by the driver and broadcast; a vocabulary's size does not depend on the documents."""
+    modest_batches(docs.sparkSession)
     with open(ranks_path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     slim = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))

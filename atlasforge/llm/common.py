@@ -48,3 +48,11 @@ def shuffle_parts(spark: SparkSession) -> int:
 def fold(column: str = "doc_id"):
     """crc32 of the id as text, modulo 5."""
     return F.crc32(F.col(column).cast("string")) % 5
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Bounds the rows that go to Python at once: ten thousand long texts would take much memory twice over.
+    Called where an operator starts; a session that sets a smaller number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))

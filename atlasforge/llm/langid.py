@@ -34,9 +34,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from atlasforge.llm.common import modest_batches
 from atlasforge.llm.textcore import U, mix
 
-SLICE_CHARS = 250_000
+SLICE_CHARS = 120_000
 _SEED = [U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA6B27D4EB2F)]
 _letters: list[np.ndarray] = []
 
@@ -246,6 +247,7 @@ def learn(docs: DataFrame, training: Column, order: int = 4, train_chars: int =
     goes to calibration instead of the counts."""
     if not 2 <= order <= 6:
         raise ValueError("order must be from 2 to 6")
+    modest_batches(docs.sparkSession)
     rows = docs.where(training & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
     if not sizes:
@@ -320,6 +322,7 @@ def sliced(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[list[str]]:
 def identify(docs: DataFrame, model: Model, reject_sigmas: float = 8.0, text_col: str = "text") -> DataFrame:
     """The rows with lang_pred, score, cross_entropy (nats a character) and rejected after them.
     A column of one of these names is replaced."""
+    modest_batches(docs.sparkSession)
     added = ("lang_pred", "score", "cross_entropy", "rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop(*added)

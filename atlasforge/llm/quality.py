@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasforge.llm.common import modest_batches
 from atlasforge.llm.textcore import U, mix, slices, span_hashes, spans
 
 _CLASS = np.full(256, 2, dtype=np.uint8)  # 0 white space, 1 letters and digits, 2 other signs
@@ -86,6 +87,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int, epochs: int
 def learn(docs: DataFrame, labels: DataFrame, train_chars: int = 24_000_000, bits: int = 20, epochs: int = 3, alpha: float = 1.0, l1: float = 0.002, l2: float = 0.0, value_scale: float = 30.0) -> np.ndarray:
     """Fits on documents (doc_id, text) and labels (doc_id, label in 0 and 1). Both are sampled before
     they meet; how large a part is follows from the number of labels and the mean length of a text."""
+    modest_batches(docs.sparkSession)
     known = labels.where("label in (0, 1)").select(F.col("doc_id").cast("string").alias("id"), F.col("label").cast("int").alias("label"))
     texts = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
     total = known.count() * (texts.agg(F.avg(F.coalesce(F.length("text"), F.lit(0))).alias("n")).first()["n"] or 0)

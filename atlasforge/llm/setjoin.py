@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasforge.llm.common import dropped, shuffle_parts, staged
+from atlasforge.llm.common import dropped, modest_batches, shuffle_parts, staged
 from atlasforge.llm.components import components, local_components
 from atlasforge.llm.textcore import Sets, U, lines, part_of, parted, set_classes, shingle_sets, slices, words
 
 CHUNK = 2000  # sets of one candidate component in a bucket
 PIVOTS = 4
 BUCKET_BYTES = 24_000_000
-FLUSH = 1_500_000  # hashes sent at once
+FLUSH = 800_000  # hashes sent at once
 MAX_FILTER_BITS = 1 << 26
 LOW = U(0xFFFFFFFF)
 
@@ -450,6 +450,7 @@ class Gathered:
         if not 50 <= percent <= 100:
             raise ValueError("percent must be from 50 to 100")
         spark = rows.sparkSession
+        modest_batches(spark)
         parts, kind = shuffle_parts(spark), dict(rows.dtypes)["doc_id"]
         alive = staged(_survivors(rows, size, percent, parts, by_line), "set-survivors")
         words_ = spark.sparkContext.broadcast(_filter_words(alive))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from atlasforge.llm.common import shuffle_parts, staged
+from atlasforge.llm.common import modest_batches, shuffle_parts, staged
 from atlasforge.llm.textcore import U, distinct_counts, mix, parted, slices, words
 
 BLOCK_BYTES = 16_000_000
@@ -273,6 +273,7 @@ def score(docs: DataFrame, training: Column, contexts: int = 1023, sigmas: float
     tokens) and score (log10 by the tree) of every row; learns from the rows where `training` holds."""
     if not 1 <= contexts <= (1 << STATE_BITS - 1) - 1:
         raise ValueError("contexts must be from 1 to 2047")
+    modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     kind = dict(rows.dtypes)["doc_id"]
