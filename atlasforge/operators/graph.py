@@ -1,24 +1,24 @@
-"""Connected components of a small or large graph by repeated minima."""
+"""Connected components by repeated minima."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasforge.staging import staged
+
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of edges (u, v); the smallest node names a component. Each round takes the minimum
-    over neighbours and then over the node that names, so a path halves; rounds are checkpointed
-    where the session has a folder for it."""
-    both = edges.select("u", "v").union(edges.select("v", "u")).distinct()
-    label = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    reliable = edges.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    """(node, component) of edges (u, v); the smallest node names a component. A round takes the minimum
+    over neighbours and then over the node it names, so paths halve; each round is a table, so the
+    plan does not grow."""
+    both = staged(edges.select("u", "v").union(edges.select("v", "u")).distinct(), "graph-edges")
+    label = staged(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("m")), "graph-labels")
     while True:
         near = both.join(label.select(F.col("u").alias("v"), F.col("m").alias("n")), "v").groupBy("u").agg(F.min("n").alias("n"))
         step = label.join(near, "u").select("u", "m", F.least("m", "n").alias("n"))
-        jump = step.join(label.select(F.col("u").alias("n"), F.col("m").alias("far")), "n", "left").select("u", "m", F.least("n", F.coalesce("far", "n")).alias("n"))
-        jump = jump.checkpoint() if reliable else jump.cache()
-        changed = jump.where("n <> m").limit(1).count()
+        far = label.select(F.col("u").alias("n"), F.col("m").alias("far"))
+        jump = staged(step.join(far, "n", "left").select("u", "m", F.least("n", F.coalesce("far", "n")).alias("n")), "graph-labels")
         label = jump.select("u", F.col("n").alias("m"))
-        if not changed:
+        if not jump.where("n <> m").limit(1).count():
             return label.select(F.col("u").alias("node"), F.col("m").alias("component"))

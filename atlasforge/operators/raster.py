@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from atlasforge.staging import staged
+
 BLOCK = 256
 
 
@@ -98,7 +100,8 @@ def components(pixels: DataFrame, eight: bool = False, block: int = BLOCK) -> Da
         return pd.DataFrame({"r": r, "c": c, "local": first.astype(np.int64)})
 
     blocks = pixels.select("r", "c").distinct()
-    local = blocks.groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).applyInPandas(kernel, "r bigint, c bigint, local bigint").cache()
+    local = blocks.groupBy(F.floor(F.col("r") / block).alias("br"), F.floor(F.col("c") / block).alias("bc")).applyInPandas(kernel, "r bigint, c bigint, local bigint")
+    local = staged(local, "pixel-labels")
     steps = [(0, 1), (1, 0), *([(1, 1), (1, -1)] if eight else [])]
     edge = local.where(f"r % {block} IN (0, {block - 1}) OR c % {block} IN (0, {block - 1})")
     shifted = edge.select(F.explode(F.array(*(F.struct((F.col("r") + a).alias("r"), (F.col("c") + b).alias("c"), F.col("local").alias("other")) for a, b in steps))).alias("s")).select("s.*")

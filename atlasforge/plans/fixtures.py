@@ -87,4 +87,6 @@ def with_views(body: str, *views: str) -> str:
     body = body.strip()
     if not head:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head}, {body[15:]}"
     return f"WITH {head}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {head} {body}"

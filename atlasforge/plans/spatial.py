@@ -12,10 +12,14 @@ from atlasforge.operators.spatial import best_match, covered_share, nearest_segm
 from atlasforge.plans.registry import query
 
 C = F.col
-IOU = iou(C("inter"), area("a_"), area("b_"))
 LATTICE = "SELECT x.x AS x0, y.y AS y0 FROM range(0, 2000, 100) x(x), range(0, 1600, 100) y(y)"
 
 
+def pair_iou():
+    """Intersection over union of a joined pair."""
+    return iou(C("inter"), area("a_"), area("b_"))
+
+
 def pairs_of(t):
     """Parcels (a_) with the candidates (b_) that overlap them."""
     return overlapping(t.parcels, t.candidates)
@@ -28,12 +32,12 @@ def sjoin_intersects(t):
 
 @query("iou_pairs", "pairs", "SELECT a_id, b_id, round_even(inter / CAST(a_area + b_area - inter AS DOUBLE), 6) AS iou, round_even(inter / CAST(b_area AS DOUBLE), 6) AS precision, round_even(inter / CAST(a_area AS DOUBLE), 6) AS recall FROM pairs")
 def iou_pairs(t):
-    return pairs_of(t).select("a_id", "b_id", rounded(IOU).alias("iou"), rounded(C("inter") / area("b_")).alias("precision"), rounded(C("inter") / area("a_")).alias("recall"))
+    return pairs_of(t).select("a_id", "b_id", rounded(pair_iou()).alias("iou"), rounded(C("inter") / area("b_")).alias("precision"), rounded(C("inter") / area("a_")).alias("recall"))
 
 
 @query("best_iou", "pairs", "SELECT a_id AS id, arg_max(b_id, (inter / CAST(a_area + b_area - inter AS DOUBLE), -b_id)) AS b_id, round_even(max(inter / CAST(a_area + b_area - inter AS DOUBLE)), 6) AS best FROM pairs GROUP BY 1")
 def best_iou(t):
-    return best_match(pairs_of(t), "a_id", "b_id", IOU).select(C("a_id").alias("id"), "b_id", rounded(C("best")).alias("best"))
+    return best_match(pairs_of(t), "a_id", "b_id", pair_iou()).select(C("a_id").alias("id"), "b_id", rounded(C("best")).alias("best"))
 
 
 _SUMMARY = """WITH b AS (SELECT p.id, coalesce(max(inter / CAST(a_area + b_area - inter AS DOUBLE)), 0) AS best, count(b_id) AS n FROM parcels p LEFT JOIN pairs ON p.id = a_id GROUP BY 1)
@@ -43,7 +47,7 @@ SELECT CASE WHEN n = 0 THEN 'blank_plate' WHEN best >= 0.5 AND n > 1 THEN 'trace
 @query("parcel_qa_summary", "pairs", _SUMMARY)
 def parcel_qa_summary(t):
     """The flagship: each parcel's best candidate, its class, and a summary by class."""
-    b = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.max(IOU).alias("best"), F.count("*").alias("n"))
+    b = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.max(pair_iou()).alias("best"), F.count("*").alias("n"))
     j = t.parcels.join(b, "id", "left").select(F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("n", F.lit(0)).alias("n"))
     cls = ladder((C("n") == 0, "blank_plate"), ((C("best") >= 0.5) & (C("n") > 1), "traced_merged_cells"), (C("best") >= 0.5, "traced_single_cell"), default="loose_placement")
     return j.groupBy(cls.alias("cell_class")).agg(F.count("*").alias("parcels"), rounded(F.percentile("best", 0.5)).alias("median_iou"), rounded(F.percentile("best", 0.1)).alias("p10_iou"))
@@ -52,7 +56,7 @@ def parcel_qa_summary(t):
 @query("cell_class", "pairs qa_flags", """SELECT p.id, CASE WHEN q.id IS NULL THEN 'off_plate' WHEN count(b_id) = 0 THEN 'blank_plate' WHEN count_if(inter * 5 >= b_area) >= 2 THEN 'traced_merged_cells' WHEN max(inter / CAST(a_area + b_area - inter AS DOUBLE)) >= 0.5 THEN 'traced_single_cell' ELSE 'loose_placement' END AS cell_class
 FROM parcels p LEFT JOIN pairs ON p.id = a_id LEFT JOIN qa_flags q ON p.id = q.id GROUP BY p.id, q.id""")
 def cell_class(t):
-    b = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.max(IOU).alias("best"), F.count_if(C("inter") * 5 >= area("b_")).alias("spanned"))
+    b = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.max(pair_iou()).alias("best"), F.count_if(C("inter") * 5 >= area("b_")).alias("spanned"))
     j = t.parcels.select("id").join(b, "id", "left").join(t.qa_flags.select("id", "on_plate"), "id", "left")
     return j.select("id", ladder((C("on_plate").isNull(), "off_plate"), (C("best").isNull(), "blank_plate"), (C("spanned") >= 2, "traced_merged_cells"), (C("best") >= 0.5, "traced_single_cell"), default="loose_placement").alias("cell_class"))
 
@@ -117,7 +121,7 @@ def aoi_filter(t):
     return t.candidates.where("x0 < 900 AND x1 > 300 AND y0 < 700 AND y1 > 100").select("id")
 
 
-@query("point_in_block", "candidates blocks", "SELECT c.id, coalesce(min(block_id), -1) AS block_id FROM candidates c LEFT JOIN blocks b ON (c.x0 + c.x1) // 2 >= b.x0 AND (c.x0 + c.x1) // 2 < b.x1 AND (c.y0 + c.y1) // 2 >= b.y0 AND (c.y0 + c.y1) // 2 < b.y1 GROUP BY 1")
+@query("point_in_block", "candidates blocks", "SELECT c.id, coalesce(min(block_id), -1) AS block_id FROM candidates c LEFT JOIN blocks b ON floor((c.x0 + c.x1) / 2.0) >= b.x0 AND floor((c.x0 + c.x1) / 2.0) < b.x1 AND floor((c.y0 + c.y1) / 2.0) >= b.y0 AND floor((c.y0 + c.y1) / 2.0) < b.y1 GROUP BY 1")
 def point_in_block(t):
     p = t.candidates.select("id", F.floor((C("x0") + C("x1")) / 2).alias("px"), F.floor((C("y0") + C("y1")) / 2).alias("py"))
     return points_in(p, t.blocks, "px", "py", "block_id").select("id", "block_id")
@@ -145,8 +149,8 @@ def in_envelope(t):
     return p.where("a_x0 >= b_x0 AND a_x1 <= b_x1 AND a_y0 >= b_y0 AND a_y1 <= b_y1").select(C("a_id").alias("id")).distinct()
 
 
-_SEG = "SELECT line_id, pos, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS by FROM line_points WHERE line_id % 10 = 0 WINDOW w AS (PARTITION BY line_id ORDER BY pos)"
-_DIST = "CASE WHEN bx = ax AND by = ay THEN sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay)) ELSE sqrt(power(px - ax - tt * (bx - ax), 2) + power(py - ay - tt * (by - ay), 2)) END"
+_SEG = "SELECT line_id, pos, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS bey FROM line_points WHERE line_id % 10 = 0 WINDOW w AS (PARTITION BY line_id ORDER BY pos)"
+_DIST = "CASE WHEN bx = ax AND bey = ay THEN sqrt((px - ax) * (px - ax) + (py - ay) * (py - ay)) ELSE sqrt(power(px - ax - tt * (bx - ax), 2) + power(py - ay - tt * (bey - ay), 2)) END"
 
 
 def segments(t):
@@ -156,7 +160,7 @@ def segments(t):
 
 
 _NEAR = f"""WITH s AS (SELECT * FROM ({_SEG}) WHERE bx IS NOT NULL), q AS (SELECT line_id, pos, x AS px, y AS py FROM line_points WHERE line_id % 10 = 5),
-d AS (SELECT line_id, pos, px, py, ax, ay, bx, by, least(1.0, greatest(0.0, ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / CAST(nullif((bx - ax) * (bx - ax) + (by - ay) * (by - ay), 0) AS DOUBLE))) AS tt FROM q, (SELECT ax, ay, bx, by FROM s)),
+d AS (SELECT line_id, pos, px, py, ax, ay, bx, bey, least(1.0, greatest(0.0, ((px - ax) * (bx - ax) + (py - ay) * (bey - ay)) / CAST(nullif((bx - ax) * (bx - ax) + (bey - ay) * (bey - ay), 0) AS DOUBLE))) AS tt FROM q, (SELECT ax, ay, bx, bey FROM s)),
 n AS (SELECT line_id, pos, min({_DIST}) AS dist FROM d GROUP BY 1, 2 HAVING min({_DIST}) <= 15)"""
 
 
@@ -296,20 +300,20 @@ _FLAGS = """WITH f AS (SELECT *, inter / CAST(a_area + b_area - inter AS DOUBLE)
 @query("match_flags", "pairs", _FLAGS + " SELECT id, best >= 0.5 AS matched, inside >= 2 AND covered * 2 >= a_area AS split_flag FROM r")
 def match_flags(t):
     mostly = C("inter") * 2 >= area("b_")
-    r = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.count_if(mostly).alias("inside"), F.sum(F.when(mostly, C("inter")).otherwise(0)).alias("covered"), F.max(area("a_")).alias("a"), F.max(IOU).alias("best"))
+    r = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.count_if(mostly).alias("inside"), F.sum(F.when(mostly, C("inter")).otherwise(0)).alias("covered"), F.max(area("a_")).alias("a"), F.max(pair_iou()).alias("best"))
     return r.select("id", (C("best") >= 0.5).alias("matched"), ((C("inside") >= 2) & (C("covered") * 2 >= C("a"))).alias("split_flag"))
 
 
 @query("split_merge_counts", "pairs", "WITH f AS (SELECT *, inter / CAST(a_area + b_area - inter AS DOUBLE) AS iou FROM pairs) SELECT (SELECT count(*) FROM (SELECT a_id FROM f WHERE iou > 0.1 GROUP BY 1 HAVING count(*) > 1)) AS possible_splits, (SELECT count(*) FROM (SELECT b_id FROM f WHERE iou > 0.1 GROUP BY 1 HAVING count(*) > 1)) AS possible_merges")
 def split_merge_counts(t):
-    f = pairs_of(t).where(IOU > 0.1)
+    f = pairs_of(t).where(pair_iou() > 0.1)
     a = f.groupBy("a_id").count().where("count > 1").agg(F.count("*").alias("possible_splits"))
     b = f.groupBy("b_id").count().where("count > 1").agg(F.count("*").alias("possible_merges"))
     return a.crossJoin(b)
 
 
 def scored_pairs(t):
-    return pairs_of(t).select(C("b_id").alias("pred"), C("a_id").alias("ref"), IOU.alias("iou"))
+    return pairs_of(t).select(C("b_id").alias("pred"), C("a_id").alias("ref"), pair_iou().alias("iou"))
 
 
 @query("match_max_card", "pairs", "SELECT count(DISTINCT a_id) AS tp FROM pairs WHERE inter / CAST(a_area + b_area - inter AS DOUBLE) >= 0.6")
@@ -327,7 +331,7 @@ def match_sum_iou(t):
 SELECT block, t AS threshold, count_if(best >= t) AS tp, count_if(best < t) AS fn, round_even(count_if(best >= t) / CAST(count(*) AS DOUBLE), 6) AS recall FROM b, (VALUES (0.5::DOUBLE), (0.3::DOUBLE)) v(t) GROUP BY ALL""")
 def block_scores(t):
     """Recall by block at two thresholds."""
-    m = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.max(IOU).alias("best"))
+    m = pairs_of(t).groupBy(C("a_id").alias("id")).agg(F.max(pair_iou()).alias("best"))
     b = t.parcels.join(m, "id", "left").select((C("id") % 10).alias("block"), F.coalesce("best", F.lit(0.0)).alias("best"), F.explode(F.array(F.lit(0.5), F.lit(0.3))).alias("threshold"))
     hit = C("best") >= C("threshold")
     return b.groupBy("block", "threshold").agg(F.count_if(hit).alias("tp"), F.count_if(~hit).alias("fn"), rounded(F.count_if(hit) / F.count("*")).alias("recall"))
@@ -338,11 +342,10 @@ def ink_mask(t):
     return t.raster.where("gray < 110").select("r", "c")
 
 
-def _lags(table: str) -> str:
-    return f"""(SELECT a.r, a.c, a.gray, {", ".join(f"n{i}.gray AS v{i}" for i in range(8))} FROM {table} a {" ".join(f"JOIN {table} n{i} ON n{i}.r = a.r + {dr} AND n{i}.c = a.c + {dc}" for i, (dr, dc) in enumerate([(-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)]))})"""
+_LAGS = """(SELECT r, c, lag(l) OVER w AS v0, lag(gray) OVER w AS v1, lag(h) OVER w AS v2, l AS v3, h AS v4, lead(l) OVER w AS v5, lead(gray) OVER w AS v6, lead(h) OVER w AS v7 FROM (SELECT r, c, gray, lag(gray) OVER v AS l, lead(gray) OVER v AS h FROM raster WINDOW v AS (PARTITION BY r ORDER BY c)) WINDOW w AS (PARTITION BY c ORDER BY r))"""
 
 
-_SOBEL = "SELECT r, c, v2 + 2 * v4 + v7 - v0 - 2 * v3 - v5 AS gx, v5 + 2 * v6 + v7 - v0 - 2 * v1 - v2 AS gy FROM " + _lags("raster")
+_SOBEL = "SELECT r, c, v2 + 2 * v4 + v7 - v0 - 2 * v3 - v5 AS gx, v5 + 2 * v6 + v7 - v0 - 2 * v1 - v2 AS gy FROM " + _LAGS + " WHERE v0 IS NOT NULL AND v2 IS NOT NULL AND v5 IS NOT NULL AND v7 IS NOT NULL"
 
 
 @query("sobel", "raster", _SOBEL)
@@ -455,7 +458,7 @@ _RECURSIVE = """WITH RECURSIVE m AS MATERIALIZED (SELECT r, c, r * 64 + c AS k F
 SELECT n, count(*) AS labels FROM (SELECT l, count(*) AS n FROM (SELECT k, min(l) AS l FROM w GROUP BY k) GROUP BY l) GROUP BY n"""
 
 
-@query("label_sizes", "raster", _RECURSIVE.replace("WITH RECURSIVE ", "WITH "))
+@query("label_sizes", "raster", _RECURSIVE)
 def label_sizes(t):
     """Sizes of the 4-connected components of dark pixels."""
     lab = R.components(t.raster.where("gray < 45 AND r < 120"))
