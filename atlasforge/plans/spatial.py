@@ -520,3 +520,95 @@ def findings_dedupe(t):
     return suppress(f, ["tile_no", "category"], 0.35).select("id")
 
 
+
+
+def rings(t):
+    """Each line's points as a ring."""
+    return points_array(t).select(C("line_id").alias("id"), F.transform("pts", lambda p: F.struct(p.x.alias("x"), p.y.alias("y"))).alias("pts")).where(F.size("pts") > 2)
+
+
+@query("shape_measures")
+def shape_measures(t):
+    """Hull solidity, rotated rectangle, simplification, validity and an interior point."""
+    from atlasforge.operators.shapes import measures
+
+    return measures(rings(t))
+
+
+@query("skeleton_lines")
+def skeleton_lines(t):
+    from atlasforge.operators.tiles import skeletons
+
+    return skeletons(t.raster.where("gray < 110"), 64)
+
+
+@query("registration_offset")
+def registration_offset(t):
+    """Each tile of the raster against the same tile moved by two columns."""
+    from atlasforge.operators.tiles import registration
+
+    a = t.raster.select("r", "c", C("gray").cast("double").alias("a"))
+    b = t.raster.select("r", ((C("c") + 2) % 64).alias("c"), C("gray").cast("double").alias("b"))
+    return registration(a.join(b, ["r", "c"]))
+
+
+@query("apply_edits", "parcels", "SELECT id, x0, CASE WHEN id % 11 = 0 THEN x1 + 5 ELSE x1 END AS x1, CASE WHEN id % 11 = 0 THEN 'reshaped' ELSE 'kept' END AS action FROM parcels WHERE id % 7 <> 0 UNION ALL SELECT id + 100000, x0, x1, 'added' FROM parcels WHERE id % 13 = 0")
+def apply_edits(t):
+    """The next version of a layer after deletes, reshapes and additions."""
+    from atlasforge.operators.edits import apply_edits as apply
+
+    p = t.parcels.select("id", "x0", "x1")
+    new = p.where("id % 11 = 0").select("id", "x0", (C("x1") + 5).alias("x1"))
+    return apply(p, p.where("id % 7 = 0"), new, p.where("id % 13 = 0").select((C("id") + 100000).alias("id"), "x0", "x1"), "id", 2).select("id", "x0", "x1", "action")
+
+
+@query("zone_fracs", "raster parcels", "SELECT p.id, round_even(avg(CASE WHEN gray < 110 THEN 1.0 ELSE 0.0 END), 6) AS ink, round_even(avg(CASE WHEN gray < 60 THEN 1.0 ELSE 0.0 END), 6) AS dark FROM parcels p JOIN raster r ON r.r >= p.x0 // 4 AND r.r < p.x1 // 4 AND r.c >= p.y0 // 25 AND r.c < p.y1 // 25 + 1 GROUP BY 1")
+def zone_fracs(t):
+    """Shares of ink and dark pixels under each box, by the pixels that a box covers."""
+    p = t.parcels.select("id", F.expr("x0 div 4").alias("a"), F.expr("x1 div 4 - 1").alias("b"), F.expr("y0 div 25").alias("u"), F.expr("y1 div 25").alias("v")).where("a <= b")
+    px = p.withColumn("r", F.explode(F.sequence("a", "b"))).withColumn("c", F.explode(F.sequence("u", "v")))
+    part = lambda k: rounded(F.avg((C("gray") < k).cast("double")))
+    return px.join(t.raster, ["r", "c"]).groupBy("id").agg(part(110).alias("ink"), part(60).alias("dark"))
+
+
+@query("layer_validation", "parcels candidates", "SELECT 'parcels' AS layer, count(*) AS n, count(DISTINCT id) AS keys, count_if(x1 <= x0 OR y1 <= y0) AS empty, min(x0) AS x0, max(x1) AS x1, CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) AS area FROM parcels UNION ALL SELECT 'candidates', count(*), count(DISTINCT id), count_if(x1 <= x0 OR y1 <= y0), min(x0), max(x1), CAST(sum((x1 - x0) * (y1 - y0)) AS BIGINT) FROM candidates")
+def layer_validation(t):
+    one = lambda name, d: d.agg(F.lit(name).alias("layer"), F.count("*").alias("n"), F.count_distinct("id").alias("keys"), F.count_if((C("x1") <= C("x0")) | (C("y1") <= C("y0"))).alias("empty"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.sum(area()).alias("area"))
+    return one("parcels", t.parcels).unionByName(one("candidates", t.candidates))
+
+
+@query("chip_grid", sql="SELECT c * 512 AS col0, r * 512 AS row0 FROM range(0, 23) c(c), range(0, 18) r(r) WHERE c * 512 < 7000 AND c * 512 + 1024 > 2000 AND r * 512 < 6000 AND r * 512 + 1024 > 1500")
+def chip_grid(t):
+    from atlasforge.operators.tiling import overlapping_tiles
+
+    g = overlapping_tiles(t.spark, 11950, 9575, 1024, 512, 512).where("col0 < 23 * 512 and row0 < 18 * 512")
+    return g.where("col0 < 7000 AND col0 + 1024 > 2000 AND row0 < 6000 AND row0 + 1024 > 1500").select("col0", "row0")
+
+
+@query("train_tiles", "raster", "SELECT tr, tc, CASE WHEN v > 0 THEN 'val' WHEN k > 200 THEN 'train' ELSE 'skip' END AS split FROM (SELECT r // 32 AS tr, c // 32 AS tc, count_if(r % 97 = 0) AS v, count_if(gray < 110) AS k FROM raster GROUP BY 1, 2)")
+def train_tiles(t):
+    """Tiles for validation go first, then those with enough labels."""
+    g = t.raster.groupBy(F.expr("r div 32").alias("tr"), F.expr("c div 32").alias("tc")).agg(F.count_if(C("r") % 97 == 0).alias("v"), F.count_if(C("gray") < 110).alias("k"))
+    return g.select("tr", "tc", ladder((C("v") > 0, "val"), (C("k") > 200, "train"), default="skip").alias("split"))
+
+
+@query("largest_part", "candidates", "SELECT parcel_id, arg_max(id, ((x1 - x0) * (y1 - y0), -id)) AS id FROM candidates GROUP BY 1")
+def largest_part(t):
+    return t.candidates.groupBy("parcel_id").agg(F.max_by("id", F.struct(area(), -C("id"))).alias("id"))
+
+
+@query("label_bands", "parcels", "SELECT id, (x1 - x0 + 6) * (y1 - y0 + 6) - greatest(x1 - x0 - 6, 0) * greatest(y1 - y0 - 6, 0) AS band FROM parcels")
+def label_bands(t):
+    w, h = C("x1") - C("x0"), C("y1") - C("y0")
+    return t.parcels.select("id", ((w + 6) * (h + 6) - F.greatest(w - 6, F.lit(0)) * F.greatest(h - 6, F.lit(0))).alias("band"))
+
+
+@query("stroke_width", "raster", "SELECT round_even(quantile_cont(gray, 0.9), 6) AS p90 FROM raster WHERE gray < 110")
+def stroke_width(t):
+    return t.raster.where("gray < 110").agg(rounded(F.percentile("gray", 0.9)).alias("p90"))
+
+
+@query("instance_route", "pairs", "SELECT b_id AS id, CASE WHEN max(inter / CAST(a_area + b_area - inter AS DOUBLE)) >= 0.3 AND max(b_area) <= 3 * max(a_area) THEN 'refined' WHEN max(b_area) BETWEEN 100 AND 600 THEN 'kept' ELSE 'rejected' END AS route FROM pairs GROUP BY 1")
+def instance_route(t):
+    g = pairs_of(t).groupBy(C("b_id").alias("id")).agg(F.max(pair_iou()).alias("i"), F.max(area("a_")).alias("a"), F.max(area("b_")).alias("b"))
+    return g.select("id", ladder(((C("i") >= 0.3) & (C("b") <= 3 * C("a")), "refined"), (C("b").between(100, 600), "kept"), default="rejected").alias("route"))
