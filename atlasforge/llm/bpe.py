@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from atlasforge.llm.common import modest_batches
+from atlasforge.llm.textcore import lean
 
 PIECES_KEPT = 120_000  # in each of two generations
 PAIRS_KEPT = 1_000_000
@@ -159,6 +160,11 @@ class Coder:
             extend(known)
         return ids
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.pieces, self.older = {}, {}
+        self.pairs.clear()
+
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -184,23 +190,26 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, with_ids: b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_of(shared.value, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                counts, id_sums, text_sums, lists = [], [], [], []
-                for text in part.column(1):
-                    ids = coder.encode(text.as_py() or "")
-                    counts.append(len(ids))
-                    id_sums.append(hashlib.sha256(",".join(map(coder.text.__getitem__, ids)).encode()).hexdigest())
-                    text_sums.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+        try:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    counts, id_sums, text_sums, lists = [], [], [], []
+                    for text in part.column(1):
+                        ids = coder.encode(text.as_py() or "")
+                        counts.append(len(ids))
+                        id_sums.append(hashlib.sha256(",".join(map(coder.text.__getitem__, ids)).encode()).hexdigest())
+                        text_sums.append(hashlib.sha256(coder.decode(ids)).hexdigest())
+                        if with_ids:
+                            lists.append(np.array(ids, dtype=np.int32))
+                    cols = [part.column(0), pa.array(counts, pa.int64())]
+                    names = ["doc_id", "n_tokens"]
                     if with_ids:
-                        lists.append(np.array(ids, dtype=np.int32))
-                cols = [part.column(0), pa.array(counts, pa.int64())]
-                names = ["doc_id", "n_tokens"]
-                if with_ids:
-                    cols.append(pa.array(lists, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], names=[*names, "ids_sha256", "decoded_sha256"])
+                        cols.append(pa.array(lists, pa.list_(pa.int32())))
+                        names.append("ids")
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(id_sums, pa.string()), pa.array(text_sums, pa.string())], names=[*names, "ids_sha256", "decoded_sha256"])
+        finally:  # the worker lives on for other tasks
+            coder.forget()
 
     ids = ", ids array<int>" if with_ids else ""
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens bigint{ids}, ids_sha256 string, decoded_sha256 string")
+    return slim.mapInArrow(lean(run), f"doc_id {kind}, n_tokens bigint{ids}, ids_sha256 string, decoded_sha256 string")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import dropped, staged
+from atlasforge.llm.textcore import lean
 
 
 def local_components(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +44,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     Alternates large and small stars, each a minimum by vertex and a join, until nothing changes;
     every round is a table in the shared folder."""
     schema = "u bigint, v bigint"
-    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_contract, schema).distinct(), name)
+    now = staged(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(lean(_contract), schema).distinct(), name)
     while True:
         both = now.union(now.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))

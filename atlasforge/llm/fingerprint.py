@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasforge.llm.textcore import lean
+
 WINDOW, SLOTS, SLOT_BITS = 12, 64, 24
 U = np.uint64
 _MODULI = ((2147483647, 1103515245), (2147483629, 747796405))  # prime, base
@@ -182,7 +184,7 @@ def neighbours(docs: DataFrame, run, schema: str, id_col: str = "doc_id", text_c
 
         return run(paired())
 
-    return sorted_rows.mapInArrow(stream, schema)
+    return sorted_rows.mapInArrow(lean(stream), schema)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +198,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 prints, *_ = sketches(texts[lo:hi])
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(list(map(len, texts[lo:hi])), pa.int64()), pa.array(prints)], names=["doc_id", "n_chars", "fingerprint"])
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, n_chars bigint, fingerprint string")
+    return slim.mapInArrow(lean(run), f"doc_id {dict(slim.dtypes)['doc_id']}, n_chars bigint, fingerprint string")
 
 
 def _cuts(sizes: list[int], limit: int = 400_000) -> Iterator[tuple[int, int]]:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from atlasforge.llm.common import modest_batches
-from atlasforge.llm.textcore import U, mix
+from atlasforge.llm.textcore import U, lean, mix
 
 SLICE_CHARS = 120_000
 _SEED = [U(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA6B27D4EB2F)]
@@ -284,7 +284,7 @@ def learn(docs: DataFrame, training: Column, order: int = 4, train_chars: int =
                     keys, counts = np.unique(both, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys["a"]), pa.array(keys["b"]), pa.array(counts, pa.int64())], names=["lang", "a", "b", "n"])
 
-    grams = sample.where(~held).select("text", "lang").mapInArrow(count, "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toPandas()
+    grams = sample.where(~held).select("text", "lang").mapInArrow(lean(count), "lang string, a bigint, b bigint, n bigint").groupBy("lang", "a", "b").agg(F.sum("n").alias("n")).toPandas()
     model = fit(grams, order)
     if not model.langs:
         return model
@@ -299,7 +299,7 @@ def learn(docs: DataFrame, training: Column, order: int = 4, train_chars: int =
                 yield pa.RecordBatch.from_arrays([pa.array(langs[at : at + len(group)], pa.string()), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(n)], names=["lang", "bits", "n"])
                 at += len(group)
 
-    seen = sample.where(held).select("text", "lang").mapInArrow(measure, "lang string, bits array<double>, n double").where("n > 0").toPandas()
+    seen = sample.where(held).select("text", "lang").mapInArrow(lean(measure), "lang string, bits array<double>, n double").where("n > 0").toPandas()
     seen = seen[seen["lang"].isin(model.langs)]
     calibrate(model, np.array(seen["bits"].tolist()).reshape(-1, len(model.langs)), seen["n"].to_numpy(), np.array([model.langs.index(x) for x in seen["lang"]], dtype=int))
     shared.unpersist()
@@ -338,4 +338,4 @@ def identify(docs: DataFrame, model: Model, reject_sigmas: float = 8.0, text_col
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(bits, pa.float64()), pa.array(rejected, pa.bool_())], names=[*part.schema.names, *added])
                 at += len(group)
 
-    return rest.mapInArrow(run, schema)
+    return rest.mapInArrow(lean(run), schema)

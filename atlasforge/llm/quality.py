@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import modest_batches
-from atlasforge.llm.textcore import U, mix, slices, span_hashes, spans
+from atlasforge.llm.textcore import U, lean, mix, slices, span_hashes, spans
 
 _CLASS = np.full(256, 2, dtype=np.uint8)  # 0 white space, 1 letters and digits, 2 other signs
 _CLASS[[0x20, *range(0x09, 0x0E)]] = 0
@@ -107,7 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame, train_chars: int = 24_000_000, bit
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32())), part.column(2)], names=["id", "at", "x", "label"])
 
-    table = sample.mapInArrow(extract, "id string, at array<int>, x array<float>, label int").toArrow()
+    table = sample.mapInArrow(lean(extract), "id string, at array<int>, x array<float>, label int").toArrow()
     found = [(i, np.asarray(a.values), np.asarray(x.values), y) for i, a, x, y in zip(table["id"].to_pylist(), table["at"], table["x"], table["label"].to_pylist(), strict=True)]
     found.sort(key=lambda r: (r[0] or "", r[3], len(r[1])))  # whatever order the tasks ended in
     return train([r[1:] for r in found], bits, epochs, alpha, l1, l2)
@@ -129,4 +129,4 @@ def score(docs: DataFrame, weights: np.ndarray, value_scale: float = 30.0, text_
                 dot = (sums[first[1:]] - sums[first[:-1]]) * (value_scale / np.maximum(n, 1)) + float(w[-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(1 / (1 + np.exp(-np.clip(dot, -35, 35))))], names=["doc_id", "score"])
 
-    return slim.mapInArrow(run, f"doc_id {dict(slim.dtypes)['doc_id']}, score double")
+    return slim.mapInArrow(lean(run), f"doc_id {dict(slim.dtypes)['doc_id']}, score double")

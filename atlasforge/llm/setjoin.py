@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from atlasforge.llm.common import dropped, modest_batches, shuffle_parts, staged
 from atlasforge.llm.components import components, local_components
-from atlasforge.llm.textcore import Sets, U, lines, part_of, parted, set_classes, shingle_sets, slices, words
+from atlasforge.llm.textcore import Sets, U, lean, lines, part_of, parted, set_classes, shingle_sets, slices, words
 
 CHUNK = 2000  # sets of one candidate component in a bucket
 PIVOTS = 4
@@ -109,7 +109,7 @@ def _survivors(texts: DataFrame, size: int, percent: int, parts: int, by_line: b
         if total:
             yield flush()
 
-    sent = texts.select("text").mapInArrow(send, "part int, tok binary, own binary, met binary")
+    sent = texts.select("text").mapInArrow(lean(send), "part int, tok binary, own binary, met binary")
 
     def meet(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -233,7 +233,7 @@ def _ranked(sets: DataFrame, percent: int, parts: int) -> DataFrame:
         keep = pa.array([x is not None for x in prefixes])
         return left.drop_columns(["home"]).append_column("prefix", pa.array(prefixes, pa.binary())).filter(keep)
 
-    met = sets.select("h", "data").mapInArrow(send, "part int, tok binary, own binary").groupBy("part").applyInArrow(meet, "home int, part int, own binary, tok binary, many binary")
+    met = sets.select("h", "data").mapInArrow(lean(send), "part int, tok binary, own binary").groupBy("part").applyInArrow(meet, "home int, part int, own binary, tok binary, many binary")
     # the home of a class: equal ranges of the upper half of its bits, read as unsigned
     home = F.shiftrightunsigned(F.shiftrightunsigned("h", 32) * F.lit(parts), 32).cast("int")
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sets.schema)
@@ -278,7 +278,7 @@ def _candidates(sets: DataFrame, parts: int) -> DataFrame:
         nodes, root = local_components(own[off], lead[off])
         return pa.table({"u": nodes, "v": root})
 
-    sent = sets.select("h", "prefix").mapInArrow(send, "part int, tok binary, own binary")
+    sent = sets.select("h", "prefix").mapInArrow(lean(send), "part int, tok binary, own binary")
     salted = sent.withColumn("salt", F.when(F.col("part") < 0, F.pmod(F.xxhash64("own"), F.lit(parts))).otherwise(F.lit(0)))
     return salted.groupBy("part", "salt").applyInArrow(meet, "u bigint, v bigint").where("u <> v")
 
@@ -470,7 +470,7 @@ class Gathered:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number), pa.array(s.sizes()), pa.array(cls), pa.array(data, pa.binary())], names=["doc_id", "number", "n_shingles", "h", "data"])
 
         #: doc_id, number (of the line), n_shingles, h (0: an empty set)
-        self.every = staged(rows.mapInArrow(gather, f"doc_id {kind}, number bigint, n_shingles bigint, h bigint, data binary"), "set-classes")
+        self.every = staged(rows.mapInArrow(lean(gather), f"doc_id {kind}, number bigint, n_shingles bigint, h bigint, data binary"), "set-classes")
         first = self.every.where("data is not null").join(alive, "h", "left_semi").groupBy("h").agg(F.first("data").alias("data"))
         seen_id, seen_no = F.lit(0).cast("long"), F.lit(0).cast("long")
         if by_line:

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
-from atlasforge.llm.textcore import U, distinct_counts, mix, parted, slices, words
+from atlasforge.llm.textcore import U, distinct_counts, lean, mix, parted, slices, words
 
 BLOCK_BYTES = 16_000_000
 STATE_BITS = 12
@@ -128,7 +128,7 @@ def _summaries(rows: DataFrame, contexts: int) -> tuple[Frequent, Frequent, int]
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size if k == 0 else 0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (f.keys, f.last, f.counts))], names=["depth", "size", "keys", "last", "counts"])
 
     schema = "depth int, size bigint, keys binary, last binary, counts binary"
-    each = rows.mapInArrow(run, schema)
+    each = rows.mapInArrow(lean(run), schema)
 
     def merge(table: pd.DataFrame) -> pd.DataFrame:
         f = Frequent.empty(contexts)
@@ -168,7 +168,7 @@ def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
                     out.write_batch(part)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zstandard.compress(sink.getvalue(), 1)], pa.binary())], names=["block", "docs"])
 
-    return keyed.mapInArrow(run, "block int, docs binary")
+    return keyed.mapInArrow(lean(run), "block int, docs binary")
 
 
 def _opened(column: pa.ChunkedArray) -> pa.Table:
