@@ -153,6 +153,17 @@ class Sets:
         return self.values[self.first[k] : self.first[k + 1]]
 
 
+def _sorted_in_rows(g: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Hashes sorted within each row. One key with the row above a hash's upper bits sorts faster than two
+    keys; where two hashes of a row share those bits in the wrong order, both keys are used."""
+    bits = max(1, int(rows).bit_length())
+    order = np.argsort(row.astype(U) << U(64 - bits) | g >> U(bits))
+    out = g[order]
+    if len(out) > 1 and ((out[1:] < out[:-1]) & (row[1:] == row[:-1])).any():
+        out = g[np.lexsort((g, row))]
+    return out
+
+
 def shingle_sets(w: Words, size: int = 5) -> Sets:
     """For each row its distinct hashes of runs of `size` words; a row with fewer words has its whole
     sequence as one, a row without words none."""
@@ -163,13 +174,13 @@ def shingle_sets(w: Words, size: int = 5) -> Sets:
     width = np.minimum(np.repeat(n, many), size)
     terms = np.concatenate((w.hash, np.zeros(size, dtype=U)))
     g = width.astype(U) * U(0x2545F4914F6CDD1D)
-    for k in range(size):
-        term = mix(terms[start + k] + U(k + 1)) * _SHINGLE[k % 5]
-        g += term if n.min(initial=size) >= size else np.where(width > k, term, U(0))
+    short = bool(len(n)) and int(n.min()) < size
+    for k in range(size):  # word hashes are mixed already, so odd multipliers tell places apart
+        term = terms[start + k] * (_SHINGLE[k % 5] + U(2 * (k // 5)))
+        g += np.where(width > k, term, U(0)) if short else term
     g = mix(g)
     row = np.repeat(np.arange(rows), many)
-    order = np.lexsort((g, row))
-    g = g[order]
+    g = _sorted_in_rows(g, row, rows)
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     kept = np.concatenate(([0], np.cumsum(new)))
