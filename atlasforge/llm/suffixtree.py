@@ -1,23 +1,24 @@
 """Probabilistic suffix tree over words: variable-length contexts, kept by a divergence test.
 
-Tokens are words (A-Z lower-cased) and one end a text. A context is the last one or two tokens; a
-text's first token follows a begin mark. Contexts that may be frequent are found by Misra-Gries
-summaries, which never miss one that holds more than 1 / (`contexts` + 1) of the training tokens and
-whose size is fixed. One exact count of (context, next token) follows, over all documents. A context
-becomes a state if it is that frequent and its next tokens differ from its parent's (the context
-without its first token): twice the log-likelihood gain must exceed what a chi-squared variable with
-as many degrees as there are distinct next tokens would reach by `sigmas`. Parents of states are
-states.
+Tokens are words (A-Z lower-cased) and one end a text. A context is the last one to `DEPTH` tokens; a
+text's first token follows a begin mark. A context that training has at least `least` times is a
+candidate, and a state if its next tokens differ from its parent's (the context without its first
+token): twice the log-likelihood gain must exceed what a chi-squared variable with as many degrees as
+there are distinct next tokens would reach by `sigmas`. The states are not bounded: they grow with the
+corpus.
 
 Smoothing goes down the tree: P(w | s) = (n(s, w) + t(s) P(w | parent)) / (n(s) + t(s)), with t(s)
 the number of distinct next tokens; at the root (c(w) + 0.5) / (N + 0.5 (V + 1)). A token is scored
-in the longest suffix of what precedes it that is a state.
+in the longest suffix of what precedes it that is a state; all shorter suffixes smooth it.
 
-Scale: texts are dealt once to blocks of about `BLOCK_BYTES` by a hash of the row; each block sends
-every distinct (context, token) key once, packed as sorted arrays dealt by ranges of the token's
-hash, so no token's counts meet more than one row a block; the counts of a block's own keys come
-back the same way, and each block is scored from them. What moves is proportional to the text. The
-tree has 2 * `contexts` + 1 states at most, so it may be broadcast. Tokens are 52-bit hashes.
+Scale: texts are dealt to blocks of about `BLOCK_BYTES` by a hash of the row. Three times each block
+asks for what it needs, every distinct key once, as sorted arrays dealt by ranges of the key's hash:
+how often runs of up to `DEPTH` tokens occur, which are the contexts of the tokens after them; how often
+a token follows its longest context, if that is a candidate; and whether candidates are states.
+For the last, a block sums what its training tokens add to a context's gain and distinct next tokens,
+log(n(s, w) n(parent) / (n(parent, w) n(s))) and 1 / n(s, w) each; gains move as 32-bit floats. No key has more than one row a block,
+whatever its frequency, and no table of contexts is broadcast or reaches the driver. What moves is
+proportional to the text. Tokens, contexts and their pairs are 64-bit hashes.
 
 A null text counts as empty: one end token. Repeated rows count as often as they occur. Further
 columns do not matter; an empty table gives an empty one. With no training row every token has the
@@ -27,10 +28,8 @@ probability of an unknown one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
@@ -39,119 +38,48 @@ from pyspark.sql import functions as F
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
 from atlasforge.llm.textcore import U, distinct_counts, lean, mix, parted, slices, words
 
-BLOCK_BYTES = 16_000_000
-STATE_BITS = 12
+BLOCK_BYTES = 12_000_000
+DEPTH = 3
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BEGIN, _END, _PAIR = U(0x0123456789ABCDEF), U(0x7FEDCBA987654321), U(0x9E3779B97F4A7C15)
 
 
-def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens of a slice with their ends, the contexts of one and two tokens before each, and where
+def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Tokens of a slice with their ends, the contexts of one to `DEPTH` tokens before each, and where
     each row's tokens begin."""
     w = words(raw, offsets)
     t = np.insert(w.hash, w.first[1:], _END)
     first = w.first + np.arange(len(w.first))
-    one = np.empty_like(t)
-    one[1:] = t[:-1]
-    one[first[:-1]] = _BEGIN
-    before = np.empty_like(t)
-    before[1:] = one[:-1]
-    before[first[:-1]] = _END
-    return t, one, mix(before * _PAIR + one), first
-
-
-@dataclass
-class Frequent:
-    """A Misra-Gries summary: what it holds, by key, is within 1 / (limit + 1) of the whole."""
-
-    limit: int
-    keys: np.ndarray
-    last: np.ndarray
-    counts: np.ndarray
-
-    @classmethod
-    def empty(cls, limit: int) -> "Frequent":
-        return cls(limit, np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
-
-    def add(self, keys: np.ndarray, last: np.ndarray, counts: np.ndarray | None = None, limit: int | None = None) -> None:
-        keys, last = np.concatenate((self.keys, keys)), np.concatenate((self.last, last))
-        counts = np.concatenate((self.counts, np.ones(len(keys) - len(self.keys), np.int64) if counts is None else counts))
-        order = np.argsort(keys, kind="stable")
-        keys, last, counts = keys[order], last[order], counts[order]
-        if len(keys):
-            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, last, counts = keys[at], last[at], np.add.reduceat(counts, at)
-        limit = limit or self.limit
-        if len(keys) > limit:
-            counts = counts - np.partition(counts, len(counts) - limit - 1)[len(counts) - limit - 1]
-            keys, last, counts = keys[counts > 0], last[counts > 0], counts[counts > 0]
-        self.keys, self.last, self.counts = keys, last, counts
-
-
-@dataclass
-class Tree:
-    """Candidate contexts as sorted keys with state numbers; the root is state 0."""
-
-    one: np.ndarray
-    two: np.ndarray
-    parent: np.ndarray  # by state
-
-    def label(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """The longest candidate context of each position."""
-        state = np.zeros(len(one), dtype=np.int64)
-        for keys, given, base in ((self.one, one, 1), (self.two, two, 1 + len(self.one))):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, given), len(keys) - 1)
-                state = np.where(keys[at] == given, at + base, state)
-        return state
-
-
-def _pack(t: np.ndarray, state: np.ndarray) -> np.ndarray:
-    return t >> U(STATE_BITS) << U(STATE_BITS) | state.astype(U)
-
-
-def _summaries(rows: DataFrame, contexts: int) -> tuple[Frequent, Frequent, int]:
-    """Frequent contexts of one and two tokens in training rows; bytes of all texts."""
+    back, contexts = t, []
+    for k in range(DEPTH):
+        before = np.empty_like(t)
+        before[1:] = back[:-1]
+        before[first[:-1]] = _END if k else _BEGIN
+        contexts.append(mix(before * _PAIR + contexts[-1]) if k else before)
+        back = before
+    return t, contexts, first
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, size = (Frequent.empty(contexts), Frequent.empty(contexts)), 0
-        for batch in batches:
-            learn = np.asarray(batch.column(2).fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-            for lo, hi, raw, offsets in slices(batch.column(1)):
-                size += len(raw)
-                t, one, two, first = tokens(raw, offsets)
-                use = np.repeat(learn[lo:hi], np.diff(first))
-                found[0].add(one[use], one[use], limit=64 * contexts)
-                found[1].add(two[use], one[use], limit=64 * contexts)
-        none = np.zeros(0, U)
-        for k, f in enumerate(found):
-            f.add(none, none)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([size if k == 0 else 0], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (f.keys, f.last, f.counts))], names=["depth", "size", "keys", "last", "counts"])
-
-    schema = "depth int, size bigint, keys binary, last binary, counts binary"
-    each = rows.mapInArrow(lean(run), schema)
-
-    def merge(table: pd.DataFrame) -> pd.DataFrame:
-        f = Frequent.empty(contexts)
-        for k, la, c in zip(table["keys"], table["last"], table["counts"], strict=True):
-            f.add(np.frombuffer(k, U), np.frombuffer(la, U), np.frombuffer(c, np.int64))
-        return pd.DataFrame({"depth": [int(table["depth"].iloc[0])], "size": [int(table["size"].sum())], "keys": [f.keys.tobytes()], "last": [f.last.tobytes()], "counts": [f.counts.tobytes()]})
-
-    grouped = each.groupBy("depth", F.pmod(F.spark_partition_id(), F.lit(16)).alias("g")).applyInPandas(merge, schema).toPandas()
-    out, size = [], int(grouped["size"].sum()) if len(grouped) else 0
-    for depth in (0, 1):
-        part = grouped[grouped["depth"] == depth].sort_values("keys")
-        f = Frequent.empty(contexts)
-        for k, la, c in zip(part["keys"], part["last"], part["counts"], strict=True):
-            f.add(np.frombuffer(k, U), np.frombuffer(la, U), np.frombuffer(c, np.int64))
-        out.append(f)
-    return out[0], out[1], size
-
-
-def _tree(one: Frequent, two: Frequent) -> Tree:
-    both = np.isin(two.last, one.keys)
-    keys, last = two.keys[both], two.last[both]
-    parent = np.concatenate((np.zeros(1 + len(one.keys), np.int64), 1 + np.searchsorted(one.keys, last)))
-    return Tree(one.keys, keys, parent)
+
+def _small(x: np.ndarray) -> np.ndarray:
+    return x.astype(next(d for d in ("u1", "<u2", "<u4", "<u8") if not x.size or int(x.max()) <= np.iinfo(d).max))
+
+
+def _press(x: np.ndarray) -> bytes:
+    """An array by bytes of equal weight, compressed."""
+    return x.dtype.str.encode() + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def _unpress(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:3].decode())
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data[3:]), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def _press_keys(keys: np.ndarray) -> bytes:
+    return _press(np.diff(keys, prepend=U(0)))
+
+
+def _unpress_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpress(data), dtype=U)
 
 
 def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
@@ -177,153 +105,199 @@ def _opened(column: pa.ChunkedArray) -> pa.Table:
     return pa.concat_tables([pa.ipc.open_stream(zstandard.decompress(x)).read_all() for x in parts])
 
 
-def _walk(docs: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    return slices(docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string()))
-
-
-def _keys(docs: pa.Table, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed (token, context) of every token of a block, whether it is learned from, tokens a row."""
-    learn = np.asarray(docs.column("learn").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
-    keys, use, counts = [], [], []
-    for lo, hi, raw, offsets in _walk(docs):
-        t, one, two, first = tokens(raw, offsets)
-        n = np.diff(first)
-        keys.append(_pack(t, tree.label(one, two)))
-        use.append(np.repeat(learn[lo:hi], n))
-        counts.append(n)
-    return np.concatenate(keys), np.concatenate(use), np.concatenate(counts)
-
-
-_COUNTED = "block int, part int, data binary, state int, gain double, n bigint, kinds bigint"
-
-
-def _count(requests: DataFrame, parent: np.ndarray, singles: int) -> DataFrame:
-    """For every part of the hashes: the exact counts of each block's keys, and sums by state."""
-
-    def run(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        block = table.column("block").to_numpy()
-        keys = [np.frombuffer(x.as_py(), U) for x in table.column("keys")]
-        sums = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column("counts")])
-        every, n = distinct_counts(np.concatenate(keys), sums)
-        state, word = (every & U((1 << STATE_BITS) - 1)).astype(np.int64), every >> U(STATE_BITS)
-        starts = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        c = np.repeat(np.add.reduceat(n, starts), np.diff(np.append(starts, len(word))))
-        deep = state > singles
-        own = np.where(deep, parent[state], state)
-        key1, n1 = distinct_counts(_pack(word << U(STATE_BITS), own), n)
-        at = np.searchsorted(key1, _pack(word << U(STATE_BITS), own))
-        n1_here = np.where(own > 0, n1[at], 0)
-        n2_here = np.where(deep, n, 0)
-        # sums by state: the root, then contexts of one token, then of two
-        one_state = (key1 & U((1 << STATE_BITS) - 1)).astype(np.int64)
-        c1 = np.zeros(len(key1), np.int64)
-        c1[at] = c
-        size = len(parent)
-        gain, total, kinds = np.zeros(size), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        total[0], kinds[0] = n.sum(), (c[starts] > 0).sum()
-        for s, m, up in ((one_state, n1, c1), (np.where(deep, state, 0), n2_here, n1_here)):
-            use = (s > 0) & (m > 0)
-            s, m, up = s[use], m[use].astype(float), up[use].astype(float)
-            gain += np.bincount(s, m * np.log(m / up), size) if len(s) else 0
-            total += np.bincount(s, m, size).astype(np.int64) if len(s) else 0
-            kinds += np.bincount(s, minlength=size) if len(s) else 0
-        some = np.flatnonzero(total)
-        replies = []
-        for k in keys:
-            i = np.searchsorted(every, k)
-            replies.append(np.stack((c[i], n1_here[i], n2_here[i])))
-        made = [x.astype("<u4" if x.size == 0 or x.max() < 1 << 32 else "<u8") for x in replies]
-        data = [bytes([x.itemsize]) + x.tobytes() for x in made]
-        m, k = len(data), len(some)
-        return pa.table({
-            "block": pa.array([*block.tolist(), *[None] * k], pa.int32()), "part": pa.array([part] * (m + k), pa.int32()), "data": pa.array([*data, *[None] * k], pa.binary()),
-            "state": pa.array([*[None] * m, *some.tolist()], pa.int32()), "gain": pa.array([*[None] * m, *gain[some].tolist()], pa.float64()),
-            "n": pa.array([*[None] * m, *total[some].tolist()], pa.int64()), "kinds": pa.array([*[None] * m, *kinds[some].tolist()], pa.int64()),
-        })
-
-    return requests.groupBy("part").applyInArrow(run, _COUNTED)
-
-
-@dataclass
-class States:
-    """By candidate: whether it is a state, its tokens and its distinct next tokens."""
-
-    kept: np.ndarray
-    n: np.ndarray
-    kinds: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return int(self.kept.sum())
-
-
-def choose(tree: Tree, singles: int, gain: np.ndarray, n: np.ndarray, kinds: np.ndarray, contexts: int, sigmas: float) -> States:
-    """The divergence test."""
-    up = n[tree.parent]
-    total = gain + n * (np.log(np.maximum(up, 1)) - np.log(np.maximum(n, 1)))
-    kept = (n * (contexts + 1) >= n[0]) & (n > 0) & (2 * total > kinds + sigmas * np.sqrt(2.0 * kinds))
-    kept[tree.parent[1 + singles :][kept[1 + singles :]]] = True
-    kept[0] = True
-    return States(kept, n, kinds)
-
-
-def score(docs: DataFrame, training: Column, contexts: int = 1023, sigmas: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Distinct:
+    """The sorted distinct keys of an array, and the number of each entry's key."""
+
+    def __init__(self, keys: np.ndarray):
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        self.keys = ordered[new]
+        self.which = np.empty(len(keys), np.int32)
+        self.which[order] = np.cumsum(new, dtype=np.int32) - 1
+
+    def sums(self, which: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(which, weights, len(self.keys))
+
+
+class Block:
+    """A block's tokens and contexts, and what replies told of them."""
+
+    def __init__(self, docs: pa.Table):
+        learn = np.asarray(docs.column("learn").combine_chunks().fill_null(False).to_numpy(zero_copy_only=False), dtype=bool)
+        t, use, counts, contexts = [], [], [], [[] for _ in range(DEPTH)]
+        for lo, hi, raw, offsets in slices(docs.column("text").combine_chunks()):
+            here, before, first = tokens(raw, offsets)
+            n = np.diff(first)
+            t.append(here)
+            use.append(np.repeat(learn[lo:hi], n))
+            counts.append(n)
+            for k in range(DEPTH):
+                contexts[k].append(before[k])
+        self.t, self.use, self.counts = np.concatenate(t), np.concatenate(use), np.concatenate(counts)
+        self.contexts = [np.concatenate(x) for x in contexts]
+        self.first = np.concatenate(([0], np.cumsum(self.counts)))[:-1]
+        self.runs = Distinct(np.concatenate((self.t | U(1), *(mix(c * _PAIR + self.t) & ~U(1) for c in self.contexts[:-1]))))
+
+    def told_runs(self, replies: list[bytes], texts: int, least: int) -> None:
+        """follows: how often each token occurs, then after its contexts; n: how often those occur;
+        at: tokens whose context of each length is a candidate."""
+        n = np.concatenate([_unpress(x).astype(np.int64) for x in replies])
+        if len(n) != len(self.runs.keys):
+            raise RuntimeError("a block's keys changed between two passes")
+        self.follows = list(n[self.runs.which].reshape(DEPTH, -1))
+        self.n, self.at = [], []
+        for f in self.follows:  # a run of tokens is the context of the token after it; texts begin alike
+            c = np.empty_like(f)
+            c[1:] = f[:-1]
+            c[self.first] = texts
+            self.n.append(c)
+            self.at.append(np.flatnonzero(c >= least))
+        self.longest = Distinct(mix(self.contexts[-1][self.at[-1]] * _PAIR + self.t[self.at[-1]]))
+
+    def told_longest(self, replies: list[bytes]) -> None:
+        n = np.zeros(len(self.t), np.int64)
+        if replies:
+            n[self.at[-1]] = np.concatenate([_unpress(x).astype(np.int64) for x in replies])[self.longest.which]
+        self.follows.append(n)
+        self.states = Distinct(np.concatenate([c[at] for c, at in zip(self.contexts, self.at, strict=True)]))
+        self.number = np.split(self.states.which, np.cumsum([len(at) for at in self.at])[:-1])
+
+    def told_states(self, replies: list[bytes]) -> None:
+        """kinds and kept: distinct next tokens of the candidates, and whether they are states."""
+        told = np.concatenate([np.zeros(0, np.int64), *(_unpress(x).astype(np.int64) for x in replies)])
+        self.kinds, self.kept = told >> 1, told & 1 == 1
+
+    def evidence(self, total: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the block's training tokens add to each candidate's gain and distinct next tokens."""
+        gain, kinds = np.zeros(len(self.states.keys)), np.zeros(len(self.states.keys))
+        for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
+            a, which = at[self.use[at]], number[self.use[at]]
+            m, up, n = (x[a].astype(float) for x in (self.follows[k + 1], self.follows[k], self.n[k]))
+            gain += self.states.sums(which, np.log(m * (self.n[k - 1][a] if k else total) / (up * n)))
+            kinds += self.states.sums(which, 1 / m)
+        return gain.astype(np.float32), kinds
+
+    def graded(self, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+        """The probability of each token by itself and by the tree."""
+        base = (self.follows[0] + 0.5) / (total + 0.5 * (vocabulary + 1))
+        deepest = np.full(len(self.t), -1)
+        for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
+            deepest[at[self.kept[number]]] = k
+        p = base.copy()
+        for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
+            use = deepest[at] >= k
+            a, kinds = at[use], self.kinds[number[use]]
+            p[a] = (self.follows[k + 1][a] + kinds * p[a]) / (self.n[k][a] + kinds)
+        return base, p
+
+
+def _requests(block: int, keys: np.ndarray, parts: int, *values: np.ndarray) -> pa.Table:
+    """Sorted keys and their values, dealt to parts."""
+    out = [(p, _press_keys(keys[s]), [_press(v[s] if v.dtype.kind == "f" else _small(v[s])) for v in values]) for p, s in parted(keys, parts)]
+    columns = {f"v{k}": pa.array([x[2][k] for x in out], pa.binary()) for k in range(len(values))}
+    return pa.table({"block": pa.array([block] * len(out), pa.int32()), "part": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), **columns})
+
+
+def _summed(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, list[np.ndarray]]:
+    """A part's requests by block, the keys of each, all distinct keys, and the sums of their values."""
+    table = table.sort_by("block")
+    keys = [_unpress_keys(x.as_py()) for x in table.column("keys")]
+    whole, sums = np.concatenate(keys), []
+    for name in sorted(c for c in table.column_names if c.startswith("v")):
+        v = np.concatenate([_unpress(x.as_py()) for x in table.column(name)])
+        every, total = distinct_counts(whole, v.astype(np.float64 if v.dtype.kind == "f" else np.int64))
+        sums.append(total)
+    return table, keys, every, sums
+
+
+_REPLIES = "step int, block int, part int, data binary, n bigint, kinds bigint"
+
+
+def _replies(step: int, table: pa.Table, data: list[bytes], n: int = 0, kinds: int = 0) -> pa.Table:
+    """Replies to a part's blocks, and a row of the part's own sums."""
+    m, part = len(data), table.column("part")[0].as_py()
+    return pa.table({
+        "step": pa.array([step] * (m + 1), pa.int32()), "block": pa.array([*table.column("block").to_pylist(), None], pa.int32()), "part": pa.array([part] * (m + 1), pa.int32()),
+        "data": pa.array([*data, None], pa.binary()), "n": pa.array([*[None] * m, n], pa.int64()), "kinds": pa.array([*[None] * m, kinds], pa.int64()),
+    })
+
+
+def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known (tokens that training has), train_tokens, base_score (log10 by single
     tokens) and score (log10 by the tree) of every row; learns from the rows where `training` holds."""
-    if not 1 <= contexts <= (1 << STATE_BITS - 1) - 1:
-        raise ValueError("contexts must be from 1 to 2047")
+    if least < 1:
+        raise ValueError("least must be at least 1")
     modest_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("learn"))
     kind = dict(rows.dtypes)["doc_id"]
-    one, two, size = _summaries(rows, contexts)
-    tree = _tree(one, two)
-    singles = len(tree.one)
-    shared = spark.sparkContext.broadcast(tree)
+    size, texts = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count_if("learn")).first())
     blocks, parts = max(1, -(-size // BLOCK_BYTES)), shuffle_parts(spark)
     packed = _blocks(rows, blocks)
 
-    def ask(table: pa.Table) -> pa.Table:
-        keys, use, _ = _keys(_opened(table.column("docs")), shared.value)
-        every, n = distinct_counts(keys, use.astype(np.int64))
-        out = [(p, every[s].tobytes(), n[s].tobytes()) for p, s in parted(every, parts)]
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block] * len(out), pa.int32()), "part": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), "counts": pa.array([x[2] for x in out], pa.binary())})
-
-    requests = packed.groupBy("block").applyInArrow(ask, "block int, part int, keys binary, counts binary")
-    counted = staged(_count(requests, tree.parent, singles), "suffix-counts")
-    sums = counted.where("state is not null").groupBy("state").agg(F.sum("gain").alias("gain"), F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toPandas()
-    gain, n, kinds = np.zeros(len(tree.parent)), np.zeros(len(tree.parent)), np.zeros(len(tree.parent))
-    gain[sums["state"]], n[sums["state"]], kinds[sums["state"]] = sums["gain"], sums["n"], sums["kinds"]
-    states = spark.sparkContext.broadcast(choose(tree, singles, gain, n, kinds, contexts, sigmas))
+    def ask_runs(table: pa.Table) -> pa.Table:
+        b = Block(_opened(table.column("docs")))
+        return _requests(table.column("block")[0].as_py(), b.runs.keys, parts, b.runs.sums(b.runs.which, np.tile(b.use, DEPTH)).astype(np.int64))
+
+    def tell_counts(step: int):
+        def run(table: pa.Table) -> pa.Table:
+            table, keys, every, (n,) = _summed(table)
+            single = (every & U(1)) == 1
+            return _replies(step, table, [_press(_small(n[np.searchsorted(every, k)])) for k in keys], int(n[single].sum()), int((n[single] > 0).sum()))
+
+        return run
+
+    def tell_states(table: pa.Table) -> pa.Table:
+        table, keys, every, (gain, kinds) = _summed(table)
+        kinds = np.rint(kinds).astype(np.int64)
+        told = kinds * 2 + (2 * gain > kinds + sigmas * np.sqrt(2.0 * kinds))
+        return _replies(2, table, [_press(_small(told[np.searchsorted(every, k)])) for k in keys])
+
+    def answered(asked: DataFrame, tell, name: str) -> DataFrame:
+        before = spark.conf.get(_CLEANUP)
+        spark.conf.set(_CLEANUP, "true")  # a pass's shuffle files go with it: the next one reads what is staged
+        try:
+            return staged(asked.groupBy("part").applyInArrow(tell, _REPLIES), name)
+        finally:
+            spark.conf.set(_CLEANUP, before)
+
+    def with_replies(replies: DataFrame):
+        return packed.groupBy("block").cogroup(replies.where("block is not null").select("step", "block", "part", "data").groupBy("block"))
+
+    def told_block(docs: pa.Table, replies: pa.Table) -> Block:
+        b = Block(docs)
+        rows = sorted(zip(replies.column("step").to_pylist(), replies.column("part").to_pylist(), replies.column("data").to_pylist(), strict=True))
+        runs, longest, states = ([d for s, _, d in rows if s == k] for k in range(3))
+        b.told_runs(runs, texts, least)
+        b.told_longest(longest)
+        b.told_states(states)
+        return b
+
+    request = "block int, part int, keys binary, v0 binary"
+    told = answered(packed.groupBy("block").applyInArrow(ask_runs, request), tell_counts(0), "suffix-runs")
+    sums = told.agg(F.sum("n"), F.sum("kinds")).first()
+    total, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
+
+    def ask_longest(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = told_block(_opened(left.column("docs")), right)
+        return _requests(left.column("block")[0].as_py(), b.longest.keys, parts, b.longest.sums(b.longest.which, b.use[b.at[-1]]).astype(np.int64))
+
+    told = told.unionByName(answered(with_replies(told).applyInArrow(ask_longest, request), tell_counts(1), "suffix-longest"))
+
+    def ask_states(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = told_block(_opened(left.column("docs")), right)
+        return _requests(left.column("block")[0].as_py(), b.states.keys, parts, *b.evidence(total))
+
+    told = told.unionByName(answered(with_replies(told).applyInArrow(ask_states, request + ", v1 binary"), tell_states, "suffix-states"))
 
     def grade(left: pa.Table, right: pa.Table) -> pa.Table:
-        docs, tree, st = _opened(left.column("docs")), shared.value, states.value
-        keys, _, counts = _keys(docs, tree)
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        every = ordered[new]
-        which = np.empty(len(keys), np.int64)
-        which[order] = np.cumsum(new) - 1
-        replies = sorted(zip(right.column("part").to_pylist(), right.column("data").to_pylist(), strict=True))
-        found = np.concatenate([np.frombuffer(d, "<u4" if d[0] == 4 else "<u8", offset=1).reshape(3, -1) for _, d in replies], axis=1).astype(float)
-        if found.shape[1] != len(every):
-            raise RuntimeError("a block's keys changed between two passes")
-        total, vocabulary = st.n[0], st.kinds[0]
-        base = (found[0] + 0.5) / (total + 0.5 * (vocabulary + 1))
-        state = (every & U((1 << STATE_BITS) - 1)).astype(np.int64)
-        deep = state > len(tree.one)
-        own = np.where(deep, tree.parent[state], state)
-        p = base
-        for s, m in ((own, found[1]), (np.where(deep, state, 0), found[2])):
-            use = (s > 0) & st.kept[s]
-            p = np.where(use, (m + st.kinds[s] * p) / np.maximum(st.n[s] + st.kinds[s], 1), p)
-        first = np.concatenate(([0], np.cumsum(counts)))[:-1]
-        sums = [np.add.reduceat(x[which], first) for x in (np.log10(base), np.log10(p), (found[0] > 0).astype(np.int64))]
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(sums[2], pa.int64()), "train_tokens": pa.array(np.full(len(counts), int(total)), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
+        docs = _opened(left.column("docs"))
+        b = told_block(docs, right)
+        base, p = b.graded(total, vocabulary)
+        sums = [np.add.reduceat(x, b.first) for x in (np.log10(base), np.log10(p), (b.follows[0] > 0).astype(np.int64))]
+        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(b.counts, pa.int64()), "n_known": pa.array(sums[2], pa.int64()), "train_tokens": pa.array(np.full(len(b.counts), total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
 
     schema = f"doc_id {kind}, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    replies = counted.where("state is null").select("block", "part", "data")
-    return packed.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(grade, schema)
+    return with_replies(told).applyInArrow(grade, schema)
