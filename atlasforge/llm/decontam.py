@@ -5,7 +5,9 @@ letter or a comma) become typed placeholders; other words are lower-cased. Every
 template tokens is hashed, by three rounds of pairing neighbours, and joined with the hashes of the
 benchmark's windows. A document leaks an item if it has at least `min_share` of the item's distinct windows
 and its values stand consistently for the item's: of the item's values, at least `min_consistent`
-must meet one and the same value of the document wherever they occur. Windows of which more than
+must meet one and the same value of the document wherever they occur. If they don't in the whole
+document, each occurrence of the item is judged by itself, with its own share: windows that stand at one
+distance from the item's, and runs of such distances that are at most a window apart. Windows of which more than
 half are placeholders say nothing and are left out, unless an item has no other.
 
 Items of fewer tokens than a window are matched as a whole, each length by windows of its own.
@@ -20,6 +22,7 @@ Empty tables give empty results.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import staged
@@ -86,13 +89,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = 0.5, min_con
         windows = template_windows(docs, id_col, text_col, size).withColumnRenamed("key", "doc_id")
         met = staged(windows.join(keys, "w"), "leak-windows")
         shares = met.groupBy("doc_id", "item_id").agg(F.countDistinct("w").alias("n_windows"), F.first("n_item").alias("n_item")).withColumn("share", F.col("n_windows") / F.col("n_item")).where(F.col("share") >= min_share)
-        values = met.where("slots > 0").join(shares.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi")
+        each_pair = W.partitionBy("doc_id", "item_id")
+        spots = met.join(shares.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").withColumn("at", F.col("place") - F.col("item_place"))
+        spots = spots.withColumn("apart", (F.col("at") - F.lag("at").over(each_pair.orderBy("at")) > WINDOW).cast("int"))
+        spots = spots.withColumn("run", F.coalesce(F.sum("apart").over(each_pair.orderBy("at")), F.lit(0))).withColumn("several", F.min("at").over(each_pair) < F.max("at").over(each_pair))
+        spot = lambda kind, at: F.struct(F.lit(kind).alias("kind"), at.cast("long").alias("at"))
+        whole, run, line = spot(0, F.lit(0)), spot(1, F.col("run")), spot(2, F.col("at"))
+        spots = spots.withColumn("spot", F.explode(F.when(F.col("several"), F.array(whole, run, line)).otherwise(F.array(whole))))
+        enough = spots.groupBy("doc_id", "item_id", "spot").agg((F.countDistinct("w") / F.first("n_item")).alias("here")).where(F.col("here") >= min_share).drop("here")
+        values = spots.where("slots > 0").join(enough, ["doc_id", "item_id", "spot"], "left_semi")
         if values.limit(1).count():
             texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).join(values.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", tokens(F.col("__text")).alias("__tokens"))
             pairs = values.join(hashed.select("item_id", "item_place", "item_part"), ["item_id", "item_place"]).join(texts, "doc_id")
-            pairs = pairs.select("doc_id", "item_id", F.explode(F.arrays_zip(F.col("item_part").alias("a"), F.slice("__tokens", F.col("place") + 1, F.lit(size)).alias("b"))).alias("p")).where("p.a < '\u0004'")
-            each = pairs.groupBy("doc_id", "item_id", F.col("p.a").alias("a")).agg(F.countDistinct("p.b").alias("kinds"), F.max((F.col("p.a") != F.col("p.b")).cast("int")).alias("differs"))
-            agree = each.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_values"), F.sum((F.col("kinds") == 1).cast("int")).alias("n_consistent"), F.max("differs").alias("differs"))
+            pairs = pairs.select("doc_id", "item_id", "spot", F.explode(F.arrays_zip(F.col("item_part").alias("a"), F.slice("__tokens", F.col("place") + 1, F.lit(size)).alias("b"))).alias("p")).where("p.a < '\u0004'")
+            each = pairs.groupBy("doc_id", "item_id", "spot", F.col("p.a").alias("a")).agg(F.countDistinct("p.b").alias("kinds"), F.max((F.col("p.a") != F.col("p.b")).cast("int")).alias("differs"))
+            agree = each.groupBy("doc_id", "item_id", "spot").agg(F.count("*").alias("n_values"), F.sum((F.col("kinds") == 1).cast("int")).alias("n_consistent"), F.max("differs").alias("differs"))
+            # the whole document if it is consistent, else the most consistent occurrence
+            rank = F.struct((F.col("n_consistent") >= F.col("n_values") * min_consistent).alias("holds"), (F.col("spot.kind") == 0).alias("whole"), "n_consistent", (-F.col("n_values")).alias("fewer"), "n_values")
+            agree = agree.groupBy("doc_id", "item_id").agg(F.max(rank).alias("best"), F.max("differs").alias("differs")).select("doc_id", "item_id", "best.n_values", "best.n_consistent", "differs")
             shares = shares.join(agree, ["doc_id", "item_id"], "left")
         else:
             shares = shares.withColumns({c: F.lit(None).cast("long") for c in ("n_values", "n_consistent", "differs")})
