@@ -10,7 +10,7 @@ from atlasforge.functions.columns import area, ladder, rounded
 from atlasforge.operators import raster as R
 from atlasforge.operators import shapes as S
 from atlasforge.operators import tiles as T
-from atlasforge.operators.greedy import keep_greedy
+from atlasforge.operators.greedy import suppress
 from atlasforge.operators.spatial import best_match, overlapping
 from atlasforge.plans.registry import query
 from atlasforge.plans.spatial import pair_iou, pairs_of, rings
@@ -352,13 +352,8 @@ def boundary_dist_sym(t):
 @query("nms_masks")
 def nms_masks(t):
     """Greedy suppression within a tile by score, over an IoU of 0.5."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        return pdf[keep_greedy(pdf[["x0", "y0", "x1", "y1"]].to_numpy(float), pdf["score"].to_numpy(float), 0.5)][["id"]]
-
-    f = t.findings.where("NOT err").withColumn("score", (C("id") * 7919) % 10007).withColumn("cell", F.floor(C("x0") / 64))
-    return f.groupBy("tile_no", "cell").applyInPandas(run, "id bigint")
+    f = t.findings.where("NOT err").withColumn("score", (C("id") * 7919) % 10007)
+    return suppress(f, ["tile_no"], 0.5)
 
 
 @query("clamp_to_ink", "pairs", "SELECT b_id AS id, a_id, CASE WHEN (b_area - inter) * 100 > 7 * b_area THEN 'clamp' ELSE 'keep' END AS action FROM pairs WHERE inter * 2 >= b_area")
