@@ -42,6 +42,8 @@ BLOCK_BYTES = 12_000_000
 DEPTH = 3
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BEGIN, _END, _PAIR = U(0x0123456789ABCDEF), U(0x7FEDCBA987654321), U(0x9E3779B97F4A7C15)
+#: Keys of the contexts of a text's first token, by length and in order.
+_STARTS = np.sort(mix(np.arange(1, DEPTH + 1, dtype=U) * _PAIR + _BEGIN))
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -157,12 +159,28 @@ class Block:
         self.longest = Distinct(mix(self.contexts[-1][self.at[-1]] * _PAIR + self.t[self.at[-1]]))
 
     def told_longest(self, replies: list[bytes]) -> None:
+        """follows: also how often each token occurs after its longest context; states: the candidates'
+        sorted keys, and number: which of them is the context of each length of the tokens in `at`. A
+        context is the run that ends before the token, so the runs' order serves again; those of a
+        text's first token are no runs and get keys of their own."""
         n = np.zeros(len(self.t), np.int64)
         if replies:
             n[self.at[-1]] = np.concatenate([_unpress(x).astype(np.int64) for x in replies])[self.longest.which]
         self.follows.append(n)
-        self.states = Distinct(np.concatenate([c[at] for c, at in zip(self.contexts, self.at, strict=True)]))
-        self.number = np.split(self.states.which, np.cumsum([len(at) for at in self.at])[:-1])
+        place = np.searchsorted(self.runs.keys, _STARTS)
+        which = self.runs.which.reshape(DEPTH, -1)
+        number, used = [], np.zeros(len(self.runs.keys) + DEPTH, bool)
+        begins = np.zeros(len(self.t), bool)
+        begins[self.first] = True
+        for k, at in enumerate(self.at):
+            run = which[k, at - 1]
+            own = run + sum((run >= p).astype(np.int32) for p in place)
+            own[begins[at]] = place[k] + k
+            used[own] = True
+            number.append(own)
+        self.states = np.insert(self.runs.keys, place, _STARTS)[used]
+        dense = np.cumsum(used, dtype=np.int32) - 1
+        self.number = [dense[own] for own in number]
 
     def told_states(self, replies: list[bytes]) -> None:
         """kinds and kept: distinct next tokens of the candidates, and whether they are states."""
@@ -171,12 +189,12 @@ class Block:
 
     def evidence(self, total: int) -> tuple[np.ndarray, np.ndarray]:
         """What the block's training tokens add to each candidate's gain and distinct next tokens."""
-        gain, kinds = np.zeros(len(self.states.keys)), np.zeros(len(self.states.keys))
+        gain, kinds = np.zeros(len(self.states)), np.zeros(len(self.states))
         for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
             a, which = at[self.use[at]], number[self.use[at]]
             m, up, n = (x[a].astype(float) for x in (self.follows[k + 1], self.follows[k], self.n[k]))
-            gain += self.states.sums(which, np.log(m * (self.n[k - 1][a] if k else total) / (up * n)))
-            kinds += self.states.sums(which, 1 / m)
+            gain += np.bincount(which, np.log(m * (self.n[k - 1][a] if k else total) / (up * n)), len(gain))
+            kinds += np.bincount(which, 1 / m, len(kinds))
         return gain.astype(np.float32), kinds
 
     def graded(self, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,13 +284,15 @@ def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0
     def with_replies(replies: DataFrame):
         return packed.groupBy("block").cogroup(replies.where("block is not null").select("step", "block", "part", "data").groupBy("block"))
 
-    def told_block(docs: pa.Table, replies: pa.Table) -> Block:
+    def told_block(docs: pa.Table, replies: pa.Table, steps: int) -> Block:
         b = Block(docs)
         rows = sorted(zip(replies.column("step").to_pylist(), replies.column("part").to_pylist(), replies.column("data").to_pylist(), strict=True))
         runs, longest, states = ([d for s, _, d in rows if s == k] for k in range(3))
         b.told_runs(runs, texts, least)
-        b.told_longest(longest)
-        b.told_states(states)
+        if steps > 1:
+            b.told_longest(longest)
+        if steps > 2:
+            b.told_states(states)
         return b
 
     request = "block int, part int, keys binary, v0 binary"
@@ -281,20 +301,20 @@ def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0
     total, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
 
     def ask_longest(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = told_block(_opened(left.column("docs")), right)
+        b = told_block(_opened(left.column("docs")), right, 1)
         return _requests(left.column("block")[0].as_py(), b.longest.keys, parts, b.longest.sums(b.longest.which, b.use[b.at[-1]]).astype(np.int64))
 
     told = told.unionByName(answered(with_replies(told).applyInArrow(ask_longest, request), tell_counts(1), "suffix-longest"))
 
     def ask_states(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = told_block(_opened(left.column("docs")), right)
-        return _requests(left.column("block")[0].as_py(), b.states.keys, parts, *b.evidence(total))
+        b = told_block(_opened(left.column("docs")), right, 2)
+        return _requests(left.column("block")[0].as_py(), b.states, parts, *b.evidence(total))
 
     told = told.unionByName(answered(with_replies(told).applyInArrow(ask_states, request + ", v1 binary"), tell_states, "suffix-states"))
 
     def grade(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = _opened(left.column("docs"))
-        b = told_block(docs, right)
+        b = told_block(docs, right, 3)
         base, p = b.graded(total, vocabulary)
         sums = [np.add.reduceat(x, b.first) for x in (np.log10(base), np.log10(p), (b.follows[0] > 0).astype(np.int64))]
         return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(b.counts, pa.int64()), "n_known": pa.array(sums[2], pa.int64()), "train_tokens": pa.array(np.full(len(b.counts), total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
