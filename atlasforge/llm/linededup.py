@@ -1,35 +1,344 @@
 """Line dedup: an exact set-similarity join of lines, after which later matches go.
 
-A line's tokens are its distinct runs of five words (A-Z lower-cased; a line with fewer words is one
-token), so a line with a word changed in a long passage still matches. Tokens are ordered by rarity;
-prefix, positional and length filters leave the pairs whose Jaccard similarity is then verified
-(`setjoin`, whose steps serve lines as they serve documents). A line goes if an earlier one, by id and
-place, has the same tokens or a similarity of `percent` / 100 or more, whether or not that earlier
-line stays itself. The first of a group of copies stays.
-
-Lines without a word are never removed. Null texts stay null and empty ones empty. Rows that repeat an
-id count as one document's. Further columns stay as they are; an empty table gives an empty one.
+A line's tokens are its distinct words (A-Z lower-cased, runs of other than white space). A line goes if
+an earlier one, by id and place, has the same words or a Jaccard similarity of `percent` / 100 or more,
+whether or not that earlier line stays itself. The first of a group of copies stays. Lines with equal
+sets are one class, and only classes are joined:
+
+1. One pass counts how many lines have each word, by slots of the word's hash (`SLOTS`, so the table
+   has a fixed size; words that share a slot only look more frequent), and notes each line's class.
+2. A line's words are ordered by rarity. Of two lines that link, the rarest common word is among the
+   n - ceil(n * percent / 100) + 1 rarest words of each (prefix filter), so lines meet by those. A word
+   that more than `HOT` lines have brings too many together; as lines that link share as many as two
+   (three) words if the prefix is one (two) words longer, it meets by pairs or triples that begin with
+   it. Groups stay small whatever the corpus's size, unless their lines are alike.
+3. In a group, in order of appearance, a line looks for the first earlier one that length, position of
+   the common word and a 128-bit parity sketch of the words do not rule out: |x ^ y| is at least the
+   number of bits in which two sketches differ.
+4. The sets of the pairs left are gathered and their similarity verified. A line whose pairs all fail
+   but that had more to compare gets all its pairs in a second round. Words that more than `SPLIT`
+   lines have are dealt to several groups by a hash of the class; lines without a match there meet the
+   other groups in the second round, so no link is lost.
+
+Lines without a word are never removed. Null texts stay null and empty ones empty. Very long lines are
+sets like others. Rows that repeat an id count as one document's; of lines with one id and number the
+class with the smaller hash is the earlier one. A null id comes before all others. Further columns stay
+as they are; an empty table gives an empty one. Ids must be integers.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasforge.llm.setjoin import repeated_lines
+from atlasforge.llm.common import modest_batches, shuffle_parts, staged
+from atlasforge.llm.setjoin import bloom_words, links, maybe
+from atlasforge.llm.textcore import Sets, U, lean, lines, mix, pack, parted, set_classes, shingle_sets, slices, unpress, words
+
+SLOTS = 1 << 20
+RANGES = 16
+HOT = 256
+SPLIT = 1 << 15
+FLUSH = 400_000  # entries sent at once
+_STEP = U(0x9E3779B97F4A7C15)
+_LOW = U(0xFFFFFFFF)
+
+
+def level(count: np.ndarray) -> np.ndarray:
+    """Rarity in steps of an eighth of a doubling; 0 for none."""
+    return np.floor(8 * np.log2(np.asarray(count, float) + 1)).astype(np.uint8)
+
+
+def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Sets, np.ndarray]]:
+    """For slices of texts: the row and the number of every line, its set of words and its class."""
+    for lo, _, raw, offsets in slices(column):
+        cut, row, number = lines(raw, offsets)
+        s = shingle_sets(words(raw, cut), 1)
+        yield row + lo, number, s, set_classes(s)
+
+
+def _classes(rows: DataFrame) -> DataFrame:
+    """(doc_id, number, h) of every line with a word, and counts of lines by slots of words (slots, data)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for row, number, s, cls in _sets(batch.column(1)):
+                count += np.bincount((s.values >> U(32)).astype(np.int64) * SLOTS >> 32, minlength=SLOTS)
+                some = cls != 0
+                none = pa.nulls(int(some.sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(number[some]), pa.array(cls[some]), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "number", "h", "slots", "data"])
+        held = [(k, c) for k, c in enumerate(count.reshape(RANGES, -1)) if c.any()]
+        none = pa.nulls(len(held)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in held], pa.int32()), pa.array([pack(c) for _, c in held], pa.binary())], names=["doc_id", "number", "h", "slots", "data"])
+
+    return rows.mapInArrow(lean(run), "doc_id bigint, number bigint, h bigint, slots int, data binary")
+
+
+def _rarity(every: DataFrame) -> np.ndarray:
+    """The level of each slot: a table of fixed size."""
+
+    def total(table: pa.Table) -> pa.Table:
+        count = sum(unpress(x.as_py()).astype(np.int64) for x in table.column("data"))
+        return pa.table({"slots": table.column("slots").slice(0, 1), "data": pa.array([level(count).tobytes()], pa.binary())})
+
+    out = np.zeros((RANGES, SLOTS // RANGES), np.uint8)
+    for r in every.where("slots is not null").select("slots", "data").groupBy("slots").applyInArrow(total, "slots int, data binary").collect():
+        out[r["slots"]] = np.frombuffer(r["data"], np.uint8)
+    return out.ravel()
+
+
+class Entries:
+    """What lines send: a signature for each word of the prefix, or for pairs or triples that begin with a
+    frequent one; the line, and the place of the first word in the line's order by rarity."""
+
+    def __init__(self, s: Sets, rarity: np.ndarray, percent: int):
+        n = s.sizes()
+        rows = len(n)
+        row = np.repeat(np.arange(rows), n)
+        lev = rarity[(s.values >> U(32)).astype(np.int64) * SLOTS >> 32]
+        bits = max(1, rows.bit_length())
+        order = np.argsort(row.astype(U) << U(64 - bits) | lev.astype(U) << U(56 - bits) | s.values >> U(8 + bits), kind="stable")
+        tok, lev = s.values[order], lev[order]
+        place = np.arange(len(tok)) - np.repeat(s.first[:-1], n)
+        # a set links with another one only if it may with itself and one word more
+        prefix = np.where(100 * n >= percent * (n + 1), n + (-n * percent // 100) + 1, 0)
+        words_ = 1 + (lev > level(HOT)).astype(np.int64) + (lev > level(64 * HOT))
+        begins = np.flatnonzero(place < prefix[row])
+        size = n[row]
+        sig, first = [], []
+        for many in (1, 2, 3):
+            at = begins[words_[begins] == many]
+            h, last = tok[at], at
+            ends = np.minimum(prefix[row[at]] + many - 1, size[at]) + at - place[at]  # of the longer prefix
+            for _ in range(many - 1):
+                wide = np.maximum(ends - last - 1, 0)
+                rep = np.repeat(np.arange(len(last)), wide)
+                last = last[rep] + 1 + np.arange(len(rep)) - np.repeat(np.cumsum(wide) - wide, wide)
+                at, ends, h = at[rep], ends[rep], mix(h[rep] * _STEP + tok[last])
+            sig.append(h)
+            first.append(at)
+        self.sig, at = np.concatenate(sig), np.concatenate(first)
+        self.row, self.place = row[at], place[at]
+        over = np.maximum(0, (lev[at].astype(np.int64) - int(level(SPLIT))) >> 3)
+        self.salts = np.where(lev[at] > level(SPLIT), 2 << over, 1)
+        bit = (mix(s.values * _STEP) & U(127)).astype(np.int64)
+        self.sketch = [_parity(np.where((bit >> 6) == k, U(1) << (bit & 63).astype(U), U(0)), s.first) for k in (0, 1)]
+
+
+def _parity(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The exclusive or of each row's values."""
+    run = np.concatenate((np.zeros(1, U), np.bitwise_xor.accumulate(bits))) if len(bits) else np.zeros(1, U)
+    return run[first[1:]] ^ run[first[:-1]]
+
+
+_FIELDS = ("sig", "h", "doc", "number", "n", "place", "role", "p0", "p1")
+_UNSIGNED = ("p0", "p1")
+
+
+def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
+    """Arrow batches of (doc_id, text) to packed entries (part, data). With the filters `wanted` (of
+    signatures) and `probes` (of classes) only those signatures are sent, and probes to all groups of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        total = 0
+
+        def flush() -> pa.RecordBatch:
+            whole = dict(zip(_FIELDS, (np.concatenate(x) for x in zip(*held, strict=True)), strict=True))
+            order = np.argsort(whole["sig"])
+            whole = {k: v[order] for k, v in whole.items()}
+            out = [(p, [pack(np.diff(whole["sig"][s], prepend=U(0))), *(pack(whole[k][s]) for k in _FIELDS[1:])]) for p, s in parted(whole["sig"], parts)]
+            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary()))], names=["part", "data"])
+
+        for batch in batches:
+            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            for row, number, s, cls in _sets(batch.column(1)):
+                _, own = np.unique(cls, return_index=True)  # a class once a slice
+                lead = np.zeros(len(cls), bool)
+                lead[own] = True
+                e = Entries(s, rarity.value, percent)
+                use = lead[e.row]
+                if wanted is not None:
+                    use &= maybe(wanted.value, e.sig.view(np.int64))
+                sig, r, place, salts = e.sig[use], e.row[use], e.place[use], e.salts[use]
+                home = (cls[r].view(U) % salts.astype(U)).astype(np.int64)
+                role = np.ones(len(r), np.uint8)
+                if probes is not None:
+                    far = np.flatnonzero(maybe(probes.value, cls[r]) & (salts > 1))
+                    rep = np.repeat(far, salts[far])
+                    to = np.arange(len(rep)) - np.repeat(np.cumsum(salts[far]) - salts[far], salts[far])
+                    rep, to = rep[to != home[rep]], to[to != home[rep]]
+                    sig, r, place, salts, home, role = (np.concatenate((a, b)) for a, b in ((sig, sig[rep]), (r, r[rep]), (place, place[rep]), (salts, salts[rep]), (home, to), (role, np.zeros(len(rep), np.uint8))))
+                key = np.where(salts > 1, mix(sig + home.astype(U) * _STEP), sig)
+                # the group's signature without its salt goes along where it is split
+                held.append([key, cls[r], ids[row[r]], number[r], s.sizes()[r], place, role | (salts > 1).astype(np.uint8) << 1, e.sketch[0][r], e.sketch[1][r]])
+                total += len(key)
+                if total > max(FLUSH, 32 * parts):
+                    yield flush()
+                    held.clear()
+                    total = 0
+        if total:
+            yield flush()
+
+    return lean(run)
+
+
+def _may_link(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Length, positional and sketch filters."""
+    n, m = e["n"][x], e["n"][y]
+    least = -(-percent * (n + m) // (100 + percent))
+    ok = np.minimum(n - e["place"][x], m - e["place"][y]) >= least
+    differ = np.bitwise_count(e["p0"][x] ^ e["p0"][y]).astype(np.int64) + np.bitwise_count(e["p1"][x] ^ e["p1"][y])
+    return ok & (differ <= n + m - 2 * least)
+
+
+def _meet(percent: int, probes=None):
+    """A part's entries to pairs (u, v), v the earlier one, with `more` where u has further lines to meet.
+    Without probes each line's first pair, with them all pairs of theirs."""
+
+    def run(table: pa.Table) -> pa.Table:
+        blobs = table.column("data").to_pylist()
+        e = {k: np.concatenate([unpress(b[j]).astype(U if k in _UNSIGNED else np.int64) for b in blobs]) for j, k in enumerate(_FIELDS) if j}
+        e["sig"] = np.concatenate([np.cumsum(unpress(b[0]), dtype=U) for b in blobs])
+        by_place = np.lexsort((e["h"], e["number"], e["doc"]))
+        rank = np.empty(len(by_place), np.int64)
+        rank[by_place] = np.arange(len(by_place))
+        sig = e["sig"] & _LOW
+        order = np.argsort(sig << U(32) | rank.astype(U))
+        e = {k: v[order] for k, v in e.items()}
+        sig = sig[order]
+        same = np.argsort(sig << U(32) | e["h"].view(U) >> U(32), kind="stable")  # a class once a group
+        again = np.zeros(len(sig), bool)
+        again[1:] = (sig[same][1:] == sig[same][:-1]) & (e["h"][same][1:] == e["h"][same][:-1])
+        keep = np.ones(len(sig), bool)
+        keep[same[again]] = False
+        e, sig = {k: v[keep] for k, v in e.items()}, sig[keep]
+        start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        long = np.diff(np.append(start, len(sig)))
+        begin = np.repeat(start, long)
+        at = np.arange(len(sig)) - begin
+        u, v, more = [], [], []
+        if probes is None:
+            split = (e["role"] & 2) > 0
+            active, k = np.flatnonzero(at > 0), 0
+            while len(active):
+                y = begin[active] + k
+                ok = _may_link(e, active, y, percent)
+                x, y = active[ok], y[ok]
+                u.append(x)
+                v.append(y)
+                more.append((at[x] > k + 1) | split[x])
+                active, k = active[~ok], k + 1
+                active = active[at[active] > k]
+            found = np.zeros(len(sig), bool)
+            if u:
+                found[np.concatenate(u)] = True
+            lone = np.flatnonzero(split & ~found)  # the group's other parts may hold a match
+            u.append(lone)
+            v.append(lone)
+            more.append(np.ones(len(lone), bool))
+        else:
+            for x in np.flatnonzero(maybe(probes.value, e["h"]) & (at > 0)).tolist():
+                y = np.arange(begin[x], x)
+                y = y[(e["role"][y] & 1) > 0]
+                y = y[_may_link(e, np.full(len(y), x), y, percent)]
+                u.append(np.full(len(y), x))
+                v.append(y)
+                more.append(np.zeros(len(y), bool))
+        cat = lambda a, kind: np.concatenate(a) if a else np.zeros(0, kind)
+        u, v, more = cat(u, np.int64), cat(v, np.int64), cat(more, bool)
+        pairs = np.stack((e["h"][u], e["h"][v]), axis=1) if len(u) else np.zeros((0, 2), np.int64)
+        order = np.lexsort((~more, pairs[:, 1], pairs[:, 0]))
+        pairs, more = pairs[order], more[order]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        return pa.table({"u": pairs[new, 0], "v": pairs[new, 1], "more": more[new]})
+
+    return run
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Classes u (h) of the pairs (u, v) that link: only the sets of those classes move."""
+    spark = rows.sparkSession
+    alive = staged(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "h"), "line-alive")
+    words_ = spark.sparkContext.broadcast(bloom_words(alive))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, s, cls in _sets(batch.column(1)):
+                own, at = np.unique(cls, return_index=True)
+                at = at[maybe(words_.value, own) & (own != 0)]
+                yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array([s.row(k).tobytes() for k in at.tolist()], pa.binary())], names=["h", "data"])
+
+    found = rows.mapInArrow(lean(gather), "h bigint, data binary").join(alive, "h", "left_semi")
+    sets = staged(found.groupBy("h").agg(F.first("data").alias("data")), "line-sets")
+    both = pairs.join(sets.select(F.col("h").alias("u"), F.col("data").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("data").alias("b")), "v")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = ([np.frombuffer(x, U) for x in batch.column(k).to_pylist()] for k in (1, 2))
+            ok = [links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in zip(a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["h"])
+
+    return staged(both.select("u", "a", "b").mapInArrow(lean(test), "h bigint").distinct(), "line-links")
+
+
+def _matched(rows: DataFrame, every: DataFrame, percent: int) -> DataFrame:
+    """Classes (h) of which an earlier class is similar enough."""
+    spark, parts = rows.sparkSession, shuffle_parts(rows.sparkSession)
+    rarity = spark.sparkContext.broadcast(_rarity(every))
+    packed, schema = "part int, data array<binary>", "u bigint, v bigint, more boolean"
+    first = staged(rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema).groupBy("u", "v").agg(F.max("more").alias("more")), "line-pairs")
+    linked = _verified(rows, first.where("u <> v").select("u", "v"), percent)
+    left = staged(first.where("more").select(F.col("u").alias("h")).distinct().join(linked, "h", "left_anti"), "line-open")
+    if left.limit(1).count():
+        probes = spark.sparkContext.broadcast(bloom_words(left))
+
+        def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, s, cls in _sets(batch.column(1)):
+                    e = Entries(s, rarity.value, percent)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(e.sig[maybe(probes.value, cls[e.row])]).view(np.int64))], names=["h"])
+
+        wanted = spark.sparkContext.broadcast(bloom_words(staged(rows.mapInArrow(lean(signatures), "h bigint").distinct(), "line-signatures")))
+        more = rows.mapInArrow(_send(rarity, percent, parts, wanted, probes), packed).groupBy("part").applyInArrow(_meet(percent, probes), schema)
+        more = staged(more.select("u", "v").distinct().join(first.select("u", "v"), ["u", "v"], "left_anti"), "line-pairs")
+        linked = linked.union(_verified(rows, more, percent)).distinct()
+    return linked
 
 
-def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the sorted numbers of its lines that go, for documents that lose any."""
-    gone = repeated_lines(docs, size, percent, id_col, text_col)
+    if not 75 <= percent <= 100:
+        raise ValueError("percent must be from 75 to 100: below that, lines that link may share fewer than three words")
+    if dict(docs.dtypes)[id_col] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("line ids must be integers")
+    modest_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = staged(_classes(rows), "line-classes")
+    own = every.where("h is not null").select("doc_id", "number", "h")
+    matched = _matched(rows, every, percent).withColumn("matched", F.lit(True))
+    first = own.groupBy("h").agg(F.min(F.struct("doc_id", "number")).alias("at"), F.count("*").alias("copies")).join(matched, "h", "left")
+    first = first.where("copies > 1 or matched").select("h", F.when(F.col("matched"), None).otherwise(F.col("at")).alias("stays"))
+    gone = own.join(first, "h").where(~F.col("stays").eqNullSafe(F.struct("doc_id", "number")))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("number")).alias("lines"))
 
 
-def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with the text that is left, and n_lines and n_removed (long)."""
-    gone = removed_lines(docs, size, percent, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
+    gone = removed_lines(docs, percent, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
     joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     split = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(split, lambda line, k: ~F.array_contains(F.col("__gone"), k.cast("long"))), "\n")
-    counted = joined.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return counted.withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text_col))).withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long")).drop("__gone")
+    joined = joined.withColumn("__lines", split).withColumn("__gone", F.filter("__gone", lambda k: k < F.size("__lines")))
+    # the runs of lines between those that go
+    cut = lambda a, b: F.slice("__lines", (a + 2).cast("int"), (b - a - 1).cast("int"))
+    starts, ends = F.concat(F.array(F.lit(-1).cast("long")), F.col("__gone")), F.concat(F.col("__gone"), F.array(F.size("__lines").cast("long")))
+    kept = F.array_join(F.flatten(F.zip_with(starts, ends, cut)), "\n")
+    counted = joined.withColumn("n_lines", F.coalesce(F.size("__lines"), F.lit(0)).cast("long")).withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
+    out = counted.withColumn(text_col, F.when(F.col("n_removed") > 0, kept).otherwise(F.col(text_col)))
+    return out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.col("n_lines")).cast("long")).drop("__gone", "__lines")

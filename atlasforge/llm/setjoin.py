@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from atlasforge.llm.common import dropped, modest_batches, shuffle_parts, staged
 from atlasforge.llm.components import components, local_components
-from atlasforge.llm.textcore import Sets, U, lean, lines, part_of, parted, set_classes, shingle_sets, slices, words
+from atlasforge.llm.textcore import Sets, U, lean, part_of, parted, set_classes, shingle_sets, slices, words
 
 CHUNK = 2000  # sets of one candidate component in a bucket
 PIVOTS = 4
@@ -56,17 +56,14 @@ def links(n: int, m: int, both: int, percent: int) -> bool:
     return 100 * both >= percent * (n + m - both)
 
 
-def _sets(batch: pa.RecordBatch, column: int, size: int, by_line: bool) -> Iterator[tuple[np.ndarray, np.ndarray, Sets, np.ndarray]]:
-    """For slices of a batch: the row and the line number of every set, the sets and their classes."""
-    for lo, hi, raw, offsets in slices(batch.column(column)):
-        row, number = np.arange(hi - lo), np.zeros(hi - lo, np.int64)
-        if by_line:
-            offsets, row, number = lines(raw, offsets)
+def _sets(column: pa.Array, size: int) -> Iterator[tuple[np.ndarray, Sets, np.ndarray]]:
+    """For slices of texts: the rows, their sets and the sets' classes."""
+    for lo, hi, raw, offsets in slices(column):
         s = shingle_sets(words(raw, offsets), size)
-        yield row + lo, number, s, set_classes(s)
+        yield np.arange(lo, hi), s, set_classes(s)
 
 
-def _survivors(texts: DataFrame, size: int, percent: int, parts: int, by_line: bool) -> DataFrame:
+def _survivors(texts: DataFrame, size: int, percent: int, parts: int) -> DataFrame:
     """Classes of which another class sends at least as many hashes as a link needs."""
     limit = max(FLUSH, 32 * parts)
 
@@ -93,9 +90,9 @@ def _survivors(texts: DataFrame, size: int, percent: int, parts: int, by_line: b
             return pa.RecordBatch.from_arrays([pa.array([*(x[0] for x in at), -1, -2], pa.int32()), pa.array([*(x[1] for x in at), counts.astype(np.int64).tobytes(), need[first].tobytes()], pa.binary()), pa.array([*(x[2] for x in at), classes.tobytes(), cls.tobytes()], pa.binary()), pa.array([*(x[3] for x in at), None, None], pa.binary())], names=["part", "tok", "own", "met"])
 
         for batch in batches:
-            for _, _, s, cls in _sets(batch, 0, size, by_line):
+            for _, s, cls in _sets(batch.column(0), size):
                 n = s.sizes()
-                need = np.maximum(1, n // 10)
+                need = np.maximum(1, n // 10) if percent <= 90 else np.ones(len(n), np.int64)
                 sent = np.minimum(n, n - -(-n * percent // 100) + need)
                 place = np.arange(len(s.values)) - np.repeat(s.first[:-1], n)
                 use = place < np.repeat(sent, n)
@@ -135,7 +132,7 @@ def _survivors(texts: DataFrame, size: int, percent: int, parts: int, by_line: b
     return counted.groupBy("h").agg(F.sum("met").alias("met"), F.max("need").alias("need")).where("met >= need and need > 0").select("h")
 
 
-def _filter_words(classes: DataFrame) -> np.ndarray:
+def bloom_words(classes: DataFrame) -> np.ndarray:
     """A Bloom filter of classes, of bounded size: two bits each."""
     n, bits = classes.count(), 1 << 16
     while bits < MAX_FILTER_BITS and bits < 16 * n:
@@ -147,7 +144,7 @@ def _filter_words(classes: DataFrame) -> np.ndarray:
     return words_
 
 
-def _maybe(words_: np.ndarray, cls: np.ndarray) -> np.ndarray:
+def maybe(words_: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """Which classes the filter may hold."""
     bits, out = U(len(words_) * 64), np.ones(len(cls), dtype=bool)
     signed = cls % np.int64(bits)
@@ -349,46 +346,18 @@ def join_bucket(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, np.ndar
     return out
 
 
-def match_bucket(sets: list[np.ndarray], prefixes: list[tuple[np.ndarray, np.ndarray]], percent: int, open_: np.ndarray) -> list[int]:
-    """Of sets in their order of appearance, those with open_ that link with an earlier one; the same
-    filters, and a set's comparisons end at its first match."""
-    index: dict[int, list[tuple[int, int]]] = {}
-    found = []
-    for x, s in enumerate(sets):
-        n = len(s)
-        met: set[int] = set()
-        for place, tok in zip(*(a.tolist() for a in prefixes[x]), strict=True):
-            entries = index.setdefault(tok, [])
-            if open_[x]:
-                for y, y_place in entries:
-                    m = len(sets[y])
-                    if links(n, m, min(n - place, m - y_place), percent):
-                        met.add(y)
-            entries.append((x, place))
-        if any(links(n, len(sets[y]), len(np.intersect1d(s, sets[y], assume_unique=True)), percent) for y in sorted(met)):
-            found.append(x)
-    return found
-
-
-def _in_buckets(rows: DataFrame, percent: int, matching: bool) -> DataFrame:
-    """Of the sets (bucket, h, data, grp, seen_id, seen_no) of each bucket: links (u, v) that make the groups, or with
-    matching (u, u) for each class that an earlier one matches."""
+def _in_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the sets (bucket, h, data, prefix, grp) of each bucket: links (u, v) that make the groups."""
 
     def run(table: pa.Table) -> pa.Table:
         h, at = np.unique(table.column("h").to_numpy(), return_index=True)
         table = table.take(pa.array(at))
-        if matching:
-            order = np.lexsort((h, table.column("seen_no").to_numpy(), table.column("seen_id").to_numpy()))
-            table, h = table.take(pa.array(order)), h[order]
         sets = [np.frombuffer(x.as_py(), U) for x in table.column("data")]
         prefixes = [read_prefix(x.as_py()) for x in table.column("prefix")]
-        if matching:
-            own = h[match_bucket(sets, prefixes, percent, table.column("grp").to_numpy() == 0)].astype(np.int64)
-            return pa.table({"u": own, "v": own})
         found = np.array(join_bucket(sets, prefixes, percent, table.column("grp").to_numpy()), np.int64).reshape(-1, 2)
         return pa.table({"u": h[found[:, 0]], "v": h[found[:, 1]]})
 
-    return rows.select("bucket", "h", "data", "prefix", "grp", "seen_id", "seen_no").groupBy("bucket").applyInArrow(run, "u bigint, v bigint")
+    return rows.select("bucket", "h", "data", "prefix", "grp").groupBy("bucket").applyInArrow(run, "u bigint, v bigint")
 
 
 def _placed(candidates: DataFrame) -> DataFrame:
@@ -416,69 +385,50 @@ def _groups(sets: DataFrame, candidates: DataFrame, percent: int, buckets: int)
     """(node, component) over the classes that link with another one."""
     placed = staged(_placed(candidates), "set-places")
     bucket = F.pmod(F.xxhash64("component", "piece"), F.lit(buckets)).cast("int")
-    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", "prefix", F.col("h").alias("grp"), "seen_id", "seen_no")
-    found = staged(_in_buckets(plain, percent, False), "set-links")
+    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", "prefix", F.col("h").alias("grp"))
+    found = staged(_in_buckets(plain, percent), "set-links")
     groups = staged(components(found, "set-groups"), "set-groups")
     spread = placed.where("pieces > 1").select("h", "component", "pieces").distinct()
     if spread.limit(1).count():
         labelled = staged(spread.join(groups.select(F.col("node").alias("h"), F.col("component").alias("g")), "h", "left").select("h", "component", "pieces", F.coalesce("g", "h").alias("grp")), "set-spread")
         main = labelled.groupBy("component", "grp").agg(F.count("*").alias("k")).groupBy("component").agg(F.max(F.struct("k", "grp"))["grp"].alias("main"))
         marked = labelled.join(main, "component").withColumn("out", F.col("grp") != F.col("main"))
-        more = staged(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), percent, False), "set-links")
+        more = staged(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), percent), "set-links")
         groups = staged(components(found.union(more), "set-groups"), "set-groups")
     return groups
 
 
-def _matched(sets: DataFrame, candidates: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """Classes (h) that a class which appears earlier matches."""
-    placed = staged(_placed(candidates), "set-places")
-    bucket = F.pmod(F.xxhash64("component", "piece"), F.lit(buckets)).cast("int")
-    plain = placed.join(sets, "h").select(bucket.alias("bucket"), "h", "data", "prefix", F.lit(0).cast("long").alias("grp"), "seen_id", "seen_no")
-    found = staged(_in_buckets(plain, percent, True).select(F.col("u").alias("h")).distinct(), "set-links")
-    spread = placed.where("pieces > 1").select("h", "component", "pieces").distinct()
-    if spread.limit(1).count():
-        done = found.withColumn("done", F.lit(True))
-        marked = staged(spread.join(done, "h", "left").select("h", "component", "pieces", F.col("done").isNull().alias("out"), F.when(F.col("done"), 1).otherwise(0).cast("long").alias("grp")), "set-spread")
-        found = staged(found.union(_in_buckets(_rest(marked, 4 * buckets).join(sets, "h"), percent, True).select(F.col("u").alias("h"))).distinct(), "set-links")
-    return found
-
-
 class Gathered:
-    """What both joins start from: every row's class, the sets of classes that may link, their candidates."""
+    """What the join starts from: every row's class, the sets of classes that may link, their candidates."""
 
-    def __init__(self, rows: DataFrame, size: int, percent: int, by_line: bool):
+    def __init__(self, rows: DataFrame, size: int, percent: int):
         if not 50 <= percent <= 100:
             raise ValueError("percent must be from 50 to 100")
         spark = rows.sparkSession
         modest_batches(spark)
         parts, kind = shuffle_parts(spark), dict(rows.dtypes)["doc_id"]
-        alive = staged(_survivors(rows, size, percent, parts, by_line), "set-survivors")
-        words_ = spark.sparkContext.broadcast(_filter_words(alive))
+        alive = staged(_survivors(rows, size, percent, parts), "set-survivors")
+        words_ = spark.sparkContext.broadcast(bloom_words(alive))
 
         def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sent: set[int] = set()
             for batch in batches:
-                for row, number, s, cls in _sets(batch, 1, size, by_line):
+                for row, s, cls in _sets(batch.column(1), size):
                     data = [None] * len(cls)
-                    for k in np.flatnonzero(_maybe(words_.value, cls) & (cls != 0)).tolist():
+                    for k in np.flatnonzero(maybe(words_.value, cls) & (cls != 0)).tolist():
                         c = int(cls[k])
                         if c not in sent:  # a class's set is needed once
                             if len(sent) > 200_000:
                                 sent.clear()
                             sent.add(c)
                             data[k] = s.row(k).tobytes()
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(number), pa.array(s.sizes()), pa.array(cls), pa.array(data, pa.binary())], names=["doc_id", "number", "n_shingles", "h", "data"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(s.sizes()), pa.array(cls), pa.array(data, pa.binary())], names=["doc_id", "n_shingles", "h", "data"])
 
-        #: doc_id, number (of the line), n_shingles, h (0: an empty set)
-        self.every = staged(rows.mapInArrow(lean(gather), f"doc_id {kind}, number bigint, n_shingles bigint, h bigint, data binary"), "set-classes")
+        #: doc_id, n_shingles, h (0: an empty set)
+        self.every = staged(rows.mapInArrow(lean(gather), f"doc_id {kind}, n_shingles bigint, h bigint, data binary"), "set-classes")
         first = self.every.where("data is not null").join(alive, "h", "left_semi").groupBy("h").agg(F.first("data").alias("data"))
-        seen_id, seen_no = F.lit(0).cast("long"), F.lit(0).cast("long")
-        if by_line:
-            self.seen = staged(self.every.where("h <> 0").groupBy("h").agg(F.min(F.struct("doc_id", "number")).alias("at")), "set-seen")
-            first = first.join(self.seen, "h")
-            seen_id, seen_no = F.coalesce(F.col("at.doc_id").cast("long"), F.lit(-(1 << 63))), F.col("at.number")
-        sets = staged(first.select("h", "data", seen_id.alias("seen_id"), seen_no.alias("seen_no")), "set-data")
-        #: h, data, prefix, and for lines where the class appears first
+        sets = staged(first, "set-data")
+        #: h, data, prefix
         self.sets = staged(_ranked(sets, percent, parts), "set-ranked")
         dropped(sets)
         total = self.sets.agg(F.sum(F.length("data")).alias("b")).first()["b"] or 0
@@ -489,7 +439,7 @@ class Gathered:
 def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest id that links reach, for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = Gathered(rows, size, percent, by_line=False)
+    got = Gathered(rows, size, percent)
     groups = _groups(got.sets, got.candidates, got.percent, got.buckets)
     least = got.every.where("h <> 0").groupBy("h").agg(F.min("doc_id").alias("least"))
     label = least.join(groups.select(F.col("node").alias("h"), "component"), "h", "left").withColumn("component", F.coalesce("component", "h"))
@@ -497,13 +447,3 @@ def link_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str =
     slim = got.every.select("doc_id", "n_shingles", "h")
     linked = slim.where("h <> 0").join(label, "h").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return linked.unionByName(slim.where("h = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def repeated_lines(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, number) of every line that an earlier line, by id and number, equals or links with."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    got = Gathered(rows, size, percent, by_line=True)
-    matched = _matched(got.sets, got.candidates, got.percent, got.buckets).withColumn("matched", F.lit(True))
-    first = got.seen.join(matched, "h", "left").select("h", F.when(F.col("matched"), None).otherwise(F.col("at")).alias("stays"))
-    own = got.every.where("h <> 0").select("doc_id", "number", "h")
-    return own.join(first, "h").where(~F.col("stays").eqNullSafe(F.struct("doc_id", "number"))).select("doc_id", "number")

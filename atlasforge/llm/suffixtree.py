@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
-from atlasforge.llm.textcore import U, distinct_counts, lean, mix, parted, slices, words
+from atlasforge.llm.textcore import U, distinct_counts, lean, mix, parted, press, slices, small, unpress, words
 
 BLOCK_BYTES = 12_000_000
 DEPTH = 3
@@ -62,26 +62,12 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[np.nd
     return t, contexts, first
 
 
-def _small(x: np.ndarray) -> np.ndarray:
-    return x.astype(next(d for d in ("u1", "<u2", "<u4", "<u8") if not x.size or int(x.max()) <= np.iinfo(d).max))
-
-
-def _press(x: np.ndarray) -> bytes:
-    """An array by bytes of equal weight, compressed."""
-    return x.dtype.str.encode() + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
-
-
-def _unpress(data: bytes) -> np.ndarray:
-    kind = np.dtype(data[:3].decode())
-    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data[3:]), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
-
-
 def _press_keys(keys: np.ndarray) -> bytes:
-    return _press(np.diff(keys, prepend=U(0)))
+    return press(np.diff(keys, prepend=U(0)))
 
 
 def _unpress_keys(data: bytes) -> np.ndarray:
-    return np.cumsum(_unpress(data), dtype=U)
+    return np.cumsum(unpress(data), dtype=U)
 
 
 def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
@@ -145,7 +131,7 @@ class Block:
     def told_runs(self, replies: list[bytes], texts: int, least: int) -> None:
         """follows: how often each token occurs, then after its contexts; n: how often those occur;
         at: tokens whose context of each length is a candidate."""
-        n = np.concatenate([_unpress(x).astype(np.int64) for x in replies])
+        n = np.concatenate([unpress(x).astype(np.int64) for x in replies])
         if len(n) != len(self.runs.keys):
             raise RuntimeError("a block's keys changed between two passes")
         self.follows = list(n[self.runs.which].reshape(DEPTH, -1))
@@ -165,7 +151,7 @@ class Block:
         text's first token are no runs and get keys of their own."""
         n = np.zeros(len(self.t), np.int64)
         if replies:
-            n[self.at[-1]] = np.concatenate([_unpress(x).astype(np.int64) for x in replies])[self.longest.which]
+            n[self.at[-1]] = np.concatenate([unpress(x).astype(np.int64) for x in replies])[self.longest.which]
         self.follows.append(n)
         place = np.searchsorted(self.runs.keys, _STARTS)
         which = self.runs.which.reshape(DEPTH, -1)
@@ -184,7 +170,7 @@ class Block:
 
     def told_states(self, replies: list[bytes]) -> None:
         """kinds and kept: distinct next tokens of the candidates, and whether they are states."""
-        told = np.concatenate([np.zeros(0, np.int64), *(_unpress(x).astype(np.int64) for x in replies)])
+        told = np.concatenate([np.zeros(0, np.int64), *(unpress(x).astype(np.int64) for x in replies)])
         self.kinds, self.kept = told >> 1, told & 1 == 1
 
     def evidence(self, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -213,7 +199,7 @@ class Block:
 
 def _requests(block: int, keys: np.ndarray, parts: int, *values: np.ndarray) -> pa.Table:
     """Sorted keys and their values, dealt to parts."""
-    out = [(p, _press_keys(keys[s]), [_press(v[s] if v.dtype.kind == "f" else _small(v[s])) for v in values]) for p, s in parted(keys, parts)]
+    out = [(p, _press_keys(keys[s]), [press(v[s] if v.dtype.kind == "f" else small(v[s])) for v in values]) for p, s in parted(keys, parts)]
     columns = {f"v{k}": pa.array([x[2][k] for x in out], pa.binary()) for k in range(len(values))}
     return pa.table({"block": pa.array([block] * len(out), pa.int32()), "part": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), **columns})
 
@@ -224,7 +210,7 @@ def _summed(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, li
     keys = [_unpress_keys(x.as_py()) for x in table.column("keys")]
     whole, sums = np.concatenate(keys), []
     for name in sorted(c for c in table.column_names if c.startswith("v")):
-        v = np.concatenate([_unpress(x.as_py()) for x in table.column(name)])
+        v = np.concatenate([unpress(x.as_py()) for x in table.column(name)])
         every, total = distinct_counts(whole, v.astype(np.float64 if v.dtype.kind == "f" else np.int64))
         sums.append(total)
     return table, keys, every, sums
@@ -263,7 +249,7 @@ def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0
         def run(table: pa.Table) -> pa.Table:
             table, keys, every, (n,) = _summed(table)
             single = (every & U(1)) == 1
-            return _replies(step, table, [_press(_small(n[np.searchsorted(every, k)])) for k in keys], int(n[single].sum()), int((n[single] > 0).sum()))
+            return _replies(step, table, [press(small(n[np.searchsorted(every, k)])) for k in keys], int(n[single].sum()), int((n[single] > 0).sum()))
 
         return run
 
@@ -271,7 +257,7 @@ def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0
         table, keys, every, (gain, kinds) = _summed(table)
         kinds = np.rint(kinds).astype(np.int64)
         told = kinds * 2 + (2 * gain > kinds + sigmas * np.sqrt(2.0 * kinds))
-        return _replies(2, table, [_press(_small(told[np.searchsorted(every, k)])) for k in keys])
+        return _replies(2, table, [press(small(told[np.searchsorted(every, k)])) for k in keys])
 
     def answered(asked: DataFrame, tell, name: str) -> DataFrame:
         before = spark.conf.get(_CLEANUP)

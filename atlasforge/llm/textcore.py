@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 SLICE_BYTES = 1 << 20
 U = np.uint64
@@ -231,3 +232,22 @@ def parted(keys: np.ndarray, parts: int) -> Iterator[tuple[int, slice]]:
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
     """The part of a hash: equal ranges of its upper 32 bits, so sorted keys are sorted by part."""
     return ((keys >> U(32)) * U(parts) >> U(32)).astype(np.int64)
+
+
+def small(x: np.ndarray) -> np.ndarray:
+    return x.astype(next(d for d in ("u1", "<u2", "<u4", "<u8") if not x.size or int(x.max()) <= np.iinfo(d).max))
+
+
+def press(x: np.ndarray) -> bytes:
+    """An array by bytes of equal weight, compressed."""
+    return x.dtype.str.encode() + zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 1)
+
+
+def unpress(data: bytes) -> np.ndarray:
+    kind = np.dtype(data[:3].decode())
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data[3:]), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Counts, places or hashes in as few bytes as their largest needs."""
+    return press(small(x) if x.dtype.kind in "iu" and (not x.size or int(x.min()) >= 0) else x)

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
@@ -238,24 +239,45 @@ def test_near_groups(spark, odd, none, docs, texts, chunk, monkeypatch):
     assert setjoin.link_groups(none).count() == 0
 
 
-@pytest.mark.parametrize("chunk", [2000, 2])
-def test_line_dedup(spark, odd, none, docs, texts, chunk, monkeypatch):
-    monkeypatch.setattr(setjoin, "CHUNK", chunk)
-    for df, rows in ((odd.dropDuplicates(["doc_id"]), sorted({r[0]: r[1] for r in ODD}.items())), (docs, sorted(texts.items()))):
+@pytest.mark.parametrize(("hot", "split"), [(256, 1 << 15), (4, 1 << 15), (0, 8)])
+def test_line_dedup(spark, odd, none, docs, texts, hot, split, monkeypatch):
+    """Against brute force over sets of words; with low bounds most words go by pairs and triples, and groups are split."""
+    monkeypatch.setattr(linededup, "HOT", hot)
+    monkeypatch.setattr(linededup, "SPLIT", split)
+    rnd = random.Random(7)
+    vocabulary = [f"v{k}" for k in range(60)]
+    made = []
+    for k in range(60):
+        some = []
+        for _ in range(8):
+            w = rnd.choices(vocabulary, k=rnd.randrange(1, 30)) if not some or rnd.random() < 0.4 else list(rnd.choice(some))
+            if w and rnd.random() < 0.7:
+                w[rnd.randrange(len(w))] = rnd.choice(vocabulary)
+            some.append(w)
+        made.append((k, "\n".join(" ".join(w) for w in some)))
+    probe = " ".join(f"p{k}" for k in range(20))
+    made += [(60, probe), (61, probe.replace("p9 ", "other ") + "\n" + " ".join(reversed(probe.split()))), (62, None)]
+    tables = [(spark.createDataFrame(made, "doc_id long, text string"), made)]
+    if hot == 256:
+        tables += [(odd.dropDuplicates(["doc_id"]), sorted({r[0]: r[1] for r in ODD}.items())), (docs, sorted(texts.items()))]
+    for df, rows in tables:
         got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()}
-        seen, want = {}, {}
+        seen, having, want = [], collections.defaultdict(set), {}
         for i, t in rows:
             kept = []
             for line in (t or "").split("\n"):
-                s = sets_of(line)
-                if s and (s in seen or any(linked(s, o) for o in seen if 4 * len(o) <= 5 * len(s) and 5 * len(o) >= 4 * len(s) and not s.isdisjoint(o))):
-                    seen.setdefault(s, 1)
-                    continue
-                if s:
-                    seen[s] = 1
-                kept.append(line)
+                s = frozenset(words(line))
+                near = collections.Counter(k for w in s for k in having[w])
+                if s and not any(100 * both >= 80 * (len(s) + len(seen[k]) - both) for k, both in near.items()):
+                    kept.append(line)
+                elif not s:
+                    kept.append(line)
+                for w in s:
+                    having[w].add(len(seen))
+                seen.append(s)
             want[i] = (None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept))
         assert got == want
+    assert hot == 256 or got[61] == ("", 2)
     assert linededup.dedup_lines(none).count() == 0
 
 
