@@ -13,8 +13,9 @@ sets are one class, and only classes are joined:
    (three) words if the prefix is one (two) words longer, it meets by pairs or triples that begin with
    it. Groups stay small whatever the corpus's size, unless their lines are alike.
 3. In a group, in order of appearance, a line looks for the first earlier one that length, position of
-   the common word and a 128-bit parity sketch of the words do not rule out: |x ^ y| is at least the
-   number of bits in which two sketches differ.
+   the common word and a parity sketch of the words (wider for longer lines) do not rule out: |x ^ y| is
+   at least the number of bits in which two sketches differ. Where that is not far below what a link
+   allows, it looks for up to `TRIES` such lines.
 4. The sets of the pairs left are gathered and their similarity verified. A line whose pairs all fail
    but that had more to compare gets all its pairs in a second round. Words that more than `SPLIT`
    lines have are dealt to several groups by a hash of the class; lines without a match there meet the
@@ -43,6 +44,8 @@ SLOTS = 1 << 20
 RANGES = 16
 HOT = 256
 SPLIT = 1 << 15
+TRIES = 4
+WIDEST = 8  # words of 64 bits in a sketch
 FLUSH = 400_000  # entries sent at once
 _STEP = U(0x9E3779B97F4A7C15)
 _LOW = U(0xFFFFFFFF)
@@ -126,8 +129,15 @@ class Entries:
         self.row, self.place = row[at], place[at]
         over = np.maximum(0, (lev[at].astype(np.int64) - int(level(SPLIT))) >> 3)
         self.salts = np.where(lev[at] > level(SPLIT), 2 << over, 1)
-        bit = (mix(s.values * _STEP) & U(127)).astype(np.int64)
-        self.sketch = [_parity(np.where((bit >> 6) == k, U(1) << (bit & 63).astype(U), U(0)), s.first) for k in (0, 1)]
+        bit = mix(s.values * _STEP)
+        word, bit = bit >> U(6) & U(WIDEST - 1), U(1) << (bit & U(63))
+        wide = int(widths(n).max(initial=1))
+        #: a row a line: its sketch folded to the words that its size needs
+        self.sketch = np.stack([_parity(np.where(word & U(wide - 1) == k, bit, U(0)), s.first) for k in range(wide)], axis=1)
+        for w in (4, 2, 1):
+            if w < wide:
+                some = widths(n) == w
+                self.sketch[some, :w] = folded(self.sketch[some], w)
 
 
 def _parity(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -136,8 +146,17 @@ def _parity(bits: np.ndarray, first: np.ndarray) -> np.ndarray:
     return run[first[1:]] ^ run[first[:-1]]
 
 
-_FIELDS = ("sig", "h", "doc", "number", "n", "place", "role", "p0", "p1")
-_UNSIGNED = ("p0", "p1")
+def widths(n: np.ndarray) -> np.ndarray:
+    """Words of a line's sketch, so that sketches of unlike lines of its size tell them apart."""
+    return np.where(n <= 48, 1, np.where(n <= 180, 2, np.where(n <= 360, 4, WIDEST)))
+
+
+def folded(sketch: np.ndarray, w: int) -> np.ndarray:
+    """Sketches of fewer words: the parity of a hash's lower bits alone."""
+    return np.bitwise_xor.reduce(sketch.reshape(len(sketch), sketch.shape[1] // w, w), axis=1)
+
+
+_FIELDS = ("sig", "h", "doc", "number", "n", "place", "role")
 
 
 def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
@@ -149,10 +168,14 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
         total = 0
 
         def flush() -> pa.RecordBatch:
-            whole = dict(zip(_FIELDS, (np.concatenate(x) for x in zip(*held, strict=True)), strict=True))
+            whole = dict(zip(_FIELDS, (np.concatenate([x[j] for x in held]) for j in range(len(_FIELDS))), strict=True))
+            sketch = np.zeros((len(whole["sig"]), WIDEST), U)
+            for x, to in zip(held, np.cumsum([len(x[0]) for x in held]), strict=True):
+                sketch[to - len(x[0]) : to, : x[-1].shape[1]] = x[-1]
             order = np.argsort(whole["sig"])
-            whole = {k: v[order] for k, v in whole.items()}
-            out = [(p, [pack(np.diff(whole["sig"][s], prepend=U(0))), *(pack(whole[k][s]) for k in _FIELDS[1:])]) for p, s in parted(whole["sig"], parts)]
+            whole, sketch = {k: v[order] for k, v in whole.items()}, sketch[order]
+            used = np.arange(WIDEST) < widths(whole["n"])[:, None]
+            out = [(p, [pack(np.diff(whole["sig"][s], prepend=U(0))), *(pack(whole[k][s]) for k in _FIELDS[1:]), pack(sketch[s][used[s]])]) for p, s in parted(whole["sig"], parts)]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary()))], names=["part", "data"])
 
         for batch in batches:
@@ -164,7 +187,7 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
                 e = Entries(s, rarity.value, percent)
                 use = lead[e.row]
                 if wanted is not None:
-                    use &= maybe(wanted.value, e.sig.view(np.int64))
+                    use[use] = _wanted(wanted.value, e.sig[use], e.salts[use])
                 sig, r, place, salts = e.sig[use], e.row[use], e.place[use], e.salts[use]
                 home = (cls[r].view(U) % salts.astype(U)).astype(np.int64)
                 role = np.ones(len(r), np.uint8)
@@ -175,8 +198,7 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
                     rep, to = rep[to != home[rep]], to[to != home[rep]]
                     sig, r, place, salts, home, role = (np.concatenate((a, b)) for a, b in ((sig, sig[rep]), (r, r[rep]), (place, place[rep]), (salts, salts[rep]), (home, to), (role, np.zeros(len(rep), np.uint8))))
                 key = np.where(salts > 1, mix(sig + home.astype(U) * _STEP), sig)
-                # the group's signature without its salt goes along where it is split
-                held.append([key, cls[r], ids[row[r]], number[r], s.sizes()[r], place, role | (salts > 1).astype(np.uint8) << 1, e.sketch[0][r], e.sketch[1][r]])
+                held.append([key, cls[r], ids[row[r]], number[r], s.sizes()[r], place, role | (salts > 1).astype(np.uint8) << 1, e.sketch[r]])
                 total += len(key)
                 if total > max(FLUSH, 32 * parts):
                     yield flush()
@@ -188,22 +210,42 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
     return lean(run)
 
 
-def _may_link(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Length, positional and sketch filters."""
+def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """Signatures that the filter may hold, or any of their groups."""
+    out = maybe(words_, sig.view(np.int64)) & (salts == 1)
+    split = np.flatnonzero(salts > 1)
+    rep = np.repeat(split, salts[split])
+    home = np.arange(len(rep)) - np.repeat(np.cumsum(salts[split]) - salts[split], salts[split])
+    out[rep[maybe(words_, mix(sig[rep] + home.astype(U) * _STEP).view(np.int64))]] = True
+    return out
+
+
+def _compare(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Whether length, position and sketches allow a link, and whether the sketches are much alike."""
     n, m = e["n"][x], e["n"][y]
     least = -(-percent * (n + m) // (100 + percent))
     ok = np.minimum(n - e["place"][x], m - e["place"][y]) >= least
-    differ = np.bitwise_count(e["p0"][x] ^ e["p0"][y]).astype(np.int64) + np.bitwise_count(e["p1"][x] ^ e["p1"][y])
-    return ok & (differ <= n + m - 2 * least)
+    most = n + m - 2 * least
+    w = np.minimum(e["width"][x], e["width"][y])
+    differ = np.bitwise_count(e["f1"][x] ^ e["f1"][y]).astype(np.int64)
+    for k in (2, 4, WIDEST):
+        some = np.flatnonzero((w == k) & ok)
+        if len(some):
+            differ[some] = np.bitwise_count(folded(e["sketch"][x[some]], k) ^ folded(e["sketch"][y[some]], k)).sum(axis=1)
+    return ok & (differ <= most), 10 * differ <= 7 * most
 
 
 def _meet(percent: int, probes=None):
-    """A part's entries to pairs (u, v), v the earlier one, with `more` where u has further lines to meet.
-    Without probes each line's first pair, with them all pairs of theirs."""
+    """A part's entries to pairs (u, v), v the earlier one, with `more` and the group's key where u has
+    further lines to meet there. Without probes each line's first pairs, with them all pairs of theirs."""
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("data").to_pylist()
-        e = {k: np.concatenate([unpress(b[j]).astype(U if k in _UNSIGNED else np.int64) for b in blobs]) for j, k in enumerate(_FIELDS) if j}
+        e = {k: np.concatenate([unpress(b[j]).astype(np.int64) for b in blobs]) for j, k in enumerate(_FIELDS) if j}
+        e["width"] = widths(e["n"])
+        e["sketch"] = np.zeros((len(e["n"]), WIDEST), U)
+        e["sketch"][np.arange(WIDEST) < e["width"][:, None]] = np.concatenate([unpress(b[-1]).astype(U) for b in blobs])
+        e["f1"] = np.bitwise_xor.reduce(e["sketch"], axis=1)
         e["sig"] = np.concatenate([np.cumsum(unpress(b[0]), dtype=U) for b in blobs])
         by_place = np.lexsort((e["h"], e["number"], e["doc"]))
         rank = np.empty(len(by_place), np.int64)
@@ -224,21 +266,19 @@ def _meet(percent: int, probes=None):
         at = np.arange(len(sig)) - begin
         u, v, more = [], [], []
         if probes is None:
-            split = (e["role"] & 2) > 0
+            split, tried = (e["role"] & 2) > 0, np.zeros(len(sig), np.int64)
             active, k = np.flatnonzero(at > 0), 0
             while len(active):
                 y = begin[active] + k
-                ok = _may_link(e, active, y, percent)
-                x, y = active[ok], y[ok]
-                u.append(x)
-                v.append(y)
-                more.append((at[x] > k + 1) | split[x])
-                active, k = active[~ok], k + 1
+                ok, alike = _compare(e, active, y, percent)
+                tried[active[ok]] += 1
+                done = ok & (alike | (tried[active] >= TRIES))
+                u.append(active[ok])
+                v.append(y[ok])
+                more.append((done & ((at[active] > k + 1) | split[active]))[ok])
+                active, k = active[~done], k + 1
                 active = active[at[active] > k]
-            found = np.zeros(len(sig), bool)
-            if u:
-                found[np.concatenate(u)] = True
-            lone = np.flatnonzero(split & ~found)  # the group's other parts may hold a match
+            lone = np.flatnonzero(split)  # the group's other parts may hold a match
             u.append(lone)
             v.append(lone)
             more.append(np.ones(len(lone), bool))
@@ -246,18 +286,19 @@ def _meet(percent: int, probes=None):
             for x in np.flatnonzero(maybe(probes.value, e["h"]) & (at > 0)).tolist():
                 y = np.arange(begin[x], x)
                 y = y[(e["role"][y] & 1) > 0]
-                y = y[_may_link(e, np.full(len(y), x), y, percent)]
+                y = y[_compare(e, np.full(len(y), x), y, percent)[0]]
                 u.append(np.full(len(y), x))
                 v.append(y)
                 more.append(np.zeros(len(y), bool))
         cat = lambda a, kind: np.concatenate(a) if a else np.zeros(0, kind)
         u, v, more = cat(u, np.int64), cat(v, np.int64), cat(more, bool)
-        pairs = np.stack((e["h"][u], e["h"][v]), axis=1) if len(u) else np.zeros((0, 2), np.int64)
-        order = np.lexsort((~more, pairs[:, 1], pairs[:, 0]))
-        pairs, more = pairs[order], more[order]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
-        return pa.table({"u": pairs[new, 0], "v": pairs[new, 1], "more": more[new]})
+        key = np.where(more, e["sig"][u].view(np.int64), 0)
+        rows = np.stack((e["h"][u], e["h"][v], key), axis=1)
+        order = np.lexsort((key, rows[:, 1], rows[:, 0]))
+        rows, more = rows[order], more[order]
+        new = np.ones(len(rows), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+        return pa.table({"u": rows[new, 0], "v": rows[new, 1], "key": rows[new, 2], "more": more[new]})
 
     return run
 
@@ -292,22 +333,16 @@ def _matched(rows: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     """Classes (h) of which an earlier class is similar enough."""
     spark, parts = rows.sparkSession, shuffle_parts(rows.sparkSession)
     rarity = spark.sparkContext.broadcast(_rarity(every))
-    packed, schema = "part int, data array<binary>", "u bigint, v bigint, more boolean"
-    first = staged(rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema).groupBy("u", "v").agg(F.max("more").alias("more")), "line-pairs")
-    linked = _verified(rows, first.where("u <> v").select("u", "v"), percent)
-    left = staged(first.where("more").select(F.col("u").alias("h")).distinct().join(linked, "h", "left_anti"), "line-open")
+    packed, schema = "part int, data array<binary>", "u bigint, v bigint, key bigint, more boolean"
+    met = staged(rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema), "line-pairs")
+    pairs = met.where("u <> v").select("u", "v").distinct()
+    linked = _verified(rows, pairs, percent)
+    left = staged(met.where("more").select(F.col("u").alias("h"), "key").distinct().join(linked, "h", "left_anti"), "line-open")
     if left.limit(1).count():
-        probes = spark.sparkContext.broadcast(bloom_words(left))
-
-        def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, s, cls in _sets(batch.column(1)):
-                    e = Entries(s, rarity.value, percent)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(e.sig[maybe(probes.value, cls[e.row])]).view(np.int64))], names=["h"])
-
-        wanted = spark.sparkContext.broadcast(bloom_words(staged(rows.mapInArrow(lean(signatures), "h bigint").distinct(), "line-signatures")))
+        probes = spark.sparkContext.broadcast(bloom_words(left.select("h").distinct()))
+        wanted = spark.sparkContext.broadcast(bloom_words(left.select(F.col("key").alias("h")).distinct()))
         more = rows.mapInArrow(_send(rarity, percent, parts, wanted, probes), packed).groupBy("part").applyInArrow(_meet(percent, probes), schema)
-        more = staged(more.select("u", "v").distinct().join(first.select("u", "v"), ["u", "v"], "left_anti"), "line-pairs")
+        more = staged(more.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), "line-pairs")
         linked = linked.union(_verified(rows, more, percent)).distinct()
     return linked
 
