@@ -83,3 +83,40 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     size = dx * dx + dy * dy
     t = F.when(size == 0, 0.0).otherwise(clamp(((px - ax) * dx + (py - ay) * dy) / F.when(size == 0, 1).otherwise(size), 0.0, 1.0))
     return F.hypot(px - ax - t * dx, py - ay - t * dy)
+
+
+def luma(red: Column, green: Column, blue: Column, alpha: Column | None = None) -> Column:
+    """Gray of three bands, cut to a whole number; white where alpha is 0."""
+    gray = F.floor(0.299 * red + 0.587 * green + 0.114 * blue)
+    return gray if alpha is None else F.when(alpha > 0, gray).otherwise(255)
+
+
+def logistic(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def confidence(fill: Column, solidity: Column) -> Column:
+    """Half of each, to three places."""
+    return rounded(0.5 * fill + 0.5 * solidity, 3)
+
+
+def blank(c: Column) -> Column:
+    """Null or only white space."""
+    return F.coalesce(F.trim(c) == "", F.lit(True))
+
+
+def ring_centroid(points: str) -> tuple[Column, Column]:
+    """Area-weighted centre of a ring of structs (x, y); nulls where the area is 0."""
+    at = f"{points}[(i + 1) % size({points})]"
+    cross = f"({points}[i].x * {at}.y - {at}.x * {points}[i].y)"
+    total = lambda term: F.expr(f"aggregate(sequence(0, size({points}) - 1), 0D, (a, i) -> a + {term})")
+    whole = F.nullif(3 * total(cross), F.lit(0.0))
+    return total(f"({points}[i].x + {at}.x) * {cross}") / whole, total(f"({points}[i].y + {at}.y) * {cross}") / whole
+
+
+def along(points: str, share: float) -> Column:
+    """The point (x, y) at a share of a polyline's length; its first point where it has none."""
+    step = f"hypot({points}[i].x - {points}[i - 1].x, {points}[i].y - {points}[i - 1].y)"
+    walk = f"""aggregate(sequence(1, greatest(size({points}) - 1, 1)), named_struct('left', {share}D * __length, 'x', CAST(NULL AS DOUBLE), 'y', CAST(NULL AS DOUBLE)),
+      (a, i) -> CASE WHEN a.x IS NOT NULL OR size({points}) < 2 THEN a WHEN {step} > 0 AND a.left <= {step} THEN named_struct('left', 0D, 'x', {points}[i - 1].x + ({points}[i].x - {points}[i - 1].x) * a.left / {step}, 'y', {points}[i - 1].y + ({points}[i].y - {points}[i - 1].y) * a.left / {step}) ELSE named_struct('left', a.left - {step}, 'x', a.x, 'y', a.y) END)"""
+    return F.expr(f"transform(array({walk}), s -> named_struct('x', coalesce(s.x, element_at({points}, IF(__length > 0, -1, 1)).x), 'y', coalesce(s.y, element_at({points}, IF(__length > 0, -1, 1)).y)))[0]")

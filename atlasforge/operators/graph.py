@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from atlasforge.staging import staged
+from atlasforge.staging import dropped, staged
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -19,6 +19,9 @@ def connected(edges: DataFrame) -> DataFrame:
         step = label.join(near, "u").select("u", "m", F.least("m", "n").alias("n"))
         far = label.select(F.col("u").alias("n"), F.col("m").alias("far"))
         jump = staged(step.join(far, "n", "left").select("u", "m", F.least("n", F.coalesce("far", "n")).alias("n")), "graph-labels")
+        done = not jump.where("n <> m").limit(1).count()
+        dropped(label)
         label = jump.select("u", F.col("n").alias("m"))
-        if not jump.where("n <> m").limit(1).count():
+        if done:
+            dropped(both)
             return label.select(F.col("u").alias("node"), F.col("m").alias("component"))

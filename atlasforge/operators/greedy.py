@@ -32,9 +32,7 @@ def keep_greedy(box: np.ndarray, score: np.ndarray, threshold: float) -> np.ndar
 def suppress(df: DataFrame, groups: list[str], threshold: float, key: str = "id") -> DataFrame:
     """Rows (key, x0..y1, score) that stay. Only boxes linked by an overlap over the threshold are decided
     together, so a task holds one component and not a whole group."""
-    linked = overlapping(df, df).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
-    for g in groups:
-        linked = linked.where(F.col(f"a_{g}") == F.col(f"b_{g}"))
+    linked = overlapping(df, df, also=groups).where(F.col(f"a_{key}") < F.col(f"b_{key}"))
     edges = linked.where(iou(F.col("inter"), area("a_"), area("b_")) > threshold).select(F.col(f"a_{key}").alias("u"), F.col(f"b_{key}").alias("v"))
     roots = connected(edges).select(F.col("node").alias(key), "component")
     tied = df.join(roots, key)

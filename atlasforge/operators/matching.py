@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from atlasforge.functions.columns import area, iou
 from atlasforge.operators.graph import connected
+from atlasforge.operators.spatial import overlapping, points_in
 
 
 def assignment(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -61,3 +63,40 @@ def match(pairs: DataFrame, threshold: float, most_pairs: bool = True) -> DataFr
         return pd.DataFrame(found, columns=["pred", "ref", "iou"]).astype({"pred": "int64", "ref": "int64", "iou": "float64"})
 
     return keyed.groupBy("component").applyInPandas(solve, "pred bigint, ref bigint, iou double")
+
+
+def match_flags(refs: DataFrame, preds: DataFrame, threshold: float = 0.5, cover: float = 0.3) -> DataFrame:
+    """For each reference box (id, x0..y1): matched and pred of the assignment with the greatest sum of
+    IoU, cut at the threshold; best_iou, any_overlap; split_flag: two predictions lie mostly in it and the
+    predictions together cover half of it; merge_flag and oversize_flag: its match, or else the best that
+    covers `cover` of it, covers that much of two references, or has over twice its area."""
+    pairs = overlapping(refs.select("id", "x0", "y0", "x1", "y1"), preds.select("id", "x0", "y0", "x1", "y1"))
+    shared = F.col("inter")
+    f = pairs.select(F.col("a_id").alias("ref"), F.col("b_id").alias("pred"), iou(shared, area("a_"), area("b_")).alias("iou"), (shared / area("a_")).alias("of_ref"), (shared / area("b_")).alias("of_pred"), area("a_").alias("ref_area"), area("b_").alias("pred_area"))
+    pred = f.groupBy("pred").agg(F.count_if(F.col("of_ref") >= cover).alias("covers"), F.max("pred_area").alias("pred_area"))
+    order = F.struct("iou", -F.col("pred"))
+    ref = f.groupBy("ref").agg(F.max("iou").alias("best"), F.max_by("pred", F.when(F.col("of_ref") >= cover, order)).alias("covering"), F.count_if(F.col("of_pred") >= 0.5).alias("inside"), F.sum("of_ref").alias("covered"), F.max("ref_area").alias("ref_area"))
+    found = match(f.select("pred", "ref", "iou"), threshold, most_pairs=False).select("ref", F.col("pred").alias("match"))
+    j = refs.select(F.col("id").alias("ref")).join(ref, "ref", "left").join(found, "ref", "left")
+    j = j.withColumn("pred", F.coalesce("match", "covering")).join(pred, "pred", "left")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return j.select(
+        F.col("ref").alias("id"), F.col("match").isNotNull().alias("matched"), F.col("match").alias("pred"), F.coalesce("best", F.lit(0.0)).alias("best_iou"), F.col("best").isNotNull().alias("any_overlap"),
+        no((F.col("inside") >= 2) & (F.col("covered") >= 0.5)).alias("split_flag"), no(F.col("covers") >= 2).alias("merge_flag"), no(F.col("pred_area") > 2 * F.col("ref_area")).alias("oversize_flag"),
+    )
+
+
+def block_scores(refs: DataFrame, preds: DataFrame, blocks: DataFrame, threshold: float) -> DataFrame:
+    """(block_id, tp, fp, fn, precision, recall): one-to-one matches within each block, to which a box
+    belongs by its middle. Refused where references repeat an id or have no area."""
+    bad = refs.agg((F.count("*") - F.count_distinct("id") + F.count_if(area() <= 0)).alias("n")).first()["n"]
+    if bad:
+        raise ValueError(f"{bad} references repeat an id or have no area")
+    at = lambda d: points_in(d.select("id", "x0", "y0", "x1", "y1", F.floor((F.col("x0") + F.col("x1")) / 2).alias("px"), F.floor((F.col("y0") + F.col("y1")) / 2).alias("py")), blocks, "px", "py", "block_id").where("block_id >= 0")
+    r, p = at(refs), at(preds)
+    pairs = overlapping(r, p, also=["block_id"]).select(F.col("b_id").alias("pred"), F.col("a_id").alias("ref"), iou(F.col("inter"), area("a_"), area("b_")).alias("iou"))
+    found = match(pairs, threshold).select(F.col("ref").alias("id")).join(r.select("id", "block_id"), "id")
+    count = lambda d, name: d.groupBy("block_id").agg(F.count("*").alias(name))
+    j = blocks.select("block_id").join(count(found, "tp"), "block_id", "left").join(count(p, "preds"), "block_id", "left").join(count(r, "refs"), "block_id", "left").fillna(0)
+    part = lambda n: F.col("tp") / F.nullif(F.col(n), F.lit(0))
+    return j.select("block_id", "tp", (F.col("preds") - F.col("tp")).alias("fp"), (F.col("refs") - F.col("tp")).alias("fn"), part("preds").alias("precision"), part("refs").alias("recall"))

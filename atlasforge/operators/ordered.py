@@ -33,3 +33,18 @@ def banded(df: DataFrame, key: str, reach: int, expression, name: str, size: int
     bands = F.array_distinct(F.array(own, F.floor((F.col(key) - reach) / size), F.floor((F.col(key) + reach) / size)))
     rows = df.withColumn("__band", F.explode(bands)).withColumn("__own", own)
     return rows.withColumn(name, expression(W.partitionBy("__band").orderBy(key))).where("__band = __own").drop("__band", "__own")
+
+
+def around(df: DataFrame, key: str, value: str, size: int = 4096) -> DataFrame:
+    """Adds before, before_key, after, after_key: the nearest value that is not null at or before (at or
+    after) each row in the order of a numeric key. Bands of keys are filled by themselves, then from the
+    ends of the bands around; only those ends, two rows a band, meet in one order."""
+    some = F.when(F.col(value).isNotNull(), F.struct(F.col(key).alias("k"), F.col(value).alias("v")))
+    rows = df.withColumn("__band", F.floor(F.col(key) / size)).withColumn("__s", some)
+    ends = rows.groupBy("__band").agg(F.max("__s").alias("__last"), F.min("__s").alias("__first"))
+    order = W.orderBy("__band")
+    carried = ends.select("__band", F.last("__last", True).over(order.rowsBetween(W.unboundedPreceding, -1)).alias("__last"), F.first("__first", True).over(order.rowsBetween(1, W.unboundedFollowing)).alias("__first"))
+    own = W.partitionBy("__band").orderBy(key)
+    here = rows.withColumn("__b", F.last("__s", True).over(own.rowsBetween(W.unboundedPreceding, 0))).withColumn("__a", F.first("__s", True).over(own.rowsBetween(0, W.unboundedFollowing)))
+    both = here.join(carried, "__band").withColumn("__b", F.coalesce("__b", "__last")).withColumn("__a", F.coalesce("__a", "__first"))
+    return both.select(*df.columns, F.col("__b.v").alias("before"), F.col("__b.k").alias("before_key"), F.col("__a.v").alias("after"), F.col("__a.k").alias("after_key"))

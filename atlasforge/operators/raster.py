@@ -38,6 +38,46 @@ def box_window(pixels: DataFrame, value: str, half: int, agg: Callable[[Column],
     return own(haloed(pixels, half).withColumn("__a", agg(F.col(value)).over(rows)).withColumn(name, agg(F.col("__a")).over(cols)).drop("__a"))
 
 
+def box_sums(pixels: DataFrame, values: dict[str, Column], half: int) -> DataFrame:
+    """Sums of several values over the square around each pixel, with `__n`, how many pixels it holds: one
+    shuffle for rows and one for columns serve all of them."""
+    rows = W.partitionBy("br", "bc", "r").orderBy("c").rangeBetween(-half, half)
+    cols = W.partitionBy("br", "bc", "c").orderBy("r").rangeBetween(-half, half)
+    every = values | {"__n": F.lit(1)}
+    d = haloed(pixels, half).select("br", "bc", "r", "c", *(F.sum(v).over(rows).alias(k) for k, v in every.items()))
+    return own(d.select("br", "bc", "r", "c", *(F.sum(k).over(cols).alias(k) for k in every)))
+
+
+def reflected(pixels: DataFrame, half: int, value: str = "gray") -> DataFrame:
+    """Pixels from 0 on, with a border of `half` mirrored at the outermost pixels, which are not repeated."""
+    ends = pixels.agg(F.max("r").alias("__r1"), F.max("c").alias("__c1"))  # one row
+    d = pixels.crossJoin(ends)
+    for k in ("r", "c"):
+        v, last = F.col(k), F.col(f"__{k}1")
+        low, high = F.when(v.between(1, half), -v), F.when((last - v).between(1, half), 2 * last - v)
+        d = d.withColumn(k, F.explode(F.array_compact(F.array(v, low, high))))
+    return d.select("r", "c", value)
+
+
+def inside(pixels: DataFrame, like: DataFrame) -> DataFrame:
+    """Without what lies beyond the bounds of another raster from 0 on."""
+    ends = like.agg(F.max("r").alias("__r1"), F.max("c").alias("__c1"))
+    return pixels.crossJoin(ends).where("r BETWEEN 0 AND __r1 AND c BETWEEN 0 AND __c1").drop("__r1", "__c1")
+
+
+def tensor(pixels: DataFrame, half: int = 4) -> DataFrame:
+    """The structure tensor of pixels whose whole window lies inside: orientation of the gradient in degrees
+    modulo 180, energy and coherence, from window means of products of Sobel gradients."""
+    g = {"xx": F.col("gx") * F.col("gx"), "yy": F.col("gy") * F.col("gy"), "xy": F.col("gx") * F.col("gy")}
+    n = (2 * half + 1) ** 2
+    s = box_sums(sobel(pixels), g, half).where(F.col("__n") == n)
+    xx, yy, xy = (F.col(k) / float(n) for k in ("xx", "yy", "xy"))
+    energy = xx + yy
+    theta = F.pmod(0.5 * F.degrees(F.atan2(2.0 * xy, xx - yy)), F.lit(180.0))
+    coherence = F.sqrt((xx - yy) * (xx - yy) + 4.0 * xy * xy) / (energy + 1e-6)
+    return s.select("r", "c", theta.alias("theta"), energy.alias("energy"), coherence.alias("coherence"))
+
+
 def neighbours(pixels: DataFrame, value: str = "gray") -> DataFrame:
     """Each interior pixel with its 3 by 3 neighbourhood as v_rc, r and c in (m, 0, p)."""
     d = haloed(pixels, 1)

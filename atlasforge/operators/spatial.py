@@ -8,7 +8,9 @@ cell should be near the size of a typical box; larger boxes are dealt to more ce
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atlasforge.functions.columns import area, inter
@@ -27,14 +29,17 @@ def prefixed(df: DataFrame, p: str) -> DataFrame:
     return df.select(*(F.col(c).alias(p + c) for c in df.columns))
 
 
-def overlapping(left: DataFrame, right: DataFrame, cell: int = CELL, touching: bool = False, a: str = "a_", b: str = "b_") -> DataFrame:
-    """Pairs of rows whose boxes overlap (or also touch), columns prefixed, with `inter`."""
+def overlapping(left: DataFrame, right: DataFrame, cell: int = CELL, touching: bool = False, a: str = "a_", b: str = "b_", also: Sequence[str] = ()) -> DataFrame:
+    """Pairs of rows whose boxes overlap (or also touch) and that agree in the columns `also`, which are part
+    of the join's key; columns prefixed, with `inter`."""
     x, y = cells(prefixed(left, a), a, cell), cells(prefixed(right, b), b, cell)
     less = (lambda u, v: u <= v) if touching else (lambda u, v: u < v)
     col = F.col
     meets = less(col(a + "x0"), col(b + "x1")) & less(col(b + "x0"), col(a + "x1")) & less(col(a + "y0"), col(b + "y1")) & less(col(b + "y0"), col(a + "y1"))
     first = (F.floor(F.greatest(a + "x0", b + "x0") / cell) == col("__cx")) & (F.floor(F.greatest(a + "y0", b + "y0") / cell) == col("__cy"))
-    return x.join(y, ["__cx", "__cy"]).where(meets & first).drop("__cx", "__cy").withColumn("inter", inter(a, b))
+    x, y = (d.withColumns({f"__k{k}": F.col(p + c) for k, c in enumerate(also)}) for d, p in ((x, a), (y, b)))
+    keys = [f"__k{k}" for k in range(len(also))]
+    return x.join(y, [*keys, "__cx", "__cy"]).where(meets & first).drop(*keys).drop("__cx", "__cy").withColumn("inter", inter(a, b))
 
 
 def self_overlaps(df: DataFrame, more_than: float, key: str = "id", cell: int = CELL) -> DataFrame:
@@ -60,8 +65,11 @@ def points_in(points: DataFrame, boxes: DataFrame, px: str, py: str, key: str, m
     b = cells(prefixed(boxes, "b_"), "b_")
     at = points.withColumn("__cx", F.floor(F.col(px) / CELL)).withColumn("__cy", F.floor(F.col(py) / CELL))
     held = (F.col(px) >= F.col("b_x0")) & (F.col(px) < F.col("b_x1")) & (F.col(py) >= F.col("b_y0")) & (F.col(py) < F.col("b_y1"))
-    found = at.join(b, ["__cx", "__cy"]).where(held).groupBy(*points.columns).agg(F.min("b_" + key).alias(key))
-    return points.join(found, points.columns, "left").withColumn(key, F.coalesce(key, F.lit(missing)))
+    b = b.withColumnsRenamed({"__cx": "__bx", "__cy": "__by"})
+    at = at.withColumn("__row", F.monotonically_increasing_id())
+    found = at.join(b, (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by")) & held, "left")
+    rest = [F.first(c).alias(c) for c in points.columns]
+    return found.groupBy("__row").agg(*rest, F.min("b_" + key).alias(key)).drop("__row").withColumn(key, F.coalesce(key, F.lit(missing)))
 
 
 def nearest_segments(points: DataFrame, segments: DataFrame, radius: int, distance: Column, keys: list[str]) -> DataFrame:
@@ -69,3 +77,15 @@ def nearest_segments(points: DataFrame, segments: DataFrame, radius: int, distan
     s = cells(segments, "s_", radius, pad=radius)
     at = points.withColumn("__cx", F.floor(F.col("px") / radius)).withColumn("__cy", F.floor(F.col("py") / radius))
     return at.join(s, ["__cx", "__cy"]).groupBy(*keys).agg(F.min(distance).alias("dist")).where(F.col("dist") <= radius)
+
+
+def union_area(boxes: DataFrame, group: str) -> DataFrame:
+    """(group, area) of the union of each group's boxes: the strips between neighbouring x hold the boxes
+    over them, whose y ranges are merged in order. A row is a box in a strip, never a unit of area."""
+    boxes = boxes.where("x0 < x1 AND y0 < y1").select(group, "x0", "y0", "x1", "y1").distinct()
+    at = boxes.select(group, F.explode(F.array("x0", "x1")).alias("lo")).distinct()
+    strips = at.withColumn("hi", F.lead("lo").over(Window.partitionBy(group).orderBy("lo"))).where("hi IS NOT NULL")
+    ys = strips.join(boxes, group).where("x0 <= lo AND x1 >= hi")
+    earlier = F.max("y1").over(Window.partitionBy(group, "lo").orderBy("y0", "y1").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = ys.withColumn("__top", F.greatest(F.coalesce(earlier, F.col("y0")), F.col("y0")))
+    return fresh.groupBy(group).agg(F.sum((F.col("hi") - F.col("lo")) * F.greatest(F.col("y1") - F.col("__top"), F.lit(0))).alias("area"))

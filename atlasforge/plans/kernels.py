@@ -19,9 +19,9 @@ C = F.col
 TILE = 64
 
 
-@query("pair_iou", "pairs", "SELECT a_id, b_id, round_even(inter / CAST(a_area + b_area - inter AS DOUBLE), 6) AS iou FROM pairs WHERE a_id % 10 = 0")
+@query("pair_iou", "pairs", "SELECT a_id, b_id, round_even(inter / CAST(a_area + b_area - inter AS DOUBLE), 6) AS iou FROM pairs")
 def pair_iou_query(t):
-    return overlapping(t.parcels.where("id % 10 = 0"), t.candidates).select("a_id", "b_id", rounded(pair_iou()).alias("iou"))
+    return pairs_of(t).select("a_id", "b_id", rounded(pair_iou()).alias("iou"))
 
 
 @query("pilot_iou", "pairs", "SELECT a_id AS id, round_even(inter / CAST(a_area + b_area - inter AS DOUBLE), 6) AS iou, round_even(inter / CAST(b_area AS DOUBLE), 6) AS precision, round_even(inter / CAST(a_area AS DOUBLE), 6) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY b_id) AS k FROM pairs) WHERE k = 1")
@@ -46,11 +46,11 @@ def piece_under_click(t):
     return p.groupBy(C("b_id").alias("id")).agg((-F.coalesce(most["k"], big["k"])).alias("piece"))
 
 
-@query("road_offsets", "raster", """WITH s AS (SELECT r, c FROM raster WHERE r % 7 = 3 AND c BETWEEN 10 AND 53 AND c % 5 = 0), k AS (SELECT s.r, s.c, min(CASE WHEN i.c > s.c THEN i.c - s.c END) AS dr, min(CASE WHEN i.c < s.c THEN s.c - i.c END) AS dl FROM s JOIN raster i ON i.r = s.r AND i.gray < 80 AND abs(i.c - s.c) <= 44 AND i.c <> s.c GROUP BY 1, 2)
+@query("road_offsets", "raster", """WITH s AS (SELECT r, c FROM raster), k AS (SELECT s.r, s.c, min(CASE WHEN i.c > s.c THEN i.c - s.c END) AS dr, min(CASE WHEN i.c < s.c THEN s.c - i.c END) AS dl FROM s JOIN raster i ON i.r = s.r AND i.gray < 80 AND abs(i.c - s.c) <= 44 AND i.c <> s.c GROUP BY 1, 2)
 SELECT r, c, (dr - dl) / 2.0::DOUBLE AS off, dl + dr AS width FROM k WHERE dr IS NOT NULL AND dl IS NOT NULL""")
 def road_offsets(t):
     """Distance from samples to the first ink on either side, within 44 pixels."""
-    s = t.raster.where("r % 7 = 3 AND c BETWEEN 10 AND 53 AND c % 5 = 0").select("r", "c")
+    s = t.raster.select("r", "c")
     scan = s.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(44)))).withColumn("side", F.explode(F.array(F.lit(-1), F.lit(1)))).withColumn("ic", C("c") + C("k") * C("side"))
     ink = t.raster.where("gray < 80").select("r", C("c").alias("ic"))
     first = scan.join(ink, ["r", "ic"]).groupBy("r", "c").agg(F.min(F.when(C("side") > 0, C("k"))).alias("dr"), F.min(F.when(C("side") < 0, C("k"))).alias("dl"))
@@ -68,26 +68,29 @@ def ink_alignment(t):
     return d.groupBy("id").agg(share(3).alias("near3"), share(6).alias("near6"), F.percentile("d", 0.5).alias("median_offset"), F.count("*").alias("n")).where("n >= 4").drop("n")
 
 
-@query("components", "raster", "SELECT count(*) AS px FROM raster WHERE gray < 45")
+@query("components", "raster", """WITH RECURSIVE m AS MATERIALIZED (SELECT r, c, r * 64 + c AS k FROM raster WHERE gray < 45), e AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM m a JOIN m b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 AND a.k <> b.k), w(k, l) AS (SELECT k, k FROM m UNION SELECT e.v, w.l FROM w JOIN e ON w.k = e.u)
+SELECT l // 64 AS r, l % 64 AS c, count(*) AS px FROM (SELECT k, min(l) AS l FROM w GROUP BY k) GROUP BY l""")
 def components(t):
-    """Pixels of all components together: every dark pixel has a label."""
-    return R.components(t.raster.where("gray < 45"), eight=True).agg(F.count("label").alias("px"))
+    """The eight-connected components of dark pixels by their first pixel, with their size."""
+    lab = R.components(t.raster.where("gray < 45"), eight=True)
+    return lab.groupBy("label").agg(F.count("*").alias("px")).select(F.expr(f"label div {1 << 31}").alias("r"), (C("label") % (1 << 31)).alias("c"), "px")
 
 
-@query("polygonize_stats", "raster", """WITH RECURSIVE m AS MATERIALIZED (SELECT r, c, r * 64 + c AS k FROM raster WHERE gray < 45 AND r < 120), e AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), w(k, l) AS (SELECT k, k FROM m UNION SELECT e.v, w.l FROM w JOIN e ON w.k = e.u)
+@query("polygonize_stats", "raster", """WITH RECURSIVE m AS MATERIALIZED (SELECT r, c, r * 64 + c AS k FROM raster WHERE gray < 45), e AS MATERIALIZED (SELECT a.k AS u, b.k AS v FROM m a JOIN m b ON abs(a.r - b.r) + abs(a.c - b.c) = 1), w(k, l) AS (SELECT k, k FROM m UNION SELECT e.v, w.l FROM w JOIN e ON w.k = e.u)
 SELECT l // 64 AS r, l % 64 AS c, count(*) AS px, min(k // 64) AS r0, max(k // 64) AS r1, min(k % 64) AS c0, max(k % 64) AS c1 FROM (SELECT k, min(l) AS l FROM w GROUP BY k) GROUP BY l""")
 def polygonize_stats(t):
     """Area and bounds of each component, named by its first pixel."""
-    lab = R.components(t.raster.where("gray < 45 AND r < 120"))
+    lab = R.components(t.raster.where("gray < 45"))
     g = lab.groupBy("label").agg(F.count("*").alias("px"), F.min("r").alias("r0"), F.max("r").alias("r1"), F.min("c").alias("c0"), F.max("c").alias("c1"))
     return g.select(F.expr(f"label div {1 << 31}").alias("r"), (C("label") % (1 << 31)).alias("c"), "px", "r0", "r1", "c0", "c1")
 
 
-@query("union_agg", "candidates", "SELECT parcel_id, count(*) AS px FROM (SELECT DISTINCT parcel_id, x.x, y.y FROM candidates c, range(-10, 2100) x(x), range(-10, 1700) y(y) WHERE parcel_id <= 40 AND x.x >= x0 AND x.x < x1 AND y.y >= y0 AND y.y < y1) GROUP BY 1")
+@query("union_agg", "candidates", "SELECT parcel_id, count(*) AS px FROM (SELECT DISTINCT parcel_id, x, unnest(range(y0, y1)) AS y FROM (SELECT parcel_id, y0, y1, unnest(range(x0, x1)) AS x FROM candidates)) GROUP BY 1")
 def union_agg(t):
-    """Area of the union of each parcel's candidates, by their cells."""
-    px = t.candidates.where("parcel_id <= 40 AND x0 < x1 AND y0 < y1").select("parcel_id", F.explode(F.sequence("x0", C("x1") - 1)).alias("x"), "y0", "y1").withColumn("y", F.explode(F.sequence("y0", C("y1") - 1)))
-    return px.select("parcel_id", "x", "y").distinct().groupBy("parcel_id").agg(F.count("*").alias("px"))
+    """Area of the union of each parcel's candidates."""
+    from atlasforge.operators.spatial import union_area
+
+    return union_area(t.candidates, "parcel_id").select("parcel_id", C("area").alias("px"))
 
 
 @query("guard_output_exists", "parcels", "SELECT count(*) AS n, true AS refused FROM parcels")
@@ -110,10 +113,10 @@ def guard_output_exists(t):
 
 @query("file_hashes")
 def file_hashes(t):
-    """Size and SHA-256 of the small input files."""
+    """Size and SHA-256 of all input files."""
     from atlasforge.sources.files import file_hashes as hashes
 
-    return hashes(t.spark, f"{t.sf_dir}/region.parquet").select("size", "sha256")
+    return hashes(t.spark, f"{t.sf_dir}/*.parquet").select("size", "sha256")
 
 
 def _tile_query(t, columns: str, work, where: str = "true", schema: str = ""):
@@ -371,9 +374,9 @@ def hatch_core_trim(t):
     return p.select(C("b_id").alias("id"), (gone.between(6 * area("b_"), 45 * area("b_")) & (C("b_id") % 100 <= 20)).alias("trimmed"))
 
 
-@query("postfix_trim", "pairs", "SELECT b_id AS id, CASE WHEN inter / CAST(a_area + b_area - inter AS DOUBLE) < 0.30 THEN 'needs_review' ELSE 'added+trim' END AS action FROM pairs WHERE b_id % 3 = 0")
+@query("postfix_trim", "pairs", "SELECT b_id AS id, CASE WHEN inter / CAST(a_area + b_area - inter AS DOUBLE) < 0.30 THEN 'needs_review' ELSE 'added+trim' END AS action FROM pairs")
 def postfix_trim(t):
-    return pairs_of(t).where("b_id % 3 = 0").select(C("b_id").alias("id"), ladder((pair_iou() < 0.30, "needs_review"), default="added+trim").alias("action"))
+    return pairs_of(t).select(C("b_id").alias("id"), ladder((pair_iou() < 0.30, "needs_review"), default="added+trim").alias("action"))
 
 
 @query("core_envelope", "raster", "SELECT r8, max(c8) AS edge FROM (SELECT r // 8 AS r8, c // 8 AS c8 FROM raster GROUP BY 1, 2 HAVING count_if(gray < 110) * 100 > 25 * count(*)) GROUP BY 1")

@@ -25,10 +25,16 @@ def csv_typed_decode(t):
     return decode(raw, [("id", "bigint"), ("name", "text"), ("flag", "boolean"), ("val", "numeric")])
 
 
-@query("catalog_columns", sql="SELECT * FROM (VALUES ('roads', 1, 'ogc_fid'), ('roads', 2, 'rulefile'), ('buildings', 1, 'id'), ('buildings', 2, 'geom')) v(table_name, pos, column_name) WHERE table_name = 'roads'")
+@query("catalog_columns", sql="SELECT table_name, CAST(ordinal_position AS BIGINT) AS pos, column_name FROM information_schema.columns WHERE table_name IN ('part', 'orders')")
 def catalog_columns(t):
-    rows = [("roads", 1, "ogc_fid"), ("roads", 2, "rulefile"), ("buildings", 1, "id"), ("buildings", 2, "geom")]
-    return t.spark.createDataFrame(rows, "table_name string, pos int, column_name string").where("table_name = 'roads'").orderBy("pos")
+    """Columns of two tables from a catalog that was written as CSV, read back by its types and ordered."""
+    from atlasforge.sources.catalog_csv import read
+    from atlasforge.staging import shared_path
+
+    found = [(name, str(k), c) for name in ("part", "orders", "nation") for k, c in enumerate(getattr(t, name).columns, 1)]
+    path = shared_path(t.spark, "catalog")
+    t.spark.createDataFrame(found, "table_name string, pos string, column_name string").write.csv(path, header=True, quoteAll=True)
+    return read(t.spark, path, [("table_name", "text"), ("pos", "integer"), ("column_name", "text")]).where("table_name IN ('part', 'orders')").orderBy("table_name", "pos")
 
 
 @query("findings_load", "findings", f"SELECT id, tile_no, category, x0, y0, x1, y1, coalesce(confidence, 'low') AS confidence FROM findings WHERE {VALID}")
@@ -185,11 +191,11 @@ def percentiles(t):
     return t.line_points.select("line_id", y.alias("y")).groupBy("line_id").agg(F.percentile("y", 0.5).alias("p50"), rounded(F.percentile("y", 0.9)).alias("p90"))
 
 
-@query("dup_geoms", "parcels", "SELECT count(*) AS n, count(DISTINCT w * 1000 + h) AS kinds, count(*) - count(DISTINCT w * 1000 + h) AS dups FROM (SELECT x1 - x0 AS w, y1 - y0 AS h FROM parcels)")
+@query("dup_geoms", "candidates", "SELECT count(*) AS n, count(DISTINCT (x0, y0, x1, y1)) AS kinds, count(*) - count(DISTINCT (x0, y0, x1, y1)) AS dups FROM candidates")
 def dup_geoms(t):
-    shape = F.sha2(F.concat_ws(",", F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 256)
-    kinds = F.count_distinct(shape)
-    return t.parcels.agg(F.count("*").alias("n"), kinds.alias("kinds"), (F.count("*") - kinds).alias("dups"))
+    """Geometries that another row has, too: a box is its own normal form."""
+    kinds = F.count_distinct(F.sha2(F.concat_ws(",", "x0", "y0", "x1", "y1"), 256))
+    return t.candidates.agg(F.count("*").alias("n"), kinds.alias("kinds"), (F.count("*") - kinds).alias("dups"))
 
 
 @query("import_check", "parcels", "SELECT count(*) AS n, count_if(x1 <= x0) AS empty, list_sort(list(DISTINCT id % 4)) AS srids FROM parcels")
@@ -202,12 +208,16 @@ def all_valid(t):
     return t.parcels.groupBy((F.col("id") % 10).alias("g")).agg(F.bool_and(F.col("x1") - F.col("x0") >= 9).alias("all_valid"), F.bool_or(F.col("x1") - F.col("x0") >= 31).alias("any_wide"))
 
 
-@query("grid_theta", "candidates", "SELECT parcel_id, CASE WHEN sqrt(s * s + c * c) < 1e-9 THEN 10.0 ELSE round_even(((degrees(atan2(s, c)) / 4) % 90 + 90) % 90, 4) END AS theta FROM (SELECT parcel_id, sum(a * cos(radians(4.0 * th))) AS c, sum(a * sin(radians(4.0 * th))) AS s FROM (SELECT parcel_id, (x1 - x0) * (y1 - y0) AS a, id % 40 AS th FROM candidates) GROUP BY 1)")
+@query("grid_theta", "line_points", """WITH s AS (SELECT line_id, x - lag(x) OVER w AS dx, y - lag(y) OVER w AS dy FROM line_points WINDOW w AS (PARTITION BY line_id ORDER BY pos)), g AS (SELECT line_id, sum(sqrt(dx * dx + dy * dy) * cos(4 * atan2(dy, dx))) AS c, sum(sqrt(dx * dx + dy * dy) * sin(4 * atan2(dy, dx))) AS s FROM s WHERE dx IS NOT NULL GROUP BY 1)
+SELECT line_id, CASE WHEN sqrt(s * s + c * c) < 1e-9 THEN 10.0 ELSE round_even(((degrees(atan2(s, c)) / 4) % 90 + 90) % 90, 4) END AS theta FROM g""")
 def grid_theta(t):
-    """Area-weighted circular mean of directions modulo 90 degrees; 10 where they cancel out."""
-    th = F.radians(F.col("id") % 40 * 4.0)
-    g = t.candidates.groupBy("parcel_id").agg(F.sum(area() * F.cos(th)).alias("c"), F.sum(area() * F.sin(th)).alias("s"))
-    return g.select("parcel_id", F.when(F.hypot("c", "s") < 1e-9, 10.0).otherwise(rounded(F.pmod(F.degrees(F.atan2("s", "c")) / 4, F.lit(90.0)), 4)).alias("theta"))
+    """Length-weighted circular mean of the directions of a line's segments modulo 90 degrees; 10 where they cancel out."""
+    w = W.partitionBy("line_id").orderBy("pos")
+    step = lambda c: (F.col(c) - F.lag(c).over(w)).cast("double")
+    s = t.line_points.select("line_id", step("x").alias("dx"), step("y").alias("dy")).where("dx IS NOT NULL")
+    turn = 4 * F.atan2("dy", "dx")
+    g = s.groupBy("line_id").agg(F.sum(F.hypot("dx", "dy") * F.cos(turn)).alias("c"), F.sum(F.hypot("dx", "dy") * F.sin(turn)).alias("s"))
+    return g.select("line_id", F.when(F.hypot("c", "s") < 1e-9, 10.0).otherwise(rounded(F.pmod(F.degrees(F.atan2("s", "c")) / 4, F.lit(90.0)), 4)).alias("theta"))
 
 
 @query("weighted_mean", "candidates", "SELECT parcel_id, round_even(CAST(sum((x1 - x0) * y0) AS DOUBLE) / sum(x1 - x0), 6) AS y FROM candidates GROUP BY 1")
@@ -221,14 +231,18 @@ def total_bounds(t):
     return t.candidates.agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-@query("prf_totals", "candidates", "SELECT tp, fp, fn, round_even(tp / nullif(tp + fp, 0), 6) AS precision, round_even(tp / nullif(tp + fn, 0), 6) AS recall, round_even(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM (SELECT count_if(id % 3 = 0) AS tp, count_if(id % 3 = 1) AS fp, count_if(id % 3 = 2) AS fn FROM candidates)")
+@query("prf_totals", "pairs", """WITH m AS (SELECT count(DISTINCT a_id) AS tp FROM pairs WHERE inter / CAST(a_area + b_area - inter AS DOUBLE) >= 0.6), k AS (SELECT tp, (SELECT count(*) FROM candidates) - tp AS fp, (SELECT count(*) FROM parcels) - tp AS fn FROM m)
+SELECT tp, fp, fn, round_even(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 6) AS precision, round_even(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS recall, round_even(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM k""")
 def prf_totals(t):
-    """Precision, recall and F1; null where a denominator is 0."""
-    k = F.col("id") % 3
-    d = t.candidates.agg(F.count_if(k == 0).alias("tp"), F.count_if(k == 1).alias("fp"), F.count_if(k == 2).alias("fn"))
+    """Precision, recall and F1 of the one-to-one matches at an IoU of 0.6; null where a denominator is 0."""
+    from atlasforge.operators.matching import match
+    from atlasforge.plans.spatial import scored_pairs
+
+    one = lambda d, name: d.agg(F.count("*").alias(name))
+    d = one(match(scored_pairs(t), 0.6), "tp").crossJoin(one(t.candidates, "preds")).crossJoin(one(t.parcels, "refs"))  # one row each
     part = lambda a, b: rounded(a.cast("double") / F.nullif(b, F.lit(0)))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return d.select("tp", "fp", "fn", part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(2 * tp, 2 * tp + fp + fn).alias("f1"))
+    tp, fp, fn = F.col("tp"), F.col("preds") - F.col("tp"), F.col("refs") - F.col("tp")
+    return d.select("tp", fp.alias("fp"), fn.alias("fn"), part(tp, tp + fp).alias("precision"), part(tp, tp + fn).alias("recall"), part(2 * tp, 2 * tp + fp + fn).alias("f1"))
 
 
 @query("spanned_hist", "candidates", "SELECT least(n, 5) AS spanned, count(*) AS parcels FROM (SELECT parcel_id, count(*) AS n FROM candidates GROUP BY 1) GROUP BY 1")
@@ -245,11 +259,17 @@ def best_disposition(t):
     return d.groupBy("tile_no").agg(F.max_by("d", rank_of(F.col("d"), DISPOSITIONS)).alias("disposition"))
 
 
-@query("verify_summary", "candidates", "SELECT mode, count(*) AS n, round_even(avg(v), 6) AS mean, round_even(median(v), 6) AS median, count_if(v >= 0.5) AS n50, count_if(v >= 0.7) AS n70, count_if(v >= 0.9) AS n90 FROM (SELECT unnest(['point', 'point_box']) AS mode, unnest([(id % 97) / 97.0::DOUBLE, least((id % 97 + 20) / 97.0::DOUBLE, 1.0::DOUBLE)]) AS v FROM candidates) GROUP BY 1")
+@query("verify_summary", "pairs", """WITH f AS (SELECT a_id, b_id, inter / CAST(a_area + b_area - inter AS DOUBLE) AS iou, b_area / CAST(a_area AS DOUBLE) AS ratio FROM pairs), g AS (SELECT a_id, arg_min(iou, b_id) AS point, arg_min(ratio, b_id) AS point_r, arg_max(iou, (iou, -b_id)) AS box, arg_max(ratio, (iou, -b_id)) AS box_r FROM f GROUP BY 1), u AS (SELECT 'point' AS mode, point AS v, point_r AS r FROM g UNION ALL SELECT 'point_box', box, box_r FROM g)
+SELECT mode, count(*) AS n, round_even(avg(v), 6) AS mean, round_even(median(v), 6) AS median, count_if(v >= 0.5) AS n50, count_if(v >= 0.7) AS n70, count_if(v >= 0.9) AS n90, round_even(median(r), 6) AS median_ratio FROM u GROUP BY 1""")
 def verify_summary(t):
-    """Per-mode statistics over unpivoted columns."""
-    d = t.candidates.select(((F.col("id") % 97).cast("double") / 97.0).alias("point"), F.least((F.col("id") % 97 + 20).cast("double") / 97.0, F.lit(1.0)).alias("point_box")).unpivot([], ["point", "point_box"], "mode", "v")
-    return d.groupBy("mode").agg(F.count("*").alias("n"), rounded(F.avg("v")).alias("mean"), rounded(F.percentile("v", 0.5)).alias("median"), *(F.count_if(F.col("v") >= x).alias(f"n{int(x * 100)}") for x in (0.5, 0.7, 0.9)))
+    """Each reference's first and best prediction as two modes: IoU and area ratio, summed up by mode."""
+    from atlasforge.plans.spatial import pair_iou, pairs_of
+
+    f = pairs_of(t).select("a_id", "b_id", pair_iou().alias("iou"), (area("b_") / area("a_")).alias("ratio"))
+    one = F.struct("iou", "ratio")
+    g = f.groupBy("a_id").agg(F.min_by(one, "b_id").alias("point"), F.max_by(one, F.struct("iou", -F.col("b_id"))).alias("point_box"))
+    u = g.select("point", "point_box").unpivot([], ["point", "point_box"], "mode", "s").select("mode", F.col("s.iou").alias("v"), F.col("s.ratio").alias("r"))
+    return u.groupBy("mode").agg(F.count("*").alias("n"), rounded(F.avg("v")).alias("mean"), rounded(F.percentile("v", 0.5)).alias("median"), *(F.count_if(F.col("v") >= x).alias(f"n{int(x * 100)}") for x in (0.5, 0.7, 0.9)), rounded(F.percentile("r", 0.5)).alias("median_ratio"))
 
 
 @query("class_balance", "raster", "SELECT round_even(p, 6) AS pos_frac, round_even(least(6.0, greatest(1.0, (1 - p) / greatest(p, 0.001) * 0.5)), 6) AS weight FROM (SELECT CAST(sum(CASE WHEN gray < 110 THEN c % 2 ELSE 0 END) AS DOUBLE) / greatest(1, sum(c % 2)) AS p FROM raster)")
@@ -277,16 +297,16 @@ def rolling_median(t):
     return banded(rows, "r", 8, lambda w: F.expr("percentile(m, 0.5)").over(w.rowsBetween(-8, 8)), "smooth").select("r", "smooth")
 
 
-@query("interp_gaps", "raster", """WITH m AS (SELECT r, max(CASE WHEN gray < 40 THEN c END) AS m FROM raster GROUP BY r), n AS (SELECT r, m, last_value(m IGNORE NULLS) OVER a AS pm, last_value(CASE WHEN m IS NOT NULL THEN r END IGNORE NULLS) OVER a AS pr, first_value(m IGNORE NULLS) OVER b AS nm, first_value(CASE WHEN m IS NOT NULL THEN r END IGNORE NULLS) OVER b AS nr FROM m WINDOW a AS (PARTITION BY r // 64 ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY r // 64 ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+@query("interp_gaps", "raster", """WITH m AS (SELECT r, max(CASE WHEN gray < 40 THEN c END) AS m FROM raster GROUP BY r), n AS (SELECT r, m, last_value(m IGNORE NULLS) OVER a AS pm, last_value(CASE WHEN m IS NOT NULL THEN r END IGNORE NULLS) OVER a AS pr, first_value(m IGNORE NULLS) OVER b AS nm, first_value(CASE WHEN m IS NOT NULL THEN r END IGNORE NULLS) OVER b AS nr FROM m WINDOW a AS (ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT r, round_even(CASE WHEN m IS NOT NULL THEN m WHEN pm IS NULL THEN nm WHEN nm IS NULL THEN pm ELSE pm + (nm - pm) * (r - pr) / CAST(nr - pr AS DOUBLE) END, 6) AS edge FROM n""")
 def interp_gaps(t):
-    """Gaps of a row series filled linearly, the ends held, band by band of 64 rows."""
-    m = t.raster.groupBy("r").agg(F.max(F.when(F.col("gray") < 40, F.col("c"))).alias("m")).withColumn("k", F.when(F.col("m").isNotNull(), F.col("r")))
-    w = W.partitionBy(F.expr("r div 64")).orderBy("r")
-    a, b = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    n = m.select("r", "m", F.last("m", True).over(a).alias("pm"), F.last("k", True).over(a).alias("pr"), F.first("m", True).over(b).alias("nm"), F.first("k", True).over(b).alias("nr"))
-    lerp = F.col("pm") + (F.col("nm") - F.col("pm")) * (F.col("r") - F.col("pr")) / F.nullif(F.col("nr") - F.col("pr"), F.lit(0)).cast("double")
-    return n.select("r", rounded(F.coalesce(F.col("m").cast("double"), F.when(F.col("pm").isNull(), F.col("nm")), F.when(F.col("nm").isNull(), F.col("pm")), lerp)).alias("edge"))
+    """Gaps of a row series filled linearly, the ends held."""
+    from atlasforge.operators.ordered import around
+
+    m = around(t.raster.groupBy("r").agg(F.max(F.when(F.col("gray") < 40, F.col("c"))).alias("m")), "r", "m")
+    pm, pr, nm, nr = (F.col(c) for c in ("before", "before_key", "after", "after_key"))
+    lerp = pm + (nm - pm) * (F.col("r") - pr) / F.nullif(nr - pr, F.lit(0)).cast("double")
+    return m.select("r", rounded(F.coalesce(F.col("m").cast("double"), F.when(pm.isNull(), nm), F.when(nm.isNull(), pm), lerp)).alias("edge"))
 
 
 @query("row_envelope", "raster", "SELECT r, max(c) AS edge FROM raster WHERE gray < 110 GROUP BY r")
@@ -375,9 +395,12 @@ def attr_mismatch(t):
     return t.parcels.agg(F.count_if(~normal_text(a).eqNullSafe(normal_text(b))).alias("cells"))
 
 
-@query("import_gate", "parcels", "SELECT count(*) = 2000 AS count_ok, count_if(x0 IS NULL) = 0 AS no_null, count_if((x1 - x0) * (y1 - y0) <= 0) = 0 AS no_empty, count(*) = count(DISTINCT id) AS unique_ids FROM parcels")
+@query("import_gate", "parcels", "SELECT count(*) = (SELECT count(*) FROM part) AS count_ok, count_if(x0 IS NULL) = 0 AS no_null, count_if((x1 - x0) * (y1 - y0) <= 0) = 0 AS no_empty, count(*) = count(DISTINCT id) AS unique_ids FROM parcels")
 def import_gate(t):
-    return t.parcels.agg((F.count("*") == 2000).alias("count_ok"), (F.count_if(F.col("x0").isNull()) == 0).alias("no_null"), (F.count_if(area() <= 0) == 0).alias("no_empty"), (F.count("*") == F.count_distinct("id")).alias("unique_ids"))
+    """The count must be the one that the source's manifest states."""
+    stated = t.part.agg(F.count("*").alias("stated"))
+    seen = t.parcels.agg(F.count("*").alias("n"), (F.count_if(F.col("x0").isNull()) == 0).alias("no_null"), (F.count_if(area() <= 0) == 0).alias("no_empty"), (F.count("*") == F.count_distinct("id")).alias("unique_ids"))
+    return seen.crossJoin(stated).select((F.col("n") == F.col("stated")).alias("count_ok"), "no_null", "no_empty", "unique_ids")  # one row each
 
 
 @query("provenance_gate", "candidates", "SELECT prio, count(DISTINCT parcel_id % 2) = 1 AS same_source, sha256(list_aggregate(list_sort(list(DISTINCT CAST(parcel_id % 5 AS VARCHAR))), 'string_agg', ',')) AS digest FROM candidates GROUP BY prio")
@@ -398,9 +421,10 @@ def finding_disposition(t):
     return e.select("id", disposition(*(F.col(c) for c in ("category", "h", "d", "f"))).alias("disposition"))
 
 
-@query("changed_tiles", "findings", f"SELECT array_to_string(list_sort(list(DISTINCT printf('T%02d', tile_no))), ',') AS tiles FROM findings WHERE {VALID} AND id % 50 = 0")
+@query("changed_tiles", "findings", f"SELECT array_to_string(list_sort(list(DISTINCT printf('T%02d', tile_no))), ',') AS tiles FROM findings WHERE {VALID} AND confidence = 'high'")
 def changed_tiles(t):
-    return t.findings.where(VALID).where("id % 50 = 0").agg(F.array_join(F.array_sort(F.collect_set(F.format_string("T%02d", "tile_no"))), ",").alias("tiles"))
+    """Tiles that a finding of high confidence changes, as one sorted list."""
+    return t.findings.where(VALID).where("confidence = 'high'").agg(F.array_join(F.array_sort(F.collect_set(F.format_string("T%02d", "tile_no"))), ",").alias("tiles"))
 
 
 @query("report_json", "findings", "SELECT category, to_json({'n': count(*), 'errors': count_if(err), 'high': count_if(confidence = 'high')}) AS report FROM findings GROUP BY category")
@@ -416,15 +440,33 @@ def emit_sql_values(t):
     return j.select("id", F.concat(F.lit("("), "id", F.lit(", NULL, '"), F.replace("p_name", F.lit("'"), F.lit("''")), F.lit("', "), "x0", F.lit(")")).alias("line"))
 
 
-@query("iou_report", "parcels", "SELECT id, '| ' || id || ' | ' || (x1 - x0) || ' |' AS line FROM parcels WHERE id <= 20")
+@query("iou_report", "pairs", """WITH b AS (SELECT p.id, coalesce(max(inter / CAST(a_area + b_area - inter AS DOUBLE)), 0) AS best FROM parcels p LEFT JOIN pairs ON p.id = a_id GROUP BY 1)
+SELECT id, '| ' || id || ' | ' || printf('%.3f', round_even(best, 3)) || ' |' AS line FROM b UNION ALL SELECT NULL, '| mean | ' || printf('%.3f', round_even(avg(best), 3)) || ' |' FROM b""")
 def iou_report(t):
-    return t.parcels.where("id <= 20").select("id", F.concat(F.lit("| "), "id", F.lit(" | "), F.col("x1") - F.col("x0"), F.lit(" |")).alias("line"))
+    """A table row for each reference, and one with the mean."""
+    from atlasforge.plans.spatial import best_iou
 
+    b = t.parcels.select("id").join(best_iou(t), "id", "left").select("id", F.coalesce("best", F.lit(0.0)).alias("best"))
+    number = lambda c: F.format_string("%.3f", rounded(c, 3))
+    rows = b.select("id", F.concat(F.lit("| "), "id", F.lit(" | "), number(F.col("best")), F.lit(" |")).alias("line"))
+    return rows.unionByName(b.agg(F.lit(None).cast("bigint").alias("id"), F.concat(F.lit("| mean | "), number(F.avg("best")), F.lit(" |")).alias("line")))
 
-@query("resume_pending_tiles", "findings", "SELECT DISTINCT tile_no FROM findings WHERE tile_no NOT IN (SELECT tile_no FROM findings WHERE id % 997 = 1)")
+
+@query("resume_pending_tiles", "findings", "SELECT DISTINCT tile_no FROM findings WHERE tile_no >= 5")
 def resume_pending_tiles(t):
-    done = t.findings.where("id % 997 = 1").select("tile_no")
-    return t.findings.select("tile_no").distinct().join(done, "tile_no", "left_anti")
+    """A run that ended after five tiles, each written as a file of its own, goes on with the others."""
+    from atlasforge.sources.files import checkpoint_tiles, pending
+
+    done = checkpoint_tiles(t.findings.where("tile_no < 5").select("id", "tile_no"), "tile_no")
+    return pending(t.findings.select("tile_no").distinct(), done, "tile_no")
+
+
+@query("merge_checkpoints", "findings", "SELECT tile_no, count(*) AS n, min(id) AS first FROM findings GROUP BY 1")
+def merge_checkpoints(t):
+    """All tile files read as one table."""
+    from atlasforge.sources.files import checkpoint_tiles
+
+    return checkpoint_tiles(t.findings.select("id", "tile_no"), "tile_no").groupBy("tile_no").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
 @query("values_wkb", sql="SELECT source_row, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES (1, 1.5, -2.0), (2, 0.0, 10.25)) v(source_row, x, y)")

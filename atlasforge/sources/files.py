@@ -21,6 +21,15 @@ def pending(wanted: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return wanted.join(done.select(key).distinct(), key, "left_anti")
 
 
+def checkpoint_tiles(df: DataFrame, tile: str) -> DataFrame:
+    """Writes one folder a tile to the shared folder, and reads all of them as one table."""
+    from atlasforge.staging import shared_path
+
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "tiles")
+    df.write.partitionBy(tile).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def write_layers(layers: dict[str, DataFrame], folder: str) -> list[str]:
     """One Parquet folder a layer; empty layers are left out. Returns the names written."""
     written = []
