@@ -38,17 +38,16 @@ from pyspark.sql import functions as F
 
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
 from atlasforge.llm.setjoin import bloom_words, links, maybe
-from atlasforge.llm.textcore import Sets, U, lean, lines, mix, pack, parted, set_classes, shingle_sets, slices, unpress, words
+from atlasforge.llm.textcore import Sets, U, lean, lines, mix, pack, part_of, parted, set_classes, shingle_sets, slices, unpress, words
 
-SLOTS = 1 << 20
+SLOTS = 1 << 22
 RANGES = 16
-HOT = 256
+HOT = 1024
 SPLIT = 1 << 15
 TRIES = 4
 WIDEST = 8  # words of 64 bits in a sketch
 FLUSH = 400_000  # entries sent at once
 _STEP = U(0x9E3779B97F4A7C15)
-_LOW = U(0xFFFFFFFF)
 
 
 def level(count: np.ndarray) -> np.ndarray:
@@ -64,20 +63,35 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Sets, np.n
         yield row + lo, number, s, set_classes(s)
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> U(32)).astype(np.int64) * SLOTS >> 32
+
+
+def _key(sig: np.ndarray, parts: int) -> np.ndarray:
+    """What stands for a signature within its part: 32 bits that rise with it."""
+    return (sig * U(parts) >> U(32)).astype(np.uint32)
+
+
 def _classes(rows: DataFrame) -> DataFrame:
     """(doc_id, number, h) of every line with a word, and counts of lines by slots of words (slots, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(SLOTS, np.int64)
+        count, held, total = np.zeros(SLOTS, np.int64), [], 0
         for batch in batches:
             for row, number, s, cls in _sets(batch.column(1)):
-                count += np.bincount((s.values >> U(32)).astype(np.int64) * SLOTS >> 32, minlength=SLOTS)
-                some = cls != 0
-                none = pa.nulls(int(some.sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[some])), pa.array(number[some]), pa.array(cls[some]), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "number", "h", "slots", "data"])
-        held = [(k, c) for k, c in enumerate(count.reshape(RANGES, -1)) if c.any()]
-        none = pa.nulls(len(held)).cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in held], pa.int32()), pa.array([pack(c) for _, c in held], pa.binary())], names=["doc_id", "number", "h", "slots", "data"])
+                held.append(_slot(s.values))
+                total += len(s.values)
+                if total > SLOTS:
+                    count += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, total = [], 0
+                full = cls != 0
+                none = pa.nulls(int(full.sum()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[full])), pa.array(number[full]), pa.array(cls[full]), none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "number", "h", "slots", "data"])
+        if held:
+            count += np.bincount(np.concatenate(held), minlength=SLOTS)
+        some = [(k, c) for k, c in enumerate(count.reshape(RANGES, -1)) if c.any()]
+        none = pa.nulls(len(some)).cast(pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([k for k, _ in some], pa.int32()), pa.array([pack(c) for _, c in some], pa.binary())], names=["doc_id", "number", "h", "slots", "data"])
 
     return rows.mapInArrow(lean(run), "doc_id bigint, number bigint, h bigint, slots int, data binary")
 
@@ -103,7 +117,7 @@ class Entries:
         n = s.sizes()
         rows = len(n)
         row = np.repeat(np.arange(rows), n)
-        lev = rarity[(s.values >> U(32)).astype(np.int64) * SLOTS >> 32]
+        lev = rarity[_slot(s.values)]
         bits = max(1, rows.bit_length())
         order = np.argsort(row.astype(U) << U(64 - bits) | lev.astype(U) << U(56 - bits) | s.values >> U(8 + bits), kind="stable")
         tok, lev = s.values[order], lev[order]
@@ -111,7 +125,7 @@ class Entries:
         # a set links with another one only if it may with itself and one word more
         prefix = np.where(100 * n >= percent * (n + 1), n + (-n * percent // 100) + 1, 0)
         words_ = 1 + (lev > level(HOT)).astype(np.int64) + (lev > level(64 * HOT))
-        begins = np.flatnonzero(place < prefix[row])
+        begins = np.flatnonzero((place < prefix[row]) & (lev > level(1)))  # a word of one line alone meets nothing
         size = n[row]
         sig, first = [], []
         for many in (1, 2, 3):
@@ -175,7 +189,7 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
             order = np.argsort(whole["sig"])
             whole, sketch = {k: v[order] for k, v in whole.items()}, sketch[order]
             used = np.arange(WIDEST) < widths(whole["n"])[:, None]
-            out = [(p, [pack(np.diff(whole["sig"][s], prepend=U(0))), *(pack(whole[k][s]) for k in _FIELDS[1:]), pack(sketch[s][used[s]])]) for p, s in parted(whole["sig"], parts)]
+            out = [(p, [pack(np.diff(_key(whole["sig"][s], parts), prepend=np.uint32(0))), *(pack(whole[k][s]) for k in _FIELDS[1:]), pack(sketch[s][used[s]])]) for p, s in parted(whole["sig"], parts)]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary()))], names=["part", "data"])
 
         for batch in batches:
@@ -187,7 +201,7 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
                 e = Entries(s, rarity.value, percent)
                 use = lead[e.row]
                 if wanted is not None:
-                    use[use] = _wanted(wanted.value, e.sig[use], e.salts[use])
+                    use[use] = _wanted(wanted.value, e.sig[use], e.salts[use], parts)
                 sig, r, place, salts = e.sig[use], e.row[use], e.place[use], e.salts[use]
                 home = (cls[r].view(U) % salts.astype(U)).astype(np.int64)
                 role = np.ones(len(r), np.uint8)
@@ -210,13 +224,14 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
     return lean(run)
 
 
-def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray) -> np.ndarray:
+def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray, parts: int) -> np.ndarray:
     """Signatures that the filter may hold, or any of their groups."""
-    out = maybe(words_, sig.view(np.int64)) & (salts == 1)
+    held = lambda x: maybe(words_, _key(x, parts).astype(np.int64) | part_of(x, parts) << 32)
+    out = held(sig) & (salts == 1)
     split = np.flatnonzero(salts > 1)
     rep = np.repeat(split, salts[split])
     home = np.arange(len(rep)) - np.repeat(np.cumsum(salts[split]) - salts[split], salts[split])
-    out[rep[maybe(words_, mix(sig[rep] + home.astype(U) * _STEP).view(np.int64))]] = True
+    out[rep[held(mix(sig[rep] + home.astype(U) * _STEP))]] = True
     return out
 
 
@@ -226,13 +241,17 @@ def _compare(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: in
     least = -(-percent * (n + m) // (100 + percent))
     ok = np.minimum(n - e["place"][x], m - e["place"][y]) >= least
     most = n + m - 2 * least
+    at = np.flatnonzero(ok)
+    x, y, most = x[at], y[at], most[at]
     w = np.minimum(e["width"][x], e["width"][y])
     differ = np.bitwise_count(e["f1"][x] ^ e["f1"][y]).astype(np.int64)
     for k in (2, 4, WIDEST):
-        some = np.flatnonzero((w == k) & ok)
+        some = np.flatnonzero(w == k)
         if len(some):
             differ[some] = np.bitwise_count(folded(e["sketch"][x[some]], k) ^ folded(e["sketch"][y[some]], k)).sum(axis=1)
-    return ok & (differ <= most), 10 * differ <= 7 * most
+    alike = np.zeros(len(ok), bool)
+    ok[at], alike[at] = differ <= most, 10 * differ <= 7 * most
+    return ok, alike
 
 
 def _meet(percent: int, probes=None):
@@ -246,11 +265,11 @@ def _meet(percent: int, probes=None):
         e["sketch"] = np.zeros((len(e["n"]), WIDEST), U)
         e["sketch"][np.arange(WIDEST) < e["width"][:, None]] = np.concatenate([unpress(b[-1]).astype(U) for b in blobs])
         e["f1"] = np.bitwise_xor.reduce(e["sketch"], axis=1)
-        e["sig"] = np.concatenate([np.cumsum(unpress(b[0]), dtype=U) for b in blobs])
+        e["sig"] = np.concatenate([np.cumsum(unpress(b[0]), dtype=np.uint32) for b in blobs]).astype(U)
         by_place = np.lexsort((e["h"], e["number"], e["doc"]))
         rank = np.empty(len(by_place), np.int64)
         rank[by_place] = np.arange(len(by_place))
-        sig = e["sig"] & _LOW
+        sig = e["sig"]
         order = np.argsort(sig << U(32) | rank.astype(U))
         e = {k: v[order] for k, v in e.items()}
         sig = sig[order]
@@ -292,7 +311,8 @@ def _meet(percent: int, probes=None):
                 more.append(np.zeros(len(y), bool))
         cat = lambda a, kind: np.concatenate(a) if a else np.zeros(0, kind)
         u, v, more = cat(u, np.int64), cat(v, np.int64), cat(more, bool)
-        key = np.where(more, e["sig"][u].view(np.int64), 0)
+        part = table.column("part")[0].as_py()
+        key = np.where(more, e["sig"][u].astype(np.int64) | part << 32, 0)
         rows = np.stack((e["h"][u], e["h"][v], key), axis=1)
         order = np.lexsort((key, rows[:, 1], rows[:, 0]))
         rows, more = rows[order], more[order]

@@ -239,7 +239,7 @@ def test_near_groups(spark, odd, none, docs, texts, chunk, monkeypatch):
     assert setjoin.link_groups(none).count() == 0
 
 
-@pytest.mark.parametrize(("hot", "split"), [(256, 1 << 15), (4, 1 << 15), (0, 8)])
+@pytest.mark.parametrize(("hot", "split"), [(1024, 1 << 15), (4, 1 << 15), (1, 8)])
 def test_line_dedup(spark, odd, none, docs, texts, hot, split, monkeypatch):
     """Against brute force over sets of words; with low bounds most words go by pairs and triples, and groups are split."""
     monkeypatch.setattr(linededup, "HOT", hot)
@@ -258,7 +258,7 @@ def test_line_dedup(spark, odd, none, docs, texts, hot, split, monkeypatch):
     probe = " ".join(f"p{k}" for k in range(20))
     made += [(60, probe), (61, probe.replace("p9 ", "other ") + "\n" + " ".join(reversed(probe.split()))), (62, None)]
     tables = [(spark.createDataFrame(made, "doc_id long, text string"), made)]
-    if hot == 256:
+    if hot == 1024:
         tables += [(odd.dropDuplicates(["doc_id"]), sorted({r[0]: r[1] for r in ODD}.items())), (docs, sorted(texts.items()))]
     for df, rows in tables:
         got = {r.doc_id: (r.text, r.n_removed) for r in linededup.dedup_lines(df).collect()}
@@ -277,7 +277,7 @@ def test_line_dedup(spark, odd, none, docs, texts, hot, split, monkeypatch):
                 seen.append(s)
             want[i] = (None if t is None else "\n".join(kept), 0 if t is None else len(t.split("\n")) - len(kept))
         assert got == want
-    assert hot == 256 or got[61] == ("", 2)
+    assert hot == 1024 or got[61] == ("", 2)
     assert linededup.dedup_lines(none).count() == 0
 
 
