@@ -4,7 +4,8 @@ Columns only. A pattern's matches are the strings between the pieces of a split,
 the running length of pieces and matches before it; texts never move, only matches with a few
 characters around them. Base kinds are email, ip, card and phone, with their checks. Further
 candidates are values behind words such as password or token, phone numbers without a plus, numbers
-of identity papers and accounts, and long mixed strings.
+of identity papers and accounts (runs of 16 to 19 digits that fail the card's check among them), and
+long mixed strings.
 
 Labelers vote on every candidate, base matches that failed their check included: strict patterns, a
 gazetteer of words before a span, gazetteers of domains, networks and card issuers, the signs before
@@ -43,8 +44,8 @@ PATTERNS = {
 #: What a text must contain for a pattern to match at all.
 _NEEDS = {"email": "@", "phone": "+", "keyed": None}
 #: By kind: the name in the result, and which of overlapping candidates stays.
-ADDED = {"keyed": ("secret", 1), "local": ("phone", 2), "paper": ("identity", 3), "mixed": ("secret", 4)}
-_ORDER = [*KINDS, "secret", "identity"]
+ADDED = {"keyed": ("secret", 1), "local": ("phone", 2), "paper": ("identity", 3), "account": ("account", 4), "mixed": ("secret", 5)}
+_ORDER = [*KINDS, "secret", "identity", "account"]
 AROUND = 32
 
 
@@ -92,7 +93,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     keyed = F.col("kind") == "keyed"
     found = found.withColumn("key", F.when(keyed, F.regexp_extract("hit", "^[A-Za-z_-]+", 0)).otherwise("")).withColumn("before", F.when(keyed, F.concat("before", F.substring("hit", F.lit(1), F.length("hit") - F.length(value)))).otherwise(F.col("before")))
     found = found.withColumn("hit", F.when(keyed, value).otherwise(F.col("hit"))).withColumn("start", F.col("end") - F.length("hit"))
-    return found.withColumn("valid", valid(F.col("kind"), F.col("hit"))).drop("gap")
+    found = found.withColumn("valid", valid(F.col("kind"), F.col("hit"))).drop("gap")
+    account = (F.col("kind") == "card") & ~F.col("valid") & F.length(_digits(F.col("hit"))).between(16, 19)
+    return found.withColumn("kind", F.when(account, "account").otherwise(F.col("kind")))
 
 
 #: Gazetteers.
@@ -203,14 +206,17 @@ def find(docs: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_c
 
 
 def summary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """For each row: n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans and n_added."""
+    """For each row: n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added, n_spans (all
+    spans), and of those added n_secret, n_identity, n_account and n_added_phone."""
     place = F.array_position(F.array(*map(F.lit, _ORDER)), F.col("kind"))
     found = find(docs, id_col=id_col, text_col=text_col).withColumn("s", F.struct(place.alias("p"), "start", "end", "kind"))
     counts = [F.sum((F.col("base") & (F.col("kind") == k)).cast("long")).alias(f"n_{k}") for k in KINDS]
+    more = {"n_spans": F.lit(True), "n_secret": F.col("kind") == "secret", "n_identity": F.col("kind") == "identity", "n_account": F.col("kind") == "account", "n_added_phone": ~F.col("base") & (F.col("kind") == "phone")}
+    counts += [F.sum(test.cast("long")).alias(k) for k, test in more.items()]
     listed = found.groupBy("doc_id", "text_hash").agg(*counts, F.array_sort(F.collect_list(F.when(F.col("base"), F.col("s")))).alias("b"), F.array_sort(F.collect_list("s")).alias("a"))
     shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    listed = listed.select("doc_id", "text_hash", *(f"n_{k}" for k in KINDS), shown("b").alias("base"), shown("a").alias("spans"), (F.size("a") - F.size("b")).cast("long").alias("n_added"))
+    listed = listed.select("doc_id", "text_hash", *(f"n_{k}" for k in KINDS), *more, shown("b").alias("base"), shown("a").alias("spans"), (F.size("a") - F.size("b")).cast("long").alias("n_added"))
     keys = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"))
     joined = keys.alias("l").join(listed.alias("r"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.text_hash") == F.col("r.text_hash")), "left")
     zero = [F.coalesce(F.col(f"r.n_{k}"), F.lit(0)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return joined.select("l.doc_id", *zero, F.sha2(F.coalesce("r.base", F.lit("")), 256).alias("base_sha256"), F.coalesce("r.spans", F.lit("")).alias("spans"), F.coalesce("r.n_added", F.lit(0)).cast("long").alias("n_added"))
+    return joined.select("l.doc_id", *zero, F.sha2(F.coalesce("r.base", F.lit("")), 256).alias("base_sha256"), F.coalesce("r.spans", F.lit("")).alias("spans"), *(F.coalesce(f"r.{k}", F.lit(0)).cast("long").alias(k) for k in ("n_added", *more)))

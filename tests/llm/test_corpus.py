@@ -333,6 +333,23 @@ def test_personal_data(spark, odd, none, docs, texts):
     assert pii.summary(none).count() == 0
 
 
+def test_personal_data_added(spark, docs, texts):
+    """Numbers that fail the card's check and values behind token are added; texts without any of the shapes get no span."""
+    shapes = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|(?<!\d)\d{16}(?!\d)|\+\d[ ().0-9-]+\d|token\s*=|\d+\.\d+\.\d+\.\d+"
+    rows = {r.doc_id: r for r in pii.summary(docs).collect()}
+    want = {i for i, t in texts.items() if re.search(shapes, t)}
+    found = {i for i, r in rows.items() if r.n_spans}
+    assert len(want & found) >= 0.9 * len(want) and len(found - want) <= 0.01 * len(rows)
+    for i, r in rows.items():
+        spans = [s for s in r.spans.split(",") if s]
+        assert r.n_spans == len(spans) and r.n_account == sum(s.startswith("account:") for s in spans) and r.n_secret == sum(s.startswith("secret:") for s in spans)
+        for s in spans:
+            kind, a, b = s.split(":")
+            hit = texts[i][int(a) : int(b)]
+            assert kind != "account" or 16 <= sum(c.isdigit() for c in hit) <= 19
+            assert kind != "secret" or texts[i][max(0, int(a) - 12) : int(a)].strip() and len(hit) >= 6
+
+
 def test_em_finds_the_reliable_labelers():
     import random
 
