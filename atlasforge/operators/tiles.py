@@ -122,15 +122,17 @@ def grid_of(pdf: pd.DataFrame, value: str, fill) -> tuple[np.ndarray, int, int]:
     return out, int(r.min()), int(c.min())
 
 
-def skeletons(pixels: DataFrame, size: int = 256) -> DataFrame:
-    """(tr, tc, path, n): the traced skeleton paths of set pixels, tile by tile."""
+def skeletons(pixels: DataFrame, size: int = 256, halo: int = 32) -> DataFrame:
+    """(tr, tc, path, n): the traced skeleton paths of set pixels. Tiles are read with a margin, and a path
+    belongs to the tile that holds its first pixel."""
+    from atlasforge.operators.raster import haloed
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         mask, r0, c0 = grid_of(pdf.assign(on=True), "on", False)
-        rows = [(int(pdf["tr"].iloc[0]), int(pdf["tc"].iloc[0]), k, len(p)) for k, p in enumerate(trace(thin(mask.astype(bool))))]
-        return pd.DataFrame(rows, columns=["tr", "tc", "path", "n"]).astype("int64")
+        own = [p for p in trace(thin(mask.astype(bool))) if ((p[0][0] + r0) // size, (p[0][1] + c0) // size) == tuple(key)]
+        return pd.DataFrame([(int(key[0]), int(key[1]), k, len(p)) for k, p in enumerate(own)], columns=["tr", "tc", "path", "n"]).astype("int64")
 
-    return tiled(pixels, size).groupBy("tr", "tc").applyInPandas(run, "tr bigint, tc bigint, path bigint, n bigint")
+    return haloed(pixels, halo, size).groupBy("br", "bc").applyInPandas(run, "tr bigint, tc bigint, path bigint, n bigint")
 
 
 def registration(pixels: DataFrame, size: int = 64) -> DataFrame:

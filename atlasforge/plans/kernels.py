@@ -119,64 +119,73 @@ def file_hashes(t):
     return hashes(t.spark, f"{t.sf_dir}/*.parquet").select("size", "sha256")
 
 
-def _tile_query(t, columns: str, work, where: str = "true", schema: str = ""):
-    """work(grid, r0, c0) -> rows for each tile of the raster."""
+HALO = 32
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+
+def _tile_query(t, columns: str, work, schema: str):
+    """work(grid, r0, c0, mine) -> rows for each tile of the raster, read with a margin of `HALO` pixels;
+    mine(r, c) tells which places of the raster the tile owns. A component belongs to the tile with its
+    first pixel, so it comes once, and whole as far as the margin reaches."""
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         grid, r0, c0 = T.grid_of(pdf, "gray", 255)
-        return pd.DataFrame(work(grid, r0, c0), columns=columns.split())
+        mine = lambda r, c: (np.asarray(r) // TILE == key[0]) & (np.asarray(c) // TILE == key[1])
+        return pd.DataFrame(work(grid, r0, c0, mine), columns=columns.split())
 
-    return T.tiled(t.raster.where(where), TILE).groupBy("tr", "tc").applyInPandas(run, schema)
+    return R.haloed(t.raster, HALO, TILE).groupBy("br", "bc").applyInPandas(run, schema)
+
+
+def _own_pixels(mask: np.ndarray, r0: int, c0: int, mine) -> list[tuple[int, int]]:
+    r, c = np.nonzero(mask)
+    keep = mine(r + r0, c + c0)
+    return [(int(a) + r0, int(b) + c0) for a, b in zip(r[keep], c[keep], strict=True)]
 
 
 @query("line_opening")
 def line_opening(t):
-    """Ink that a 15-pixel line at 9.5 degrees, or one across, fits into; pixels left a tile."""
-    work = lambda g, r0, c0: [(r0, c0, int((T.opened(g < 150, T.oriented(15, 99.5)) | T.opened(g < 150, T.oriented(11, 9.5))).sum()))]
-    return _tile_query(t, "r0 c0 px", work, schema="r0 bigint, c0 bigint, px bigint")
+    """Ink that a 15-pixel line at 9.5 degrees, or one across, fits into; pixel by pixel."""
+    work = lambda g, r0, c0, mine: _own_pixels(T.opened(g < 150, T.oriented(15, 99.5)) | T.opened(g < 150, T.oriented(11, 9.5)), r0, c0, mine)
+    return _tile_query(t, "r c", work, schema="r bigint, c bigint")
 
 
 @query("plate_mask")
 def plate_mask(t):
-    """The plate: the block maximum is bright, and not connected with the border's background."""
-
-    def work(g, r0, c0):
-        h, w = g.shape[0] // 4 * 4, g.shape[1] // 4 * 4
-        if not h or not w:
-            return [(r0, c0, 0)]
-        dark = g[:h, :w].reshape(h // 4, 4, w // 4, 4).max(axis=(1, 3)) < 120
-        lab = R.label_components(dark)
-        edge = set(lab[0]) | set(lab[-1]) | set(lab[:, 0]) | set(lab[:, -1])
-        plate = ~np.isin(lab, [k for k in edge if k])
-        for _ in range(2):
-            plate = T.erode(plate, np.ones((3, 3), bool))
-        return [(r0, c0, int(np.kron(plate, np.ones((4, 4), bool)).sum()))]
-
-    return _tile_query(t, "r0 c0 px", work, schema="r0 bigint, c0 bigint, px bigint")
+    """Blocks of four by four on the plate: not dark by their maximum in a component that reaches the raster's
+    border, and two blocks away from what is."""
+    block = t.raster.groupBy(F.expr("r div 4").alias("r"), F.expr("c div 4").alias("c")).agg(F.max("gray").alias("top"))
+    lab = R.components(block.where("top < 120").select("r", "c"))
+    ends = block.agg(F.max("r").alias("r1"), F.max("c").alias("c1"))  # one row
+    edge = lab.crossJoin(ends).where("r IN (0, r1) OR c IN (0, c1)").select("label").distinct()
+    off = lab.join(edge, "label", "left_semi").select("r", "c", F.lit(0).alias("off"))
+    on = block.select("r", "c").join(off, ["r", "c"], "left").select("r", "c", F.coalesce("off", F.lit(1)).alias("on"))
+    return R.box_sums(on, {"s": C("on")}, 2).where("s = 25").select("r", "c")
 
 
 @query("skeletonize")
 def skeletonize(t):
-    work = lambda g, r0, c0: [(r0 + int(r), c0 + int(c)) for r, c in zip(*np.nonzero(T.thin(g < 110)), strict=True)]
+    work = lambda g, r0, c0, mine: _own_pixels(T.thin(g < 110), r0, c0, mine)
     return _tile_query(t, "r c", work, schema="r bigint, c bigint")
 
 
-def _pieces(mask: np.ndarray, least: int):
+def _pieces(mask: np.ndarray, least: int, r0: int, c0: int, mine):
+    """The components of at least so many pixels whose first pixel the tile owns."""
     lab = R.label_components(mask)
     for k in np.unique(lab[lab > 0]):
-        part = lab == k
-        if part.sum() >= least:
-            yield part
+        first = divmod(int(k) - 1, mask.shape[1])
+        if mine(first[0] + r0, first[1] + c0):
+            part = lab == k
+            if part.sum() >= least:
+                yield part, first[0] + r0, first[1] + c0
 
 
 @query("threshold_candidates")
 def threshold_candidates(t):
     """The baseline: ink, closed by 3, opened by 3, components of at least 10 pixels with their bounds."""
 
-    def work(g, r0, c0):
+    def work(g, r0, c0, mine):
         k = np.ones((3, 3), bool)
         out = []
-        for part in _pieces(T.opened(T.closed(g < 120, k), k), 10):
+        for part, _, _ in _pieces(T.opened(T.closed(g < 120, k), k), 10, r0, c0, mine):
             r, c = np.nonzero(part)
             out.append((r0 + int(r.min()), c0 + int(c.min()), r0 + int(r.max()), c0 + int(c.max()), int(part.sum())))
         return out
@@ -186,20 +195,14 @@ def threshold_candidates(t):
 
 @query("drawn_cells")
 def drawn_cells(t):
-    """White components wide enough for a disc of two pixels: their area and greatest distance to ink."""
-    from atlasforge.operators.distance import _envelope
-
-    def work(g, r0, c0):
-        ink = g < 60
-        d = np.array([_envelope(np.where(col, 0.0, np.inf)) for col in ink.T]).T
-        d = np.sqrt(np.array([_envelope(row) for row in d]))
-        out = []
-        for part in _pieces(~ink, 8):
-            if d[part].max() >= 2:
-                out.append((r0, c0, int(part.sum()), float(min(d[part].max(), 1e6))))
-        return out
+    """White components wide enough for a disc of two pixels: size and greatest distance to ink, by their
+    first pixel. Components and distances are those of the whole raster."""
+    from atlasforge.operators.distance import distance_transform
 
-    return _tile_query(t, "r0 c0 px width", work, schema="r0 bigint, c0 bigint, px bigint, width double")
+    lab = R.components(t.raster.where("gray >= 60").select("r", "c"))
+    d = distance_transform(t.raster.select("r", "c", (C("gray") < 60).alias("set")))
+    g = lab.join(d, ["r", "c"]).groupBy("label").agg(F.count("*").alias("px"), F.max("d").alias("width")).where("px >= 8 AND width >= 2")
+    return g.select(F.expr(f"label div {1 << 31}").alias("r"), (C("label") % (1 << 31)).alias("c"), "px", "width")
 
 
 @query("divider_split")
@@ -207,14 +210,14 @@ def divider_split(t):
     """Dark components cut along vertical lines of ink: seeds are what the dilated lines leave, and grow back
     until they tile the component; a component with fewer than two seeds stays whole."""
 
-    def work(g, r0, c0):
+    def work(g, r0, c0, mine):
         out = []
         lines = T.dilate(T.opened(g < 60, T.oriented(5, 90)), np.ones((1, 3), bool))
-        for n, part in enumerate(_pieces(g < 120, 60)):
+        for part, r, c in _pieces(g < 120, 60, r0, c0, mine):
             seeds = R.label_components(part & ~lines)
             kinds = [k for k in np.unique(seeds[seeds > 0]) if (seeds == k).sum() >= 8]
             if not 2 <= len(kinds) <= 40:
-                out.append((r0, c0, n, 1, int(part.sum())))
+                out.append((r, c, 1, int(part.sum())))
                 continue
             grown = np.where(np.isin(seeds, kinds), seeds, 0)
             for _ in range(64):
@@ -223,42 +226,53 @@ def divider_split(t):
                 if (new == grown).all():
                     break
                 grown = new
-            out += [(r0, c0, n, i + 1, int((grown == k).sum())) for i, k in enumerate(kinds)]
+            out += [(r, c, i + 1, int((grown == k).sum())) for i, k in enumerate(kinds)]
         return out
 
-    return _tile_query(t, "r0 c0 part piece px", work, schema="r0 bigint, c0 bigint, part bigint, piece bigint, px bigint")
+    return _tile_query(t, "r c piece px", work, schema="r bigint, c bigint, piece bigint, px bigint")
 
 
 @query("embedded_reject")
 def embedded_reject(t):
     """Small dark components whose surrounding ring is mostly dark, too."""
 
-    def work(g, r0, c0):
+    def work(g, r0, c0, mine):
         out = []
-        for part in _pieces(g < 60, 2):
+        for part, r, c in _pieces(g < 60, 2, r0, c0, mine):
             if part.sum() < 60:
                 ring = T.dilate(part, T.ellipse(9)) & ~T.dilate(part, T.ellipse(3))
-                out.append((r0, c0, int(part.sum()), bool(ring.any() and (g[ring] < 110).mean() > 0.30)))
+                out.append((r, c, int(part.sum()), bool(ring.any() and (g[ring] < 110).mean() > 0.30)))
         return out
 
-    return _tile_query(t, "r0 c0 px embedded", work, schema="r0 bigint, c0 bigint, px bigint, embedded boolean")
+    return _tile_query(t, "r c px embedded", work, schema="r bigint, c bigint, px bigint, embedded boolean")
 
 
 @query("evidence_bundle")
 def evidence_bundle(t):
-    """Ink, closed and opened shares in each finding's window of the tile that it lies in; none under 4 pixels."""
+    """Shares of ink, closed and opened ink, hatch and dividers (strict and relaxed) in each finding's whole
+    window, clipped by the raster; none under four pixels. Windows meet strips of 64 pixels of a row."""
+    from atlasforge.plans.spatial import divider_pixels, hatch_mask
+
+    fields = t.raster.join(hatch_mask(t).select("r", "c", F.when(C("strict"), 2).otherwise(1).alias("h")), ["r", "c"], "left").join(divider_pixels(t).select("r", "c", F.when(C("strict"), 2).otherwise(1).alias("d")), ["r", "c"], "left")
+    strip = F.array_sort(F.collect_list(F.struct("c", "gray", F.coalesce("h", F.lit(0)).alias("h"), F.coalesce("d", F.lit(0)).alias("d"))))
+    strips = fields.groupBy("r", F.expr("c div 64").alias("tc")).agg(strip.alias("px"))
     box = t.findings.where("NOT err AND category IS NOT NULL").select("id", (C("x0") % 40).alias("a"), (C("y0") % 480).alias("u"), (C("x1") - C("x0")).alias("w"), (C("y1") - C("y0")).alias("h"))
-    win = box.select("id", "a", "u", F.least("w", F.lit(23)).alias("w"), F.least("h", F.lit(19)).alias("h")).where("id % 20 = 0")
-    px = win.withColumn("c", F.explode(F.sequence("a", C("a") + C("w")))).withColumn("r", F.explode(F.sequence("u", C("u") + C("h")))).join(t.raster, ["r", "c"]).select("id", "r", "c", "gray")
+    win = box.select("id", "a", (C("a") + C("w")).alias("b"), F.explode(F.sequence("u", C("u") + C("h"))).alias("r"))
+    win = win.withColumn("tc", F.explode(F.sequence(F.expr("a div 64"), F.expr("b div 64"))))
+    cut = win.join(strips, ["r", "tc"]).select("id", "r", F.filter("px", lambda p: (p.c >= C("a")) & (p.c <= C("b"))).alias("px")).where(F.size("px") > 0)
+    names = ["id", "ink", "closed", "opened", "hatch", "hatch_relaxed", "divider", "divider_relaxed"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, _, _ = T.grid_of(pdf, "gray", 255)
+        rows = [(r, p["c"], p["gray"], p["h"], p["d"]) for r, px in zip(pdf["r"], pdf["px"], strict=True) for p in px]
+        flat = pd.DataFrame(rows, columns=["r", "c", "gray", "h", "d"])
+        g, hatch, line = (T.grid_of(flat, k, fill)[0] for k, fill in (("gray", 255), ("h", 0), ("d", 0)))
         if g.size < 4:
-            return pd.DataFrame([], columns=["id", "ink", "closed", "opened"])
+            return pd.DataFrame([], columns=names)
         k, ink = np.ones((3, 3), bool), g < 110
-        return pd.DataFrame([(pdf["id"].iloc[0], ink.mean(), T.closed(ink, k).mean(), T.opened(ink, k).mean())], columns=["id", "ink", "closed", "opened"])
+        values = (ink.mean(), T.closed(ink, k).mean(), T.opened(ink, k).mean(), (hatch > 1).mean(), (hatch > 0).mean(), (line > 1).mean(), (line > 0).mean())
+        return pd.DataFrame([(pdf["id"].iloc[0], *values)], columns=names)
 
-    return px.groupBy("id").applyInPandas(run, "id bigint, ink double, closed double, opened double")
+    return cut.groupBy("id").applyInPandas(run, "id bigint, " + ", ".join(f"{n} double" for n in names[1:]))
 
 
 def _ring_query(t, columns: str, work, schema: str):

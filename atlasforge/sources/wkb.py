@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.functions import pandas_udf
 
 _SRID, _Z, _M = 0x20000000, 0x80000000, 0x40000000
@@ -85,3 +86,36 @@ def _column(kind: str, pick, cast: str):
 point_x = _column("double", lambda g: g[2][0][0], "float64")
 point_y = _column("double", lambda g: g[2][0][1], "float64")
 srid = _column("int", lambda g: g[1], "Int32")
+
+
+def polygon(rings: list[list[tuple[float, float]]], srid: int | None = None) -> bytes:
+    """Rings as WKB, or as extended WKB with a reference system."""
+    head = struct.pack("<BI", 1, 3 | (_SRID if srid is not None else 0)) + (struct.pack("<i", srid) if srid is not None else b"")
+    body = b"".join(struct.pack(f"<I{2 * len(r)}d", len(r), *(v for p in r for v in p)) for r in rings)
+    return head + struct.pack("<I", len(rings)) + body
+
+
+def box_polygons(boxes: DataFrame, srid: int) -> DataFrame:
+    """(id, geom) of boxes (id, x0, y0, x1, y1)."""
+
+    def run(batches):
+        for pdf in batches:
+            geom = [polygon([[(a, b), (c, b), (c, d), (a, d), (a, b)]], srid) for a, b, c, d in zip(pdf["x0"], pdf["y0"], pdf["x1"], pdf["y1"], strict=True)]
+            yield pd.DataFrame({"id": pdf["id"], "geom": geom})
+
+    return boxes.mapInPandas(run, "id bigint, geom binary")
+
+
+def polygon_bounds(rows: DataFrame) -> DataFrame:
+    """(id, x0, y0, x1, y1, srid) of polygons (id, geom)."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for k, g in zip(pdf["id"], pdf["geom"], strict=True):
+                _, srid, rings = parse(bytes(g))
+                xs, ys = [p[0] for p in rings[0]], [p[1] for p in rings[0]]
+                out.append((k, int(min(xs)), int(min(ys)), int(max(xs)), int(max(ys)), srid))
+            yield pd.DataFrame(out, columns=["id", "x0", "y0", "x1", "y1", "srid"])
+
+    return rows.mapInPandas(run, "id bigint, x0 bigint, y0 bigint, x1 bigint, y1 bigint, srid int")
