@@ -180,17 +180,14 @@ def _pieces(mask: np.ndarray, least: int, r0: int, c0: int, mine):
 
 @query("threshold_candidates")
 def threshold_candidates(t):
-    """The baseline: ink, closed by 3, opened by 3, components of at least 10 pixels with their bounds."""
-
-    def work(g, r0, c0, mine):
-        k = np.ones((3, 3), bool)
-        out = []
-        for part, _, _ in _pieces(T.opened(T.closed(g < 120, k), k), 10, r0, c0, mine):
-            r, c = np.nonzero(part)
-            out.append((r0 + int(r.min()), c0 + int(c.min()), r0 + int(r.max()), c0 + int(c.max()), int(part.sum())))
-        return out
-
-    return _tile_query(t, "r0 c0 r1 c1 px", work, schema="r0 bigint, c0 bigint, r1 bigint, c1 bigint, px bigint")
+    """The baseline: ink, closed by 3, opened by 3, components of the whole raster of at least 10 pixels with
+    their bounds."""
+    m = t.raster.select("r", "c", (C("gray") < 120).cast("int").alias("m"))
+    for agg in (F.max, F.min, F.min, F.max):
+        m = R.box_window(m, "m", 1, agg, "n").select("r", "c", C("n").alias("m"))
+    lab = R.components(m.where("m = 1").select("r", "c"))
+    g = lab.groupBy("label").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"), F.count("*").alias("px"))
+    return g.where("px >= 10").drop("label")
 
 
 @query("drawn_cells")
@@ -234,17 +231,20 @@ def divider_split(t):
 
 @query("embedded_reject")
 def embedded_reject(t):
-    """Small dark components whose surrounding ring is mostly dark, too."""
-
-    def work(g, r0, c0, mine):
-        out = []
-        for part, r, c in _pieces(g < 60, 2, r0, c0, mine):
-            if part.sum() < 60:
-                ring = T.dilate(part, T.ellipse(9)) & ~T.dilate(part, T.ellipse(3))
-                out.append((r, c, int(part.sum()), bool(ring.any() and (g[ring] < 110).mean() > 0.30)))
-        return out
-
-    return _tile_query(t, "r c px embedded", work, schema="r bigint, c bigint, px bigint, embedded boolean")
+    """Small dark components, by their first pixel, and whether the ring around them is mostly dark, too."""
+    lab = R.components(t.raster.where("gray < 60").select("r", "c"))
+    small = lab.groupBy("label").agg(F.count("*").alias("px")).where("px BETWEEN 2 AND 59")
+    some = lab.join(small, "label")
+
+    def grown(size: int):
+        k = T.ellipse(size)
+        at = F.array(*(F.struct((C("r") + int(i) - size // 2).alias("r"), (C("c") + int(j) - size // 2).alias("c")) for i, j in zip(*np.nonzero(k), strict=True)))
+        return some.select("label", "px", F.explode(at).alias("s")).select("label", "px", "s.r", "s.c").distinct()
+
+    ring = grown(9).join(grown(3), ["label", "r", "c"], "left_anti").join(t.raster, ["r", "c"])
+    share = ring.groupBy("label").agg(F.avg((C("gray") < 110).cast("double")).alias("share"))
+    j = small.join(share, "label", "left")
+    return j.select(F.expr(f"label div {1 << 31}").alias("r"), (C("label") % (1 << 31)).alias("c"), "px", (F.coalesce("share", F.lit(0.0)) > 0.30).alias("embedded"))
 
 
 @query("evidence_bundle")

@@ -45,11 +45,6 @@ def test_matches_duckdb(spark, duck, name):
     assert norm(got) == norm(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, DATA).count() >= 0
-
-
 def test_registry_needs_no_session():
     import subprocess
     import sys
