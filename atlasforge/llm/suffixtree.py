@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
-from atlasforge.llm.textcore import U, distinct_counts, lean, mix, parted, press, slices, small, unpress, words
+from atlasforge.llm.textcore import U, distinct_counts, lean, mix, order_of, parted, press, slices, small, unpress, words
 
 BLOCK_BYTES = 12_000_000
 DEPTH = 3
@@ -97,7 +97,7 @@ class Distinct:
     """The sorted distinct keys of an array, and the number of each entry's key."""
 
     def __init__(self, keys: np.ndarray):
-        order = np.argsort(keys)
+        order = order_of(keys)
         ordered = keys[order]
         new = np.ones(len(keys), dtype=bool)
         new[1:] = ordered[1:] != ordered[:-1]

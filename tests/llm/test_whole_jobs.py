@@ -4,10 +4,12 @@ import collections
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from atlasforge.llm import suffixtree
+from atlasforge.llm.textcore import order_of
 
 
 def tree_scores(rows, least=2, sigmas=4.0, depth=3):
@@ -63,3 +65,11 @@ def test_suffix_tree_keeps_rare_and_long_contexts(spark, monkeypatch):
     got = {r.doc_id: (r.base_score, r.score) for r in suffixtree.score(df, F.lit(True)).collect()}
     for k, (base, score) in enumerate(want):
         assert got[k] == (pytest.approx(base, rel=1e-9), pytest.approx(score, rel=1e-9))
+
+
+def test_order_of_hashes():
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(0, 1 << 63, 400, dtype=np.uint64)
+    for keys in (base, np.concatenate((base, base)), (base >> np.uint64(30) << np.uint64(30)) + rnd.integers(0, 60, 400, dtype=np.uint64), base % np.uint64(50), np.zeros(0, np.uint64), base[:1]):
+        near = np.concatenate((keys, keys + np.uint64(3), keys))
+        assert order_of(near).tolist() == np.argsort(near, kind="stable").tolist()
