@@ -124,9 +124,10 @@ class Block:
             for k in range(DEPTH):
                 contexts[k].append(before[k])
         self.t, self.use, self.counts = np.concatenate(t), np.concatenate(use), np.concatenate(counts)
-        self.contexts = [np.concatenate(x) for x in contexts]
+        contexts = [np.concatenate(x) for x in contexts]
+        self.last = contexts[-1]
         self.first = np.concatenate(([0], np.cumsum(self.counts)))[:-1]
-        self.runs = Distinct(np.concatenate((self.t | U(1), *(mix(c * _PAIR + self.t) & ~U(1) for c in self.contexts[:-1]))))
+        self.runs = Distinct(np.concatenate((self.t | U(1), *(mix(c * _PAIR + self.t) & ~U(1) for c in contexts[:-1]))))
 
     def told_runs(self, replies: list[bytes], texts: int, least: int) -> None:
         """follows: how often each token occurs, then after its contexts; n: how often those occur;
@@ -142,7 +143,7 @@ class Block:
             c[self.first] = texts
             self.n.append(c)
             self.at.append(np.flatnonzero(c >= least))
-        self.longest = Distinct(mix(self.contexts[-1][self.at[-1]] * _PAIR + self.t[self.at[-1]]))
+        self.longest = Distinct(mix(self.last[self.at[-1]] * _PAIR + self.t[self.at[-1]]))
 
     def told_longest(self, replies: list[bytes]) -> None:
         """follows: also how often each token occurs after its longest context; states: the candidates'

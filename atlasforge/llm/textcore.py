@@ -211,7 +211,11 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     much faster than sorting places by hashes; hashes that share those bits are put right after."""
     n = len(keys)
     mask = U((1 << max(1, n.bit_length())) - 1)
-    order = (np.sort(keys & ~mask | np.arange(n, dtype=U)) & mask).astype(np.int64)
+    both = keys & ~mask
+    both |= np.arange(n, dtype=U)
+    both.sort()
+    both &= mask
+    order = both.view(np.int64)
     s = keys[order]
     wrong = np.flatnonzero(s[1:] < s[:-1])
     if len(wrong) > 1000:  # not hashes
