@@ -11,14 +11,16 @@ Smoothing goes down the tree: P(w | s) = (n(s, w) + t(s) P(w | parent)) / (n(s)
 the number of distinct next tokens; at the root (c(w) + 0.5) / (N + 0.5 (V + 1)). A token is scored
 in the longest suffix of what precedes it that is a state; all shorter suffixes smooth it.
 
-Scale: texts are dealt to blocks of about `BLOCK_BYTES` by a hash of the row. Three times each block
-asks for what it needs, every distinct key once, as sorted arrays dealt by ranges of the key's hash:
-how often runs of up to `DEPTH` tokens occur, which are the contexts of the tokens after them; how often
-a token follows its longest context, if that is a candidate; and whether candidates are states.
-For the last, a block sums what its training tokens add to a context's gain and distinct next tokens,
-log(n(s, w) n(parent) / (n(parent, w) n(s))) and 1 / n(s, w) each; gains move as 32-bit floats. No key has more than one row a block,
-whatever its frequency, and no table of contexts is broadcast or reaches the driver. What moves is
-proportional to the text. Tokens, contexts and their pairs are 64-bit hashes.
+Scale: texts are dealt to blocks of about `BLOCK_BYTES` by a hash of the row. Twice each block asks for
+what it needs, every distinct key once, as sorted arrays dealt by ranges of the key's hash: how often
+runs of up to `DEPTH` tokens occur, which are the contexts of the tokens after them; then whether
+candidates are states, and with each longest candidate how often tokens follow it. For that, a block
+sums what its training tokens add to a context's gain and distinct next tokens,
+log(n(s, w) n(parent) / (n(parent, w) n(s))) and 1 / n(s, w) each; for longest contexts, whose n(s, w) no
+block knows yet, the part that has the pairs adds n(s, w) log n(s, w) and counts the tokens. Gains move as
+32-bit floats. No key has more than one row a block, whatever its frequency, and no table of contexts is
+broadcast or reaches the driver. What moves is proportional to the text. Tokens, contexts and their
+pairs are 64-bit hashes.
 
 A null text counts as empty: one end token. Repeated rows count as often as they occur. Further
 columns do not matter; an empty table gives an empty one. With no training row every token has the
@@ -36,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
-from atlasforge.llm.textcore import U, distinct_counts, lean, mix, order_of, parted, press, slices, small, unpress, words
+from atlasforge.llm.textcore import U, distinct_counts, lean, mix, ordered, parted, press, slices, small, unpress, words
 
 BLOCK_BYTES = 12_000_000
 DEPTH = 3
@@ -97,11 +99,10 @@ class Distinct:
     """The sorted distinct keys of an array, and the number of each entry's key."""
 
     def __init__(self, keys: np.ndarray):
-        order = order_of(keys)
-        ordered = keys[order]
+        order, s = ordered(keys)
         new = np.ones(len(keys), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        self.keys = ordered[new]
+        new[1:] = s[1:] != s[:-1]
+        self.keys = s[new]
         self.which = np.empty(len(keys), np.int32)
         self.which[order] = np.cumsum(new, dtype=np.int32) - 1
 
@@ -143,17 +144,20 @@ class Block:
             c[self.first] = texts
             self.n.append(c)
             self.at.append(np.flatnonzero(c >= least))
-        self.longest = Distinct(mix(self.last[self.at[-1]] * _PAIR + self.t[self.at[-1]]))
-
-    def told_longest(self, replies: list[bytes]) -> None:
-        """follows: also how often each token occurs after its longest context; states: the candidates'
-        sorted keys, and number: which of them is the context of each length of the tokens in `at`. A
-        context is the run that ends before the token, so the runs' order serves again; those of a
-        text's first token are no runs and get keys of their own."""
-        n = np.zeros(len(self.t), np.int64)
-        if replies:
-            n[self.at[-1]] = np.concatenate([unpress(x).astype(np.int64) for x in replies])[self.longest.which]
-        self.follows.append(n)
+        self._number()
+        last = self.at[-1]
+        self.pairs = Distinct(mix(self.last[last] * _PAIR + self.t[last]))
+        owner = np.empty(len(self.pairs.keys), np.int32)
+        owner[self.pairs.which] = self.number[-1]
+        order = np.argsort(owner, kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        self.owner, self.pairs.keys, self.pairs.which = owner[order], self.pairs.keys[order], place[self.pairs.which]
+
+    def _number(self) -> None:
+        """states: the candidates' sorted keys, and number: which of them is the context of each length of
+        the tokens in `at`. A context is the run that ends before the token, so the runs' order serves
+        again; those of a text's first token are no runs and get keys of their own."""
         place = np.searchsorted(self.runs.keys, _STARTS)
         which = self.runs.which.reshape(DEPTH, -1)
         number, used = [], np.zeros(len(self.runs.keys) + DEPTH, bool)
@@ -169,19 +173,29 @@ class Block:
         dense = np.cumsum(used, dtype=np.int32) - 1
         self.number = [dense[own] for own in number]
 
+    def told_pairs(self, replies: list[bytes]) -> None:
+        """follows: also how often each token occurs after its longest context."""
+        n = np.zeros(len(self.t), np.int64)
+        if replies:
+            n[self.at[-1]] = np.concatenate([unpress(x).astype(np.int64) for x in replies])[self.pairs.which]
+        self.follows.append(n)
+
     def told_states(self, replies: list[bytes]) -> None:
         """kinds and kept: distinct next tokens of the candidates, and whether they are states."""
         told = np.concatenate([np.zeros(0, np.int64), *(unpress(x).astype(np.int64) for x in replies)])
         self.kinds, self.kept = told >> 1, told & 1 == 1
 
     def evidence(self, total: int) -> tuple[np.ndarray, np.ndarray]:
-        """What the block's training tokens add to each candidate's gain and distinct next tokens."""
+        """What the block's training tokens add to each candidate's gain and distinct next tokens; of the
+        longest ones, to the gain without log n(s, w) alone."""
         gain, kinds = np.zeros(len(self.states)), np.zeros(len(self.states))
         for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
             a, which = at[self.use[at]], number[self.use[at]]
-            m, up, n = (x[a].astype(float) for x in (self.follows[k + 1], self.follows[k], self.n[k]))
+            up, n = (x[a].astype(float) for x in (self.follows[k], self.n[k]))
+            m = self.follows[k + 1][a].astype(float) if k + 1 < DEPTH else 1.0
             gain += np.bincount(which, np.log(m * (self.n[k - 1][a] if k else total) / (up * n)), len(gain))
-            kinds += np.bincount(which, 1 / m, len(kinds))
+            if k + 1 < DEPTH:
+                kinds += np.bincount(which, 1 / m, len(kinds))
         return gain.astype(np.float32), kinds
 
     def graded(self, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,6 +219,21 @@ def _requests(block: int, keys: np.ndarray, parts: int, *values: np.ndarray) ->
     return pa.table({"block": pa.array([block] * len(out), pa.int32()), "part": pa.array([x[0] for x in out], pa.int32()), "keys": pa.array([x[1] for x in out], pa.binary()), **columns})
 
 
+def _states_asked(block: int, b: Block, total: int, parts: int) -> pa.Table:
+    """The evidence on a block's candidates, and with each the pairs that it makes with the tokens after
+    it: how many, their keys, and how often training has them."""
+    table, n = _requests(block, b.states, parts, *b.evidence(total)), b.pairs.sums(b.pairs.which, b.use[b.at[-1]]).astype(np.int64)
+    columns = {"many": [], "pairs": [], "held": []}
+    for _, s in parted(b.states, parts):
+        own = slice(*np.searchsorted(b.owner, (s.start, s.stop)))
+        columns["many"].append(press(small(np.bincount(b.owner[own] - s.start, minlength=s.stop - s.start))))
+        columns["pairs"].append(press(b.pairs.keys[own]))
+        columns["held"].append(press(small(n[own])))
+    for name, values in columns.items():
+        table = table.append_column(name, pa.array(values, pa.binary()))
+    return table
+
+
 def _summed(table: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, list[np.ndarray]]:
     """A part's requests by block, the keys of each, all distinct keys, and the sums of their values."""
     table = table.sort_by("block")
@@ -246,19 +275,26 @@ def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0
         b = Block(_opened(table.column("docs")))
         return _requests(table.column("block")[0].as_py(), b.runs.keys, parts, b.runs.sums(b.runs.which, np.tile(b.use, DEPTH)).astype(np.int64))
 
-    def tell_counts(step: int):
-        def run(table: pa.Table) -> pa.Table:
-            table, keys, every, (n,) = _summed(table)
-            single = (every & U(1)) == 1
-            return _replies(step, table, [press(small(n[np.searchsorted(every, k)])) for k in keys], int(n[single].sum()), int((n[single] > 0).sum()))
-
-        return run
+    def tell_runs(table: pa.Table) -> pa.Table:
+        table, keys, every, (n,) = _summed(table)
+        single = (every & U(1)) == 1
+        return _replies(0, table, [press(small(n[np.searchsorted(every, k)])) for k in keys], int(n[single].sum()), int((n[single] > 0).sum()))
 
     def tell_states(table: pa.Table) -> pa.Table:
         table, keys, every, (gain, kinds) = _summed(table)
-        kinds = np.rint(kinds).astype(np.int64)
+        at = [np.searchsorted(every, k) for k in keys]
+        asked = [unpress(x.as_py()) for x in table.column("pairs")]
+        held = np.concatenate([unpress(x.as_py()).astype(np.int64) for x in table.column("held")])
+        pairs, m = distinct_counts(np.concatenate(asked), held)
+        place = [np.searchsorted(pairs, x) for x in asked]
+        owner = np.empty(len(pairs), np.int64)
+        for own, own_place, many in zip(at, place, table.column("many"), strict=True):
+            owner[own_place] = np.repeat(own, unpress(many.as_py()))
+        owner, seen = owner[m > 0], m[m > 0]
+        gain += np.bincount(owner, seen * np.log(seen), len(every))
+        kinds = np.rint(kinds).astype(np.int64) + np.bincount(owner, minlength=len(every))
         told = kinds * 2 + (2 * gain > kinds + sigmas * np.sqrt(2.0 * kinds))
-        return _replies(2, table, [press(small(told[np.searchsorted(every, k)])) for k in keys])
+        return pa.concat_tables([_replies(1, table, [press(small(m[p])) for p in place]), _replies(2, table, [press(small(told[own])) for own in at])])
 
     def answered(asked: DataFrame, tell, name: str) -> DataFrame:
         before = spark.conf.get(_CLEANUP)
@@ -271,37 +307,30 @@ def score(docs: DataFrame, training: Column, least: int = 2, sigmas: float = 4.0
     def with_replies(replies: DataFrame):
         return packed.groupBy("block").cogroup(replies.where("block is not null").select("step", "block", "part", "data").groupBy("block"))
 
-    def told_block(docs: pa.Table, replies: pa.Table, steps: int) -> Block:
+    def told_block(docs: pa.Table, replies: pa.Table) -> tuple[Block, list[list[bytes]]]:
+        """A block that knows its runs, and the replies on its pairs and states."""
         b = Block(docs)
         rows = sorted(zip(replies.column("step").to_pylist(), replies.column("part").to_pylist(), replies.column("data").to_pylist(), strict=True))
-        runs, longest, states = ([d for s, _, d in rows if s == k] for k in range(3))
+        runs, *others = ([d for s, _, d in rows if s == k] for k in range(3))
         b.told_runs(runs, texts, least)
-        if steps > 1:
-            b.told_longest(longest)
-        if steps > 2:
-            b.told_states(states)
-        return b
+        return b, others
 
     request = "block int, part int, keys binary, v0 binary"
-    told = answered(packed.groupBy("block").applyInArrow(ask_runs, request), tell_counts(0), "suffix-runs")
+    told = answered(packed.groupBy("block").applyInArrow(ask_runs, request), tell_runs, "suffix-runs")
     sums = told.agg(F.sum("n"), F.sum("kinds")).first()
     total, vocabulary = int(sums[0] or 0), int(sums[1] or 0)
 
-    def ask_longest(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = told_block(_opened(left.column("docs")), right, 1)
-        return _requests(left.column("block")[0].as_py(), b.longest.keys, parts, b.longest.sums(b.longest.which, b.use[b.at[-1]]).astype(np.int64))
-
-    told = told.unionByName(answered(with_replies(told).applyInArrow(ask_longest, request), tell_counts(1), "suffix-longest"))
-
     def ask_states(left: pa.Table, right: pa.Table) -> pa.Table:
-        b = told_block(_opened(left.column("docs")), right, 2)
-        return _requests(left.column("block")[0].as_py(), b.states, parts, *b.evidence(total))
+        b, _ = told_block(_opened(left.column("docs")), right)
+        return _states_asked(left.column("block")[0].as_py(), b, total, parts)
 
-    told = told.unionByName(answered(with_replies(told).applyInArrow(ask_states, request + ", v1 binary"), tell_states, "suffix-states"))
+    told = told.unionByName(answered(with_replies(told).applyInArrow(ask_states, request + ", v1 binary, many binary, pairs binary, held binary"), tell_states, "suffix-states"))
 
     def grade(left: pa.Table, right: pa.Table) -> pa.Table:
         docs = _opened(left.column("docs"))
-        b = told_block(docs, right, 3)
+        b, (pairs, states) = told_block(docs, right)
+        b.told_pairs(pairs)
+        b.told_states(states)
         base, p = b.graded(total, vocabulary)
         sums = [np.add.reduceat(x, b.first) for x in (np.log10(base), np.log10(p), (b.follows[0] > 0).astype(np.int64))]
         return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": pa.array(b.counts, pa.int64()), "n_known": pa.array(sums[2], pa.int64()), "train_tokens": pa.array(np.full(len(b.counts), total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})

@@ -206,9 +206,9 @@ def lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return np.append(starts, offsets[-1]), row, number
 
 
-def order_of(keys: np.ndarray) -> np.ndarray:
-    """The stable order of 64-bit hashes. Their upper bits and their places sort as one number, which is
-    much faster than sorting places by hashes; hashes that share those bits are put right after."""
+def ordered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of 64-bit hashes, and the hashes in it. Their upper bits and their places sort as one
+    number, which is much faster than sorting places by hashes; hashes that share those bits are put right after."""
     n = len(keys)
     mask = U((1 << max(1, n.bit_length())) - 1)
     both = keys & ~mask
@@ -219,12 +219,19 @@ def order_of(keys: np.ndarray) -> np.ndarray:
     s = keys[order]
     wrong = np.flatnonzero(s[1:] < s[:-1])
     if len(wrong) > 1000:  # not hashes
-        return np.argsort(keys, kind="stable")
-    upper = s & ~mask
+        order = np.argsort(keys, kind="stable")
+        return order, keys[order]
+    upper = s & ~mask if len(wrong) else s
     for k in wrong.tolist():
         run = slice(*(int(np.searchsorted(upper, upper[k], side=e)) for e in ("left", "right")))
         order[run] = order[run][np.argsort(keys[order[run]], kind="stable")]
-    return order
+        s[run] = keys[order[run]]
+    return order, s
+
+
+def order_of(keys: np.ndarray) -> np.ndarray:
+    """The stable order of 64-bit hashes."""
+    return ordered(keys)[0]
 
 
 def distinct_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -235,8 +242,7 @@ def distinct_counts(keys: np.ndarray, weights: np.ndarray | None = None) -> tupl
         s = np.sort(keys)
         at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
         return s[at], np.diff(np.append(at, len(s)))
-    order = order_of(keys)
-    s = keys[order]
+    order, s = ordered(keys)
     at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
     return s[at], np.add.reduceat(weights[order], at)
 
