@@ -5,7 +5,8 @@ text's first token follows a begin mark. A context that training has at least `l
 candidate, and a state if its next tokens differ from its parent's (the context without its first
 token): twice the log-likelihood gain must exceed what a chi-squared variable with as many degrees as
 there are distinct next tokens would reach by `sigmas`. The states are not bounded: they grow with the
-corpus.
+corpus. A context that is as frequent as its parent stands wherever that stands and has the same next
+tokens: its gain is 0, so it is no state, and nothing is asked about it.
 
 Smoothing goes down the tree: P(w | s) = (n(s, w) + t(s) P(w | parent)) / (n(s) + t(s)), with t(s)
 the number of distinct next tokens; at the root (c(w) + 0.5) / (N + 0.5 (V + 1)). A token is scored
@@ -132,7 +133,7 @@ class Block:
 
     def told_runs(self, replies: list[bytes], texts: int, least: int) -> None:
         """follows: how often each token occurs, then after its contexts; n: how often those occur;
-        at: tokens whose context of each length is a candidate."""
+        at: tokens whose context of each length is a candidate that is not as frequent as its parent."""
         n = np.concatenate([unpress(x).astype(np.int64) for x in replies])
         if len(n) != len(self.runs.keys):
             raise RuntimeError("a block's keys changed between two passes")
@@ -143,7 +144,7 @@ class Block:
             c[1:] = f[:-1]
             c[self.first] = texts
             self.n.append(c)
-            self.at.append(np.flatnonzero(c >= least))
+            self.at.append(np.flatnonzero((c >= least) & (c != self.n[-2]) if len(self.n) > 1 else c >= least))
         self._number()
         last = self.at[-1]
         self.pairs = Distinct(mix(self.last[last] * _PAIR + self.t[last]))
@@ -204,11 +205,11 @@ class Block:
         deepest = np.full(len(self.t), -1)
         for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
             deepest[at[self.kept[number]]] = k
-        p = base.copy()
+        p, t = base.copy(), np.zeros(len(self.t), np.int64)
         for k, (at, number) in enumerate(zip(self.at, self.number, strict=True)):
-            use = deepest[at] >= k
-            a, kinds = at[use], self.kinds[number[use]]
-            p[a] = (self.follows[k + 1][a] + kinds * p[a]) / (self.n[k][a] + kinds)
+            t[at] = self.kinds[number]  # elsewhere the parent's: one as frequent has the same next tokens
+            a = np.flatnonzero(deepest >= k)
+            p[a] = (self.follows[k + 1][a] + t[a] * p[a]) / (self.n[k][a] + t[a])
         return base, p
 
 
