@@ -18,8 +18,9 @@ runs of up to `DEPTH` tokens occur, which are the contexts of the tokens after t
 candidates are states, and with each longest candidate how often tokens follow it. For that, a block
 sums what its training tokens add to a context's gain and distinct next tokens,
 log(n(s, w) n(parent) / (n(parent, w) n(s))) and 1 / n(s, w) each; for longest contexts, whose n(s, w) no
-block knows yet, the part that has the pairs adds n(s, w) log n(s, w) and counts the tokens. Gains move as
-32-bit floats. No key has more than one row a block, whatever its frequency, and no table of contexts is
+block knows yet, the part that has the pairs adds n(s, w) log n(s, w) and counts the tokens. Both sums
+move as 32-bit floats and are added up as 64-bit ones: numbers of next tokens are exact to a few million,
+and to seven digits beyond. No key has more than one row a block, whatever its frequency, and no table of contexts is
 broadcast or reaches the driver. What moves is proportional to the text. Tokens, contexts and their
 pairs are 64-bit hashes.
 
@@ -41,7 +42,9 @@ from pyspark.sql import functions as F
 from atlasforge.llm.common import modest_batches, shuffle_parts, staged
 from atlasforge.llm.textcore import U, distinct_counts, lean, mix, ordered, parted, press, slices, small, unpress, words
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 9_000_000
+#: Texts that a task holds to compress a block's rows together.
+HELD_BYTES = 16_000_000
 DEPTH = 3
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BEGIN, _END, _PAIR = U(0x0123456789ABCDEF), U(0x7FEDCBA987654321), U(0x9E3779B97F4A7C15)
@@ -74,18 +77,31 @@ def _unpress_keys(data: bytes) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, blocks: int) -> DataFrame:
-    """Rows dealt to blocks by a hash, their texts compressed before they move."""
+    """Rows dealt to blocks by a hash; a task gathers those of a block and compresses them before they move."""
     keyed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[pa.RecordBatch]] = {}
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for b in sorted(held):
+                some, sink = held.pop(b), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, some[0].schema) as out:
+                    for part in some:
+                        out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["block", "docs"])
+
         for batch in batches:
             block = batch.column(3).to_numpy()
-            for b in np.unique(block):
-                part = pa.RecordBatch.from_arrays(batch.columns[:3], names=["doc_id", "text", "learn"]).filter(pa.array(block == b))
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zstandard.compress(sink.getvalue(), 1)], pa.binary())], names=["block", "docs"])
+            rows = pa.RecordBatch.from_arrays(batch.columns[:3], names=["doc_id", "text", "learn"])
+            for b in np.unique(block).tolist():
+                held.setdefault(b, []).append(rows.filter(pa.array(block == b)))
+            size += rows.nbytes
+            if size > HELD_BYTES:
+                yield from flush()
+                size = 0
+        yield from flush()
 
     return keyed.mapInArrow(lean(run), "block int, docs binary")
 
@@ -197,7 +213,7 @@ class Block:
             gain += np.bincount(which, np.log(m * (self.n[k - 1][a] if k else total) / (up * n)), len(gain))
             if k + 1 < DEPTH:
                 kinds += np.bincount(which, 1 / m, len(kinds))
-        return gain.astype(np.float32), kinds
+        return gain.astype(np.float32), kinds.astype(np.float32)
 
     def graded(self, total: int, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
         """The probability of each token by itself and by the tree."""
