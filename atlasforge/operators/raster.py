@@ -7,6 +7,7 @@ bounded whatever the raster's size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -65,6 +66,24 @@ def inside(pixels: DataFrame, like: DataFrame) -> DataFrame:
     return pixels.crossJoin(ends).where("r BETWEEN 0 AND __r1 AND c BETWEEN 0 AND __c1").drop("__r1", "__c1")
 
 
+def gaussian(pixels: DataFrame, sigma: float = 2.0, half: int = 8, value: str = "gray") -> DataFrame:
+    """(r, c, g): a Gaussian over rows and then columns, the border mirrored."""
+    weights = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(half + 1)]
+    d = haloed(reflected(pixels, half, value), half)
+    for v, across, along in ((value, "r", "c"), ("g", "c", "r")):
+        w = W.partitionBy("br", "bc", across).orderBy(along)
+        taps = [F.lit(weights[abs(k)]) * (F.lead(v, k).over(w) if k > 0 else F.lag(v, -k).over(w) if k else F.col(v)) for k in range(-half, half + 1)]
+        d = d.select("br", "bc", "r", "c", (sum(taps[1:], taps[0]) / (weights[0] + 2 * sum(weights[1:]))).alias("g"))
+    return inside(own(d), pixels)
+
+
+def morphed(mask: DataFrame, *steps: tuple[Callable[[Column], Column], int]) -> DataFrame:
+    """Pixels with a 0 or 1 as `m` after minima and maxima (agg, half) over squares, clipped at the image."""
+    for agg, half in steps:
+        mask = box_window(mask, "m", half, agg, "n").select("r", "c", F.col("n").alias("m"))
+    return mask
+
+
 def tensor(pixels: DataFrame, half: int = 4) -> DataFrame:
     """The structure tensor of pixels whose whole window lies inside: orientation of the gradient in degrees
     modulo 180, energy and coherence, from window means of products of Sobel gradients."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from atlasforge.plans.registry import ORACLES, QUERIES
-from atlasforge.plans import extras, kernels, relational, spatial  # noqa: F401  (they register themselves)
+from atlasforge.plans import extras, kernels, relational, spatial, vectors  # noqa: F401  (they register themselves)
 
 __all__ = ["QUERIES", "ORACLES", "flagship"]
 

@@ -182,9 +182,7 @@ def _pieces(mask: np.ndarray, least: int, r0: int, c0: int, mine):
 def threshold_candidates(t):
     """The baseline: ink, closed by 3, opened by 3, components of the whole raster of at least 10 pixels with
     their bounds."""
-    m = t.raster.select("r", "c", (C("gray") < 120).cast("int").alias("m"))
-    for agg in (F.max, F.min, F.min, F.max):
-        m = R.box_window(m, "m", 1, agg, "n").select("r", "c", C("n").alias("m"))
+    m = R.morphed(t.raster.select("r", "c", (C("gray") < 120).cast("int").alias("m")), (F.max, 1), (F.min, 1), (F.min, 1), (F.max, 1))
     lab = R.components(m.where("m = 1").select("r", "c"))
     g = lab.groupBy("label").agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"), F.count("*").alias("px"))
     return g.where("px >= 10").drop("label")

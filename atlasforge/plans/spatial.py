@@ -459,12 +459,7 @@ def _gauss_sql(value: str, across: str, along: str, source: str) -> str:
 @query("gaussian_blur", "raster", f"SELECT r, c, round_even(g, 6) AS blurred FROM ({_gauss_sql('g', 'c', 'r', _gauss_sql('gray', 'r', 'c', _mirror(8)[1:-1]))}), (SELECT max(r) AS er, max(c) AS ec FROM raster) WHERE r BETWEEN 0 AND er AND c BETWEEN 0 AND ec")
 def gaussian_blur(t):
     """A Gaussian of sigma 2, rows and then columns, the border mirrored."""
-    d = R.haloed(R.reflected(t.raster, 8), 8)
-    for value, across, along in (("gray", "r", "c"), ("g", "c", "r")):
-        w = W.partitionBy("br", "bc", across).orderBy(along)
-        taps = [F.lit(GAUSS[abs(k)]) * (F.lead(value, k).over(w) if k > 0 else F.lag(value, -k).over(w) if k else C(value)) for k in range(-8, 9)]
-        d = d.select("br", "bc", "r", "c", (sum(taps[1:], taps[0]) / _GAUSS_SUM).alias("g"))
-    return R.inside(R.own(d), t.raster).select("r", "c", rounded(C("g")).alias("blurred"))
+    return R.gaussian(t.raster).select("r", "c", rounded(C("g")).alias("blurred"))
 
 
 _CLOSED = _box("min", 20, "(SELECT r, c, v AS gray FROM (" + _box("max", 20) + "))")
