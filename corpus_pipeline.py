@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table; all but the last return the columns of
 `documents`. A stage's result is written as Parquet and read again before the next one.
+
+In every stage a null text counts as an empty one, texts are read whole whatever their length, columns
+beyond those of `documents` are left behind, and an empty table gives an empty one. Repeated rows stay or go
+together.
 """
 
 from __future__ import annotations
@@ -25,13 +29,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line matches; a document that is left without a word by
-    that goes."""
+    that goes. Lines go by a row's id and their place in its text, so rows that share an id, or have none, lose
+    the same places."""
     left = linededup.dedup_lines(docs.select(*COLUMNS)).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """The document with the smallest id of each group of near duplicates. Rows that share an id are one
+    document: they stay or go together, and go if any of them has a near duplicate with a smaller id. A
+    document without words is near to nothing and stays, and so does a row without an id."""
     groups = setjoin.link_groups(docs)
     gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
     return docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
