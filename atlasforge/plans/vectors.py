@@ -31,8 +31,8 @@ def ink_polygons(t):
 
 @query("vectorize_buildings")
 def vectorize_buildings(t):
-    """Building polygons of a raster of probabilities."""
-    return _by_first_pixel(V.buildings(t.raster), rounded(C("area")).alias("area"), "holes", rounded(C("confidence")).alias("confidence"), "oversize", "wkb")
+    """Building polygons of a raster of probabilities; the raster is dim, so the threshold is lower."""
+    return _by_first_pixel(V.buildings(t.raster, threshold=100), rounded(C("area")).alias("area"), "holes", rounded(C("confidence")).alias("confidence"), "oversize", "wkb")
 
 
 @query("vectorize_roads")

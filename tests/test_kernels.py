@@ -181,8 +181,9 @@ HOLDS = {
     "geom_validity": "n > 2", "geom_normalize": "length(digest) = 64", "boundary_dist_pooled": "dist BETWEEN 0 AND 20", "boundary_dist_sym": "dist BETWEEN 0 AND 20", "merc_to_utm18": "easting BETWEEN 500000 AND 700000 AND northing BETWEEN 4400000 AND 4600000",
     "file_hashes": "size > 0 AND length(sha256) = 64", "divider_split": "piece >= 1 AND px >= 8", "drawn_cells": "px >= 8 AND width >= 2", "evidence_bundle": "opened <= ink AND closed <= 1 AND hatch <= hatch_relaxed AND divider <= divider_relaxed",
     "registration_offset": "abs(dx) <= 32", "skeleton_lines": "n >= 1", "shape_measures": "solidity BETWEEN 0 AND 1.000001 AND long >= short", "match_sum_iou": "iou BETWEEN 0.5 AND 1",
+    "ink_polygons": "area >= 5 AND holes >= 0 AND length(wkb) > 0", "vectorize_buildings": "confidence > 0 AND confidence <= 1 AND area > 0", "vectorize_roads": "length >= 15 AND size(points) >= 2",
 }
-CHECKED = {"line_opening", "skeletonize", "plate_mask", "threshold_candidates", "embedded_reject", "neck_split", "nms_masks", "findings_dedupe"}
+CHECKED = {"line_opening", "skeletonize", "plate_mask", "threshold_candidates", "embedded_reject", "neck_split", "nms_masks", "findings_dedupe", "hatch_core"}
 
 
 def test_every_query_without_sql_is_checked():

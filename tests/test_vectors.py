@@ -11,13 +11,9 @@ from atlasforge.operators import vectorize as V
 from atlasforge.operators.faces import faces, noded
 from atlasforge.operators.raster import components, label_components
 from atlasforge.operators.shapes import signed_area
-from atlasforge.plans.catalog import QUERIES
-from atlasforge.plans.fixtures import Tables
 from atlasforge.sources.geopackage import GeoPackage, layers, write_layers
 from atlasforge.sources.wkb import parse
 
-DATA = "/root/testdata/sf0.001"
-
 
 def pixels(spark, grid, name="gray"):
     return spark.createDataFrame([(int(r), int(c), int(grid[r, c])) for r, c in np.ndindex(grid.shape)], f"r long, c long, {name} long")
@@ -178,13 +174,3 @@ def test_geopackage_written_and_read(spark, tmp_path):
         assert db.execute("PRAGMA application_id").fetchone()[0] == 0x47504B47
     with pytest.raises(FileExistsError):
         write_layers({"core": rows}, path, 3857)
-
-
-def test_queries_on_the_raster(spark):
-    t = Tables(spark, DATA)
-    n = t.raster.where("gray < 120").count()
-    ink = QUERIES["ink_polygons"](spark, DATA).collect()
-    assert ink and all(r.area >= 5 for r in ink) and sum(r.area for r in ink) <= n
-    assert all(0 < r.confidence <= 1 for r in QUERIES["vectorize_buildings"](spark, DATA).collect())
-    assert all(r.length >= 15 and len(r.points) >= 2 for r in QUERIES["vectorize_roads"](spark, DATA).collect())
-    assert all(r.px >= 20 * r.pieces for r in QUERIES["hatch_core"](spark, DATA).collect())
