@@ -31,3 +31,13 @@ def test_against_all_pairs(spark):
     want = {k: min(gap(*x, *y) for y in s) for k, x in enumerate(p)}
     got = {r.k: r.dist for r in nearest_segments(points, segments, 15, segment_distance, ["k"]).collect()}
     assert got.keys() == {k for k, d in want.items() if d <= 15} and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_metrics_of_lines_drawn_many_times(spark):
+    """All pairs would be 400,000,000."""
+    from types import SimpleNamespace
+
+    from atlasforge.plans.spatial import line_metrics
+
+    lines = spark.range(40_000).selectExpr("id as line_id", "explode(array(0L, 1L)) as pos").selectExpr("line_id", "pos", "pos * 40 as x", "line_id % 2 * 4 as y")
+    assert line_metrics(SimpleNamespace(line_points=lines)).collect() == [(40_000, 0, 40_000, 40_000, 4.0, 4.0)]
