@@ -42,3 +42,16 @@ def test_crowds_make_no_pairs(spark):
 def test_rows_without_a_group_or_a_box_stay(spark):
     rows = [(1, None, 0, 0, 9, 9, 5), (2, None, 0, 0, 9, 9, 4), (3, 0, 0, 0, 0, 9, 5), (4, 0, None, 0, 9, 9, 5), (5, 0, 0, 0, 9, 9, None), (6, 0, 0, 0, 9, 9, 1)]
     assert {r.id for r in suppress(spark.createDataFrame(rows, SCHEMA), ["tile"], 0.5).collect()} == {1, 2, 3, 4, 6}
+
+
+def test_findings_larger_first_make_no_pairs(spark):
+    """24,000 findings of a tile and category on 64 places: their pairs would be some 150,000,000."""
+    from types import SimpleNamespace
+
+    from atlasforge.plans.spatial import findings_dedupe
+
+    g = np.random.default_rng(3)
+    rows = [(k, 0, "a", False, int(x), int(y), int(x + w), int(y + h)) for k, ((x, y), (w, h)) in enumerate(zip(g.integers(0, 8, (24_000, 2)), g.integers(4, 60, (24_000, 2)), strict=True))]
+    f = spark.createDataFrame(rows, "id long, tile_no long, category string, err boolean, x0 long, y0 long, x1 long, y1 long")
+    want = plain([(r[0], 0, *r[4:], (r[6] - r[4]) * (r[7] - r[5])) for r in rows], 0.35)
+    assert {r.id for r in findings_dedupe(SimpleNamespace(findings=f)).collect()} == want
