@@ -14,6 +14,7 @@ from atlasforge.staging import staged
 
 GONE, STAYS, OPEN = 0, 1, 2
 ROUNDS = 16
+STEP = 512  # boxes that are settled at once
 
 
 def keep_greedy(box: np.ndarray, score: np.ndarray, threshold: float) -> np.ndarray:
@@ -42,6 +43,33 @@ def _over(box: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
     return shared > threshold * (size(other)[None, :] + size(box)[:, None] - shared)
 
 
+def _reach(threshold: float) -> float:
+    """How far apart the centres of two boxes are that overlap by more than a threshold, as a share of either's side."""
+    return max(1 - threshold, 0.5 / threshold - 0.5) + 1e-9
+
+
+def hit(box: np.ndarray, other: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each box overlaps any of the others by more than the threshold. Boxes are halved by place, and each
+    half meets only those whose centre and area allow it."""
+    out = np.zeros(len(box), bool)
+    if len(box) * len(other) <= 4096 or len(box) <= 32:
+        for lo in range(0, len(other), 4096):
+            left = np.flatnonzero(~out)
+            out[left] = _over(box[left], other[lo : lo + 4096], threshold).any(axis=1)
+        return out
+    mid, side = (box[:, :2] + box[:, 2:]) / 2, box[:, 2:] - box[:, :2]
+    away, areas = side * _reach(threshold), side[:, 0] * side[:, 1]
+    at, size = (other[:, :2] + other[:, 2:]) / 2, (other[:, 2] - other[:, 0]) * (other[:, 3] - other[:, 1])
+    axis = int(np.ptp(mid, axis=0).argmax())
+    order = np.argpartition(mid[:, axis], len(mid) // 2)
+    for half in (order[: len(mid) // 2], order[len(mid) // 2 :]):
+        low, high = np.fmin.reduce(mid[half] - away[half]), np.fmax.reduce(mid[half] + away[half])
+        some = (at[:, 0] >= low[0]) & (at[:, 0] <= high[0]) & (at[:, 1] >= low[1]) & (at[:, 1] <= high[1])
+        some &= (size >= np.fmin.reduce(areas[half]) * threshold * (1 - 1e-9)) & (size * threshold * (1 - 1e-9) <= np.fmax.reduce(areas[half]))
+        out[half] = hit(box[half], other[some], threshold)
+    return out
+
+
 def settle(box: np.ndarray, own: np.ndarray, kept: np.ndarray, threshold: float) -> np.ndarray:
     """What is certain of boxes, best first: GONE if one that stays hides it, STAYS if it is an own one that no
     better one hides that stays or may stay, else OPEN. All that may hide an own box must be there; the
@@ -49,20 +77,14 @@ def settle(box: np.ndarray, own: np.ndarray, kept: np.ndarray, threshold: float)
     out = np.full(len(box), OPEN)
     known, unsure, at = [kept], [np.zeros((0, 4))], 0
     while at < len(box):
-        to = min(len(box), at + min(max(at, 64), 1024))
+        to = min(len(box), at + min(max(at, 64), STEP))
         some = np.arange(at, to)
-        hidden = np.zeros(len(some), bool)
-        for k in known:
-            for lo in range(0, len(k), 4096):
-                left = np.flatnonzero(~hidden)
-                hidden[left] = _over(box[some[left]], k[lo : lo + 4096], threshold).any(axis=1)
+        known, unsure = [np.concatenate(known)], [np.concatenate(unsure)]
+        hidden = hit(box[some], known[0], threshold)
         out[some[hidden]] = GONE
         some = some[~hidden]
         doubt, mine = np.zeros(len(some), bool), np.flatnonzero(own[some])
-        for u in unsure:
-            for lo in range(0, len(u), 4096):
-                left = mine[~doubt[mine]]
-                doubt[left] = _over(box[some[left]], u[lo : lo + 4096], threshold).any(axis=1)
+        doubt[mine] = hit(box[some[mine]], unsure[0], threshold)
         among, hidden = _over(box[some], box[some], threshold), np.zeros(len(some), bool)
         for j, i in enumerate(some.tolist()):
             if hidden[j]:
@@ -74,11 +96,11 @@ def settle(box: np.ndarray, own: np.ndarray, kept: np.ndarray, threshold: float)
                 doubt |= among[j]
         known.append(box[some[out[some] == STAYS]])
         unsure.append(box[some[out[some] == OPEN]])
-        known, unsure, at = [np.concatenate(known)], [np.concatenate(unsure)], to
+        at = to
     return out
 
 
-def suppress(df: DataFrame, groups: list[str], threshold: float, key: str = "id", cell: float = 2 * CELL) -> DataFrame:
+def suppress(df: DataFrame, groups: list[str], threshold: float, key: str = "id", cell: float = 4 * CELL) -> DataFrame:
     """The keys of rows (key, x0..y1, score) that stay: of a group's boxes the best first, equal scores by key, unless
     one that stays overlaps it by more than the threshold. Boxes are dealt to the cell of their centre, which owns
     them, and to those whose boxes they may hide. A cell settles what it can; what hangs on boxes of other cells
@@ -95,8 +117,7 @@ def suppress(df: DataFrame, groups: list[str], threshold: float, key: str = "id"
     score = F.coalesce(F.col("score").cast("double"), F.lit(float("-inf"))).alias("score")
     live = df.where(real).select(F.col(key).alias("__key"), *(F.col(c).alias(f"__g{k}") for k, c in enumerate(groups)), *(F.col(c).cast("double").alias(c) for c in box), score, F.lit(OPEN).alias("state"))
     names, keys = live.columns, [f"__g{k}" for k in range(len(groups))]
-    # two boxes that overlap by more than a threshold: how far apart their centres are, as a share of either's side
-    reach = max(1 - threshold, 0.5 / threshold - 0.5) + 1e-9
+    reach = _reach(threshold)
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.lexsort((pdf["__key"].to_numpy(), -pdf["score"].to_numpy(float)))]

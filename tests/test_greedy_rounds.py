@@ -55,3 +55,18 @@ def test_findings_larger_first_make_no_pairs(spark):
     f = spark.createDataFrame(rows, "id long, tile_no long, category string, err boolean, x0 long, y0 long, x1 long, y1 long")
     want = plain([(r[0], 0, *r[4:], (r[6] - r[4]) * (r[7] - r[5])) for r in rows], 0.35)
     assert {r.id for r in findings_dedupe(SimpleNamespace(findings=f)).collect()} == want
+
+
+def test_a_crowd_meets_few_boxes(monkeypatch):
+    """Boxes are measured against those near them, not against all of a cell; the outcome is that of all pairs."""
+    rng = np.random.default_rng(3)
+    low = rng.integers(0, 600, (6000, 2)).astype(float)
+    box = np.hstack((low, low + rng.integers(4, 60, (6000, 2))))
+    box = box[np.argsort(-np.prod(box[:, 2:] - box[:, :2], axis=1), kind="stable")]
+    own, measured, over = np.prod(box[:, :2] > 60, axis=1).astype(bool), [], greedy._over
+    assert (greedy.hit(box[3000:], box[:3000], 0.35) == over(box[3000:], box[:3000], 0.35).any(axis=1)).all()
+    monkeypatch.setattr(greedy, "_over", lambda a, b, t: (measured.append(len(a) * len(b)), over(a, b, t))[1])
+    state = greedy.settle(box, own, box[:0], 0.35)
+    assert sum(measured) < 0.3 * len(box) ** 2 / 2
+    monkeypatch.setattr(greedy, "hit", lambda a, b, t: over(a, b, t).any(axis=1))
+    assert (state == greedy.settle(box, own, box[:0], 0.35)).all() and set(state) == {greedy.GONE, greedy.STAYS, greedy.OPEN}
