@@ -19,7 +19,9 @@ sets are one class, and only classes are joined:
 4. The sets of the pairs left are gathered and their similarity verified. A line whose pairs all fail
    but that had more to compare gets all its pairs in a second round. Words that more than `SPLIT`
    lines have are dealt to several groups by a hash of the class; lines without a match there meet the
-   other groups in the second round, so no link is lost.
+   other groups in the second round, so no link is lost. Lines that are much alike meet in many groups: a
+   part sends a pair once, and the second round sends it from the first or last group of its lines alone
+   where they share that one.
 
 Lines without a word are never removed. Null texts stay null and empty ones empty. Very long lines are
 sets like others. Rows that repeat an id count as one document's; of lines with one id and number the
@@ -171,25 +173,27 @@ def folded(sketch: np.ndarray, w: int) -> np.ndarray:
 
 
 _FIELDS = ("sig", "h", "doc", "number", "n", "place", "role")
+_ENDS = ("low", "low_at", "high", "high_at")  # of a line that goes with others, its first and last group and its place there
 
 
 def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
     """Arrow batches of (doc_id, text) to packed entries (part, data). With the filters `wanted` (of
     signatures) and `probes` (of classes) only those signatures are sent, and probes to all groups of them."""
+    fields = _FIELDS if probes is None else _FIELDS + _ENDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         total = 0
 
         def flush() -> pa.RecordBatch:
-            whole = dict(zip(_FIELDS, (np.concatenate([x[j] for x in held]) for j in range(len(_FIELDS))), strict=True))
+            whole = dict(zip(fields, (np.concatenate([x[j] for x in held]) for j in range(len(fields))), strict=True))
             sketch = np.zeros((len(whole["sig"]), WIDEST), U)
             for x, to in zip(held, np.cumsum([len(x[0]) for x in held]), strict=True):
                 sketch[to - len(x[0]) : to, : x[-1].shape[1]] = x[-1]
             order = np.argsort(whole["sig"])
             whole, sketch = {k: v[order] for k, v in whole.items()}, sketch[order]
             used = np.arange(WIDEST) < widths(whole["n"])[:, None]
-            out = [(p, [pack(np.diff(_key(whole["sig"][s], parts), prepend=np.uint32(0))), *(pack(whole[k][s]) for k in _FIELDS[1:]), pack(sketch[s][used[s]])]) for p, s in parted(whole["sig"], parts)]
+            out = [(p, [pack(np.diff(_key(whole["sig"][s], parts), prepend=np.uint32(0))), *(pack(whole[k][s]) for k in fields[1:]), pack(sketch[s][used[s]])]) for p, s in parted(whole["sig"], parts)]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary()))], names=["part", "data"])
 
         for batch in batches:
@@ -204,15 +208,16 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
                     use[use] = _wanted(wanted.value, e.sig[use], e.salts[use], parts)
                 sig, r, place, salts = e.sig[use], e.row[use], e.place[use], e.salts[use]
                 home = (cls[r].view(U) % salts.astype(U)).astype(np.int64)
-                role = np.ones(len(r), np.uint8)
+                role, ends = np.ones(len(r), np.uint8), []
                 if probes is not None:
+                    ends = _ends(sig, r, place, salts, parts, len(cls))
                     far = np.flatnonzero(maybe(probes.value, cls[r]) & (salts > 1))
                     rep = np.repeat(far, salts[far])
                     to = np.arange(len(rep)) - np.repeat(np.cumsum(salts[far]) - salts[far], salts[far])
                     rep, to = rep[to != home[rep]], to[to != home[rep]]
                     sig, r, place, salts, home, role = (np.concatenate((a, b)) for a, b in ((sig, sig[rep]), (r, r[rep]), (place, place[rep]), (salts, salts[rep]), (home, to), (role, np.zeros(len(rep), np.uint8))))
                 key = np.where(salts > 1, mix(sig + home.astype(U) * _STEP), sig)
-                held.append([key, cls[r], ids[row[r]], number[r], s.sizes()[r], place, role | (salts > 1).astype(np.uint8) << 1, e.sketch[r]])
+                held.append([key, cls[r], ids[row[r]], number[r], s.sizes()[r], place, role | (salts > 1).astype(np.uint8) << 1, *(x[r] for x in ends), e.sketch[r]])
                 total += len(key)
                 if total > max(FLUSH, 32 * parts):
                     yield flush()
@@ -224,9 +229,42 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
     return lean(run)
 
 
+def _group(sig: np.ndarray, parts: int) -> np.ndarray:
+    """What tells a signature's group from all others."""
+    return _key(sig, parts).astype(np.int64) | part_of(sig, parts) << 32
+
+
+def _ends(sig: np.ndarray, row: np.ndarray, place: np.ndarray, salts: np.ndarray, parts: int, rows: int) -> list[np.ndarray]:
+    """The lowest and the highest of each row's whole groups, and the place in each; -1 for none."""
+    one = np.flatnonzero(salts == 1)
+    group, row, place, out = _group(sig[one], parts), row[one], place[one], []
+    for best, least in ((np.minimum, np.iinfo(np.int64).max), (np.maximum, -1)):
+        end, at = np.full(rows, least, np.int64), np.full(rows, np.iinfo(np.int32).max, np.int64)
+        best.at(end, row, group)
+        here = group == end[row]
+        np.minimum.at(at, row[here], place[here])
+        none = np.bincount(row, minlength=rows) == 0
+        end[none], at[none] = -1, 0
+        out += [end, at]
+    return out
+
+
+def _elsewhere(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, group: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair that may link goes out from another group: from the lines' lowest one if they share it and
+    their places there allow a link, else from their highest one likewise, else from each group."""
+    n, m = e["n"][x], e["n"][y]
+    least = -(-percent * (n + m) // (100 + percent))
+    out, free = np.zeros(len(x), bool), np.ones(len(x), bool)
+    for k in ("low", "high"):
+        home = free & (e[k][x] >= 0) & (e[k][x] == e[k][y]) & (np.minimum(n - e[k + "_at"][x], m - e[k + "_at"][y]) >= least)
+        out |= home & (e[k][x] != group)
+        free &= ~home
+    return out
+
+
 def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray, parts: int) -> np.ndarray:
     """Signatures that the filter may hold, or any of their groups."""
-    held = lambda x: maybe(words_, _key(x, parts).astype(np.int64) | part_of(x, parts) << 32)
+    held = lambda x: maybe(words_, _group(x, parts))
     out = held(sig) & (salts == 1)
     split = np.flatnonzero(salts > 1)
     rep = np.repeat(split, salts[split])
@@ -235,6 +273,22 @@ def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray, parts: int)
     return out
 
 
+def _groups(rarity, percent: int, parts: int, ids, probes):
+    """Arrow batches of (doc_id, text) to the groups (h) of the probes, read from the documents that `ids` may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            some = maybe(ids.value, batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
+            for _, _, s, cls in _sets(batch.column(1).filter(pa.array(some))) if some.any() else ():
+                e = Entries(s, rarity.value, percent)
+                use = maybe(probes.value, cls)[e.row]
+                sig, salts, cls = e.sig[use], e.salts[use], cls[e.row[use]].view(U)
+                key = np.where(salts > 1, mix(sig + cls % salts.astype(U) * _STEP), sig)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_group(key, parts)))], names=["h"])
+
+    return lean(run)
+
+
 def _compare(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Whether length, position and sketches allow a link, and whether the sketches are much alike."""
     n, m = e["n"][x], e["n"][y]
@@ -255,12 +309,13 @@ def _compare(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: in
 
 
 def _meet(percent: int, probes=None):
-    """A part's entries to pairs (u, v), v the earlier one, with `more` and the group's key where u has
-    further lines to meet there. Without probes each line's first pairs, with them all pairs of theirs."""
+    """A part's entries to pairs (u, v), v the earlier one, each once, with `more` where u has further lines to
+    meet. Without probes each line's first pairs, with them all pairs of theirs."""
+    fields = _FIELDS if probes is None else _FIELDS + _ENDS
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("data").to_pylist()
-        e = {k: np.concatenate([unpress(b[j]).astype(np.int64) for b in blobs]) for j, k in enumerate(_FIELDS) if j}
+        e = {k: np.concatenate([unpress(b[j]).astype(np.int64) for b in blobs]) for j, k in enumerate(fields) if j}
         e["width"] = widths(e["n"])
         e["sketch"] = np.zeros((len(e["n"]), WIDEST), U)
         e["sketch"][np.arange(WIDEST) < e["width"][:, None]] = np.concatenate([unpress(b[-1]).astype(U) for b in blobs])
@@ -270,7 +325,7 @@ def _meet(percent: int, probes=None):
         rank = np.empty(len(by_place), np.int64)
         rank[by_place] = np.arange(len(by_place))
         sig = e["sig"]
-        order = np.argsort(sig << U(32) | rank.astype(U))
+        order = np.argsort(sig << U(32) | rank.astype(U)) if probes is None else np.lexsort((e["place"], rank, sig))
         e = {k: v[order] for k, v in e.items()}
         sig = sig[order]
         same = np.argsort(sig << U(32) | e["h"].view(U) >> U(32), kind="stable")  # a class once a group
@@ -302,23 +357,23 @@ def _meet(percent: int, probes=None):
             v.append(lone)
             more.append(np.ones(len(lone), bool))
         else:
+            group = sig.astype(np.int64) | table.column("part")[0].as_py() << 32
             for x in np.flatnonzero(maybe(probes.value, e["h"]) & (at > 0)).tolist():
                 y = np.arange(begin[x], x)
                 y = y[(e["role"][y] & 1) > 0]
                 y = y[_compare(e, np.full(len(y), x), y, percent)[0]]
+                y = y[~_elsewhere(e, np.full(len(y), x), y, np.full(len(y), group[x]), percent)]
                 u.append(np.full(len(y), x))
                 v.append(y)
                 more.append(np.zeros(len(y), bool))
         cat = lambda a, kind: np.concatenate(a) if a else np.zeros(0, kind)
         u, v, more = cat(u, np.int64), cat(v, np.int64), cat(more, bool)
-        part = table.column("part")[0].as_py()
-        key = np.where(more, e["sig"][u].astype(np.int64) | part << 32, 0)
-        rows = np.stack((e["h"][u], e["h"][v], key), axis=1)
-        order = np.lexsort((key, rows[:, 1], rows[:, 0]))
+        rows = np.stack((e["h"][u], e["h"][v]), axis=1)
+        order = np.lexsort((~more, rows[:, 1], rows[:, 0]))
         rows, more = rows[order], more[order]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        return pa.table({"u": rows[new, 0], "v": rows[new, 1], "key": rows[new, 2], "more": more[new]})
+        return pa.table({"u": rows[new, 0], "v": rows[new, 1], "more": more[new]})
 
     return run
 
@@ -353,14 +408,17 @@ def _matched(rows: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     """Classes (h) of which an earlier class is similar enough."""
     spark, parts = rows.sparkSession, shuffle_parts(rows.sparkSession)
     rarity = spark.sparkContext.broadcast(_rarity(every))
-    packed, schema = "part int, data array<binary>", "u bigint, v bigint, key bigint, more boolean"
+    packed, schema = "part int, data array<binary>", "u bigint, v bigint, more boolean"
     met = staged(rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema), "line-pairs")
     pairs = met.where("u <> v").select("u", "v").distinct()
     linked = _verified(rows, pairs, percent)
-    left = staged(met.where("more").select(F.col("u").alias("h"), "key").distinct().join(linked, "h", "left_anti"), "line-open")
+    left = staged(met.where("more").select(F.col("u").alias("h")).distinct().join(linked, "h", "left_anti"), "line-open")
     if left.limit(1).count():
-        probes = spark.sparkContext.broadcast(bloom_words(left.select("h").distinct()))
-        wanted = spark.sparkContext.broadcast(bloom_words(left.select(F.col("key").alias("h")).distinct()))
+        probes = spark.sparkContext.broadcast(bloom_words(left))
+        found = every.where("h is not null").join(left, "h", "left_semi").groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
+        ids = spark.sparkContext.broadcast(bloom_words(found.select(F.col("id").alias("h")).distinct()))
+        groups = staged(rows.mapInArrow(_groups(rarity, percent, parts, ids, probes), "h bigint").distinct(), "line-groups")
+        wanted = spark.sparkContext.broadcast(bloom_words(groups))
         more = rows.mapInArrow(_send(rarity, percent, parts, wanted, probes), packed).groupBy("part").applyInArrow(_meet(percent, probes), schema)
         more = staged(more.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), "line-pairs")
         linked = linked.union(_verified(rows, more, percent)).distinct()
