@@ -65,6 +65,30 @@ def _sets(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, Sets, np.n
         yield row + lo, number, s, set_classes(s)
 
 
+def _at(doc: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """A hash of a line's place, as a long."""
+    return mix(mix(doc.astype(np.int64).view(U)) + number.astype(U)).view(np.int64)
+
+
+def _picked(batch: pa.RecordBatch, spots: np.ndarray) -> Iterator[tuple[Sets, np.ndarray]]:
+    """For slices of (doc_id, text): sets and classes of the lines whose places the filter may hold; no other is read
+    into words."""
+    ids = _ids(batch)
+    for lo, _, raw, offsets in slices(batch.column(1)):
+        cut, row, number = lines(raw, offsets)
+        some = np.flatnonzero(maybe(spots, _at(ids[row + lo], number)))
+        if len(some):
+            start, end = cut[some], cut[some + 1]
+            held = np.concatenate([raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+            s = shingle_sets(words(held, np.concatenate(([0], np.cumsum(end - start)))), 1)
+            yield s, set_classes(s)
+
+
+def _ids(batch: pa.RecordBatch) -> np.ndarray:
+    """Ids of rows; a null one comes before all others."""
+    return batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+
+
 def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> U(32)).astype(np.int64) * SLOTS >> 32
 
@@ -111,6 +135,13 @@ def _rarity(every: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The stable order; the faster sort is enough where no key comes twice."""
+    order = np.argsort(keys)
+    s = keys[order]
+    return np.argsort(keys, kind="stable") if (s[1:] == s[:-1]).any() else order
+
+
 class Entries:
     """What lines send: a signature for each word of the prefix, or for pairs or triples that begin with a
     frequent one; the line, and the place of the first word in the line's order by rarity."""
@@ -121,7 +152,7 @@ class Entries:
         row = np.repeat(np.arange(rows), n)
         lev = rarity[_slot(s.values)]
         bits = max(1, rows.bit_length())
-        order = np.argsort(row.astype(U) << U(64 - bits) | lev.astype(U) << U(56 - bits) | s.values >> U(8 + bits), kind="stable")
+        order = _order(row.astype(U) << U(64 - bits) | lev.astype(U) << U(56 - bits) | s.values >> U(8 + bits))
         tok, lev = s.values[order], lev[order]
         place = np.arange(len(tok)) - np.repeat(s.first[:-1], n)
         # a set links with another one only if it may with itself and one word more
@@ -187,25 +218,27 @@ def _send(rarity, percent: int, parts: int, wanted=None, probes=None):
 
         def flush() -> pa.RecordBatch:
             whole = dict(zip(fields, (np.concatenate([x[j] for x in held]) for j in range(len(fields))), strict=True))
-            sketch = np.zeros((len(whole["sig"]), WIDEST), U)
-            for x, to in zip(held, np.cumsum([len(x[0]) for x in held]), strict=True):
-                sketch[to - len(x[0]) : to, : x[-1].shape[1]] = x[-1]
+            wide = np.array([x[-1].shape[1] for x in held])  # words of a slice's sketches, one after another
+            many = np.array([len(x[0]) for x in held])
+            sketch = np.concatenate([x[-1].ravel() for x in held])
+            begin = np.repeat(np.cumsum(many * wide) - many * wide, many) + (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * np.repeat(wide, many)
             order = np.argsort(whole["sig"])
-            whole, sketch = {k: v[order] for k, v in whole.items()}, sketch[order]
-            used = np.arange(WIDEST) < widths(whole["n"])[:, None]
-            out = [(p, [pack(np.diff(_key(whole["sig"][s], parts), prepend=np.uint32(0))), *(pack(whole[k][s]) for k in fields[1:]), pack(sketch[s][used[s]])]) for p, s in parted(whole["sig"], parts)]
+            whole = {k: v[order] for k, v in whole.items()}
+            used = widths(whole["n"])
+            upto = np.concatenate(([0], np.cumsum(used)))
+            sketch = sketch[np.repeat(begin[order] - upto[:-1], used) + np.arange(upto[-1])]
+            out = [(p, [pack(np.diff(_key(whole["sig"][s], parts), prepend=np.uint32(0))), *(pack(whole[k][s]) for k in fields[1:]), pack(sketch[upto[s.start] : upto[s.stop]])]) for p, s in parted(whole["sig"], parts)]
             return pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.binary()))], names=["part", "data"])
 
         for batch in batches:
-            ids = batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+            ids = _ids(batch)
             for row, number, s, cls in _sets(batch.column(1)):
-                _, own = np.unique(cls, return_index=True)  # a class once a slice
-                lead = np.zeros(len(cls), bool)
-                lead[own] = True
+                own = np.unique(cls, return_index=True)[1]  # a class once a slice
+                if len(own) < len(cls):
+                    own.sort()
+                    row, number, s, cls = row[own], number[own], s.some(own), cls[own]
                 e = Entries(s, rarity.value, percent)
-                use = lead[e.row]
-                if wanted is not None:
-                    use[use] = _wanted(wanted.value, e.sig[use], e.salts[use], parts)
+                use = slice(None) if wanted is None else _wanted(wanted.value, e.sig, e.salts, parts)
                 sig, r, place, salts = e.sig[use], e.row[use], e.place[use], e.salts[use]
                 home = (cls[r].view(U) % salts.astype(U)).astype(np.int64)
                 role, ends = np.ones(len(r), np.uint8), []
@@ -273,13 +306,12 @@ def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray, parts: int)
     return out
 
 
-def _groups(rarity, percent: int, parts: int, ids, probes):
-    """Arrow batches of (doc_id, text) to the groups (h) of the probes, read from the documents that `ids` may hold."""
+def _groups(rarity, percent: int, parts: int, spots, probes):
+    """Arrow batches of (doc_id, text) to the groups (h) of the probes, read from the places that `spots` may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = maybe(ids.value, batch.column(0).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False))
-            for _, _, s, cls in _sets(batch.column(1).filter(pa.array(some))) if some.any() else ():
+            for s, cls in _picked(batch, spots.value):
                 e = Entries(s, rarity.value, percent)
                 use = maybe(probes.value, cls)[e.row]
                 sig, salts, cls = e.sig[use], e.salts[use], cls[e.row[use]].view(U)
@@ -308,9 +340,21 @@ def _compare(e: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, percent: in
     return ok, alike
 
 
+def _appearance(e: dict[str, np.ndarray]) -> np.ndarray:
+    """Entries in order of appearance: by document, number and class."""
+    low, wide = int(e["doc"].min()), int(e["number"].max()) + 1
+    if (int(e["doc"].max()) - low + 1) * wide < 1 << 62:  # one key sorts faster than three
+        key = (e["doc"] - low) * wide + e["number"]
+        order = np.argsort(key)
+        key, h = key[order], e["h"][order]
+        if not ((key[1:] == key[:-1]) & (h[1:] != h[:-1])).any():
+            return order
+    return np.lexsort((e["h"], e["number"], e["doc"]))
+
+
 def _meet(percent: int, probes=None):
-    """A part's entries to pairs (u, v), v the earlier one, each once, with `more` where u has further lines to
-    meet. Without probes each line's first pairs, with them all pairs of theirs."""
+    """A part's entries to pairs (u, v), v the earlier one, each once, with hashes of a place of each and `more`
+    where u has further lines to meet. Without probes each line's first pairs, with them all pairs of theirs."""
     fields = _FIELDS if probes is None else _FIELDS + _ENDS
 
     def run(table: pa.Table) -> pa.Table:
@@ -320,11 +364,10 @@ def _meet(percent: int, probes=None):
         e["sketch"] = np.zeros((len(e["n"]), WIDEST), U)
         e["sketch"][np.arange(WIDEST) < e["width"][:, None]] = np.concatenate([unpress(b[-1]).astype(U) for b in blobs])
         e["f1"] = np.bitwise_xor.reduce(e["sketch"], axis=1)
-        e["sig"] = np.concatenate([np.cumsum(unpress(b[0]), dtype=np.uint32) for b in blobs]).astype(U)
-        by_place = np.lexsort((e["h"], e["number"], e["doc"]))
+        sig = np.concatenate([np.cumsum(unpress(b[0]), dtype=np.uint32) for b in blobs]).astype(U)
+        by_place = _appearance(e)
         rank = np.empty(len(by_place), np.int64)
         rank[by_place] = np.arange(len(by_place))
-        sig = e["sig"]
         order = np.argsort(sig << U(32) | rank.astype(U)) if probes is None else np.lexsort((e["place"], rank, sig))
         e = {k: v[order] for k, v in e.items()}
         sig = sig[order]
@@ -340,18 +383,24 @@ def _meet(percent: int, probes=None):
         at = np.arange(len(sig)) - begin
         u, v, more = [], [], []
         if probes is None:
-            split, tried = (e["role"] & 2) > 0, np.zeros(len(sig), np.int64)
-            active, k = np.flatnonzero(at > 0), 0
-            while len(active):
-                y = begin[active] + k
-                ok, alike = _compare(e, active, y, percent)
-                tried[active[ok]] += 1
-                done = ok & (alike | (tried[active] >= TRIES))
-                u.append(active[ok])
-                v.append(y[ok])
-                more.append((done & ((at[active] > k + 1) | split[active]))[ok])
-                active, k = active[~done], k + 1
-                active = active[at[active] > k]
+            split, tried, done = (e["role"] & 2) > 0, np.zeros(len(sig), np.int64), np.zeros(len(sig), bool)
+            # a line's words from the common one on must be `percent` of (n + m) / (100 + percent) at least
+            rest, need = (100 + percent) * (e["n"] - e["place"]) - percent * e["n"], percent * e["n"]
+            late = np.argsort(-at, kind="stable")  # those with the most earlier lines first
+            begin_, rest_, need_ = begin[late], rest[late], need[late]
+            left = len(sig) - np.cumsum(np.bincount(at))  # lines with more than so many earlier ones
+            for k in range(len(left) - 1):
+                y = begin_[: left[k]] + k
+                some = np.flatnonzero((rest_[: left[k]] >= need[y]) & (rest[y] >= need_[: left[k]]))
+                x, y = late[some], y[some]
+                x, y = x[~done[x]], y[~done[x]]
+                ok, alike = _compare(e, x, y, percent)
+                x, y, alike = x[ok], y[ok], alike[ok]
+                tried[x] += 1
+                done[x] = alike | (tried[x] >= TRIES)
+                u.append(x)
+                v.append(y)
+                more.append(done[x] & ((at[x] > k + 1) | split[x]))
             lone = np.flatnonzero(split)  # the group's other parts may hold a match
             u.append(lone)
             v.append(lone)
@@ -373,25 +422,28 @@ def _meet(percent: int, probes=None):
         rows, more = rows[order], more[order]
         new = np.ones(len(rows), bool)
         new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-        return pa.table({"u": rows[new, 0], "v": rows[new, 1], "more": more[new]})
+        at = [_at(e["doc"][x], e["number"][x]) for x in (u[order[new]], v[order[new]])]
+        return pa.table({"u": rows[new, 0], "v": rows[new, 1], "more": more[new], "u_at": at[0], "v_at": at[1]})
 
     return run
 
 
 def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Classes u (h) of the pairs (u, v) that link: only the sets of those classes move."""
+    """Classes u (h) of the pairs (u, v, u_at, v_at) that link: only the lines at those places are read into words, and
+    only the sets of those classes move."""
     spark = rows.sparkSession
-    alive = staged(pairs.select("u").union(pairs.select("v")).distinct().withColumnRenamed("u", "h"), "line-alive")
-    words_ = spark.sparkContext.broadcast(bloom_words(alive))
+    ends = [pairs.select(F.col(k).alias("h"), F.col(f"{k}_at").alias("at")) for k in ("u", "v")]
+    alive = staged(ends[0].union(ends[1]).groupBy("h").agg(F.first("at").alias("at")), "line-alive")
+    either = spark.sparkContext.broadcast(bloom_words(alive.select(F.explode(F.array("h", "at")).alias("h"))))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, s, cls in _sets(batch.column(1)):
+            for s, cls in _picked(batch, either.value):
                 own, at = np.unique(cls, return_index=True)
-                at = at[maybe(words_.value, own) & (own != 0)]
+                at = at[maybe(either.value, own) & (own != 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array([s.row(k).tobytes() for k in at.tolist()], pa.binary())], names=["h", "data"])
 
-    found = rows.mapInArrow(lean(gather), "h bigint, data binary").join(alive, "h", "left_semi")
+    found = rows.mapInArrow(lean(gather), "h bigint, data binary").join(alive.select("h"), "h", "left_semi")
     sets = staged(found.groupBy("h").agg(F.first("data").alias("data")), "line-sets")
     both = pairs.join(sets.select(F.col("h").alias("u"), F.col("data").alias("a")), "u").join(sets.select(F.col("h").alias("v"), F.col("data").alias("b")), "v")
 
@@ -408,19 +460,21 @@ def _matched(rows: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     """Classes (h) of which an earlier class is similar enough."""
     spark, parts = rows.sparkSession, shuffle_parts(rows.sparkSession)
     rarity = spark.sparkContext.broadcast(_rarity(every))
-    packed, schema = "part int, data array<binary>", "u bigint, v bigint, more boolean"
-    met = staged(rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema), "line-pairs")
-    pairs = met.where("u <> v").select("u", "v").distinct()
+    packed, schema = "part int, data array<binary>", "u bigint, v bigint, more boolean, u_at bigint, v_at bigint"
+    places = [F.first(c).alias(c) for c in ("u_at", "v_at")]
+    met = rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema)
+    met = staged(met.groupBy("u", "v").agg(F.max("more").alias("more"), *places), "line-pairs")
+    pairs = met.where("u <> v")
     linked = _verified(rows, pairs, percent)
-    left = staged(met.where("more").select(F.col("u").alias("h")).distinct().join(linked, "h", "left_anti"), "line-open")
+    open_ = met.where("more").groupBy(F.col("u").alias("h")).agg(F.first("u_at").alias("at"))
+    left = staged(open_.join(linked, "h", "left_anti"), "line-open")
     if left.limit(1).count():
         probes = spark.sparkContext.broadcast(bloom_words(left))
-        found = every.where("h is not null").join(left, "h", "left_semi").groupBy("h").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("id"))
-        ids = spark.sparkContext.broadcast(bloom_words(found.select(F.col("id").alias("h")).distinct()))
-        groups = staged(rows.mapInArrow(_groups(rarity, percent, parts, ids, probes), "h bigint").distinct(), "line-groups")
+        spots = spark.sparkContext.broadcast(bloom_words(left.select(F.col("at").alias("h"))))
+        groups = staged(rows.mapInArrow(_groups(rarity, percent, parts, spots, probes), "h bigint").distinct(), "line-groups")
         wanted = spark.sparkContext.broadcast(bloom_words(groups))
         more = rows.mapInArrow(_send(rarity, percent, parts, wanted, probes), packed).groupBy("part").applyInArrow(_meet(percent, probes), schema)
-        more = staged(more.select("u", "v").distinct().join(pairs, ["u", "v"], "left_anti"), "line-pairs")
+        more = staged(more.groupBy("u", "v").agg(*places).join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "line-pairs")
         linked = linked.union(_verified(rows, more, percent)).distinct()
     return linked
 

@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 import zstandard
 
 SLICE_BYTES = 1 << 20
+BLOCK = 1 << 15
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1  # odd, so that it has an inverse modulo 2**64
 _WHITE = [0x20, *range(0x09, 0x0E)]
@@ -125,14 +126,19 @@ def spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def span_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Position-free polynomial hashes of spans, from one prefix sum over the slice."""
     up, down = powers(len(values))
-    sums = np.zeros(len(values) + 1, dtype=U)
-    np.cumsum(values.astype(U) * up[: len(values)], out=sums[1:])
+    sums = np.empty(len(values) + 1, dtype=U)
+    sums[0] = 0
+    for lo in range(0, len(values), BLOCK):  # what is multiplied is still in the cache when it is summed
+        run = sums[lo + 1 : lo + 1 + BLOCK]
+        np.multiply(values[lo : lo + BLOCK], up[lo : lo + len(run)], out=run)
+        run[:1] += sums[lo : lo + 1]
+        np.cumsum(run, out=run)
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
 def words(raw: np.ndarray, offsets: np.ndarray) -> Words:
     """Runs of other than white space, A-Z lower-cased, as hashes."""
-    low = LOWER[raw]
+    low = np.frombuffer(raw.tobytes().translate(LOWER.tobytes()), np.uint8)  # faster than LOWER[raw]
     start, end = spans(low != 0, offsets)
     return Words(start, end, span_hashes(low, start, end), np.searchsorted(start, offsets))
 
@@ -153,6 +159,13 @@ class Sets:
     def row(self, k: int) -> np.ndarray:
         return self.values[self.first[k] : self.first[k + 1]]
 
+    def some(self, rows: np.ndarray) -> Sets:
+        """The sets of those rows, which rise."""
+        n = self.sizes()
+        kept = np.zeros(len(n), bool)
+        kept[rows] = True
+        return Sets(self.values[np.repeat(kept, n)], np.concatenate(([0], np.cumsum(n[rows]))))
+
 
 def _sorted_in_rows(g: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """Hashes sorted within each row. One key with the row above a hash's upper bits sorts faster than two
@@ -169,6 +182,9 @@ def shingle_sets(w: Words, size: int = 5) -> Sets:
     """For each row its distinct hashes of runs of `size` words; a row with fewer words has its whole
     sequence as one, a row without words none."""
     n, rows = np.diff(w.first), len(w.first) - 1
+    if size == 1:
+        g = mix(w.hash * _SHINGLE[0] + U(0x2545F4914F6CDD1D))
+        return _distinct(g, np.repeat(np.arange(rows), n), w.first)
     many = np.maximum(n - size + 1, (n > 0).astype(np.int64))
     first = np.concatenate(([0], np.cumsum(many)))
     start = np.arange(first[-1]) - np.repeat(first[:-1], many) + np.repeat(w.first[:-1], many)
@@ -179,9 +195,12 @@ def shingle_sets(w: Words, size: int = 5) -> Sets:
     for k in range(size):  # word hashes are mixed already, so odd multipliers tell places apart
         term = terms[start + k] * (_SHINGLE[k % 5] + U(2 * (k // 5)))
         g += np.where(width > k, term, U(0)) if short else term
-    g = mix(g)
-    row = np.repeat(np.arange(rows), many)
-    g = _sorted_in_rows(g, row, rows)
+    return _distinct(mix(g), np.repeat(np.arange(rows), many), first)
+
+
+def _distinct(g: np.ndarray, row: np.ndarray, first: np.ndarray) -> Sets:
+    """Sets of rows' hashes, of which each row's begin at `first`."""
+    g = _sorted_in_rows(g, row, len(first) - 1)
     new = np.ones(len(g), dtype=bool)
     new[1:] = (g[1:] != g[:-1]) | (row[1:] != row[:-1])
     kept = np.concatenate(([0], np.cumsum(new)))
