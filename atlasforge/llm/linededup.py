@@ -16,7 +16,7 @@ sets are one class, and only classes are joined:
    the common word and a parity sketch of the words (wider for longer lines) do not rule out: |x ^ y| is
    at least the number of bits in which two sketches differ. Where that is not far below what a link
    allows, it looks for up to `TRIES` such lines.
-4. The sets of the pairs left are gathered and their similarity verified. A line whose pairs all fail
+4. The sets of the pairs left are gathered, from a place of each class alone, and their similarity verified. A line whose pairs all fail
    but that had more to compare gets all its pairs in a second round. Words that more than `SPLIT`
    lines have are dealt to several groups by a hash of the class; lines without a match there meet the
    other groups in the second round, so no link is lost. Lines that are much alike meet in many groups: a
@@ -306,17 +306,17 @@ def _wanted(words_: np.ndarray, sig: np.ndarray, salts: np.ndarray, parts: int)
     return out
 
 
-def _groups(rarity, percent: int, parts: int, spots, probes):
-    """Arrow batches of (doc_id, text) to the groups (h) of the probes, read from the places that `spots` may hold."""
+def _groups(rarity, percent: int, parts: int):
+    """Arrow batches of classes and their sets (h, data) to the groups (h) that they are sent to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, cls in _picked(batch, spots.value):
-                e = Entries(s, rarity.value, percent)
-                use = maybe(probes.value, cls)[e.row]
-                sig, salts, cls = e.sig[use], e.salts[use], cls[e.row[use]].view(U)
-                key = np.where(salts > 1, mix(sig + cls % salts.astype(U) * _STEP), sig)
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_group(key, parts)))], names=["h"])
+            cls, rows = batch.column(0).to_numpy().view(U), [np.frombuffer(x, U) for x in batch.column(1).to_pylist()]
+            if not rows:
+                continue
+            e = Entries(Sets(np.concatenate(rows), np.concatenate(([0], np.cumsum([len(x) for x in rows])))), rarity.value, percent)
+            key = np.where(e.salts > 1, mix(e.sig + cls[e.row] % e.salts.astype(U) * _STEP), e.sig)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_group(key, parts)))], names=["h"])
 
     return lean(run)
 
@@ -428,11 +428,11 @@ def _meet(percent: int, probes=None):
     return run
 
 
-def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Classes u (h) of the pairs (u, v, u_at, v_at) that link: only the lines at those places are read into words, and
-    only the sets of those classes move."""
-    spark = rows.sparkSession
-    ends = [pairs.select(F.col(k).alias("h"), F.col(f"{k}_at").alias("at")) for k in ("u", "v")]
+def _verified(rows: DataFrame, met: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes u (h) of the pairs (u, v, u_at, v_at) that link, and the sets (h, data) of all that are named: only the
+    lines at those places are read into words, and only the sets of those classes move."""
+    spark, pairs = rows.sparkSession, met.where("u <> v").select("u", "v")
+    ends = [met.select(F.col(k).alias("h"), F.col(f"{k}_at").alias("at")) for k in ("u", "v")]
     alive = staged(ends[0].union(ends[1]).groupBy("h").agg(F.first("at").alias("at")), "line-alive")
     either = spark.sparkContext.broadcast(bloom_words(alive.select(F.explode(F.array("h", "at")).alias("h"))))
 
@@ -453,7 +453,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             ok = [links(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)), percent) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], names=["h"])
 
-    return staged(both.select("u", "a", "b").mapInArrow(lean(test), "h bigint").distinct(), "line-links")
+    return staged(both.select("u", "a", "b").mapInArrow(lean(test), "h bigint").distinct(), "line-links"), sets
 
 
 def _matched(rows: DataFrame, every: DataFrame, percent: int) -> DataFrame:
@@ -464,18 +464,15 @@ def _matched(rows: DataFrame, every: DataFrame, percent: int) -> DataFrame:
     places = [F.first(c).alias(c) for c in ("u_at", "v_at")]
     met = rows.mapInArrow(_send(rarity, percent, parts), packed).groupBy("part").applyInArrow(_meet(percent), schema)
     met = staged(met.groupBy("u", "v").agg(F.max("more").alias("more"), *places), "line-pairs")
-    pairs = met.where("u <> v")
-    linked = _verified(rows, pairs, percent)
-    open_ = met.where("more").groupBy(F.col("u").alias("h")).agg(F.first("u_at").alias("at"))
-    left = staged(open_.join(linked, "h", "left_anti"), "line-open")
+    linked, sets = _verified(rows, met, percent)
+    left = staged(met.where("more").select(F.col("u").alias("h")).distinct().join(linked, "h", "left_anti"), "line-open")
     if left.limit(1).count():
         probes = spark.sparkContext.broadcast(bloom_words(left))
-        spots = spark.sparkContext.broadcast(bloom_words(left.select(F.col("at").alias("h"))))
-        groups = staged(rows.mapInArrow(_groups(rarity, percent, parts, spots, probes), "h bigint").distinct(), "line-groups")
+        groups = staged(sets.join(left, "h").select("h", "data").mapInArrow(_groups(rarity, percent, parts), "h bigint").distinct(), "line-groups")
         wanted = spark.sparkContext.broadcast(bloom_words(groups))
         more = rows.mapInArrow(_send(rarity, percent, parts, wanted, probes), packed).groupBy("part").applyInArrow(_meet(percent, probes), schema)
-        more = staged(more.groupBy("u", "v").agg(*places).join(pairs.select("u", "v"), ["u", "v"], "left_anti"), "line-pairs")
-        linked = linked.union(_verified(rows, more, percent)).distinct()
+        more = staged(more.groupBy("u", "v").agg(*places).join(met.select("u", "v"), ["u", "v"], "left_anti"), "line-pairs")
+        linked = linked.union(_verified(rows, more, percent)[0]).distinct()
     return linked
 
 
@@ -499,7 +496,8 @@ def removed_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", te
 def dedup_lines(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with the text that is left, and n_lines and n_removed (long)."""
     gone = removed_lines(docs, percent, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("lines").alias("__gone"))
-    joined = docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
+    # hashing the numbers saves sorting the texts
+    joined = docs.join(gone.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("__id")), "left").drop("__id")
     split = F.split(F.col(text_col), "\n", -1)
     joined = joined.withColumn("__lines", split).withColumn("__gone", F.filter("__gone", lambda k: k < F.size("__lines")))
     # the runs of lines between those that go
