@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from atlasforge.operators.graph import connected
+from atlasforge.operators.graph import connected_near
 from atlasforge.operators.spatial import CELL, overlapping
 from atlasforge.staging import staged
 
@@ -76,6 +76,7 @@ def faces(segments: DataFrame, least: float = 0.0, cell: int = CELL) -> DataFram
     # the side that comes in along a corner's side goes out by the one before it in turning order
     sides = d.select(F.xxhash64("qx", "qy", "px", "py").alias("u"), F.xxhash64("px", "py", "n.qx", "n.qy").alias("v"), C("qx").alias("ax"), C("qy").alias("ay"), C("px").alias("bx"), C("py").alias("by"))
     sides = staged(sides, "face-sides")
-    cycle = connected(sides.select("u", "v"))
+    tile = [F.floor(C(k) / (64 * cell)) for k in ("bx", "by")]  # a cycle goes on where its side ends
+    cycle = connected_near(sides, *tile, C("bx"), C("by"))
     g = sides.join(cycle, C("u") == C("node")).groupBy(C("component").alias("face")).agg(F.min("ax").alias("x0"), F.min("ay").alias("y0"), F.max("ax").alias("x1"), F.max("ay").alias("y1"), (F.sum(F.expr("ax * by - bx * ay")) / 2).alias("area"), F.count("*").alias("sides"))
     return g.where((C("area") > least) & (C("area") > 1e-6))
